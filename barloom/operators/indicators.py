@@ -275,8 +275,10 @@ def add_atr_simple(
     df: DataFrame, period: int = 14, rank_window: int = 2000, rank_min: int = 200, by: Sequence[str] = KEY
 ) -> DataFrame:
     w = series(by)
-    df = df.withColumn("__tr", true_range(w))
-    df = df.withColumn("atr_simple", roll_mean("__tr", period, w)).drop("__tr")
+    # Exact sums, so that equal means are equal numbers and tie in the rank.
+    exact = ExactSums(w)
+    df = exact.prepare(df.withColumn("__tr", points(true_range(w))), ["__tr"], squares=False)
+    df = exact.drop(df.withColumn("atr_simple", exact.mean("__tr", period) / POINT)).drop("__tr")
     return add_ranks(df, [Rank("atr_rank", "atr_simple", rank_window, rank_min, "pct")], by)
 
 
@@ -487,47 +489,57 @@ def add_volume_z(df: DataFrame, window: int = 100, by: Sequence[str] = KEY) -> D
 OVERLAY_LAGS = (1, 3, 5, 8, 13)
 
 
+OVERLAY_PARTS = ("value", "distance", "pct_distance", "velocity", "acceleration", "std")
+
+
 def add_overlay(
     df: DataFrame,
     lines: dict[str, int],
     atr: str = "atr14",
     rank_window: int = 500,
     rank_min: int = 100,
+    parts: Sequence[str] = OVERLAY_PARTS,
     by: Sequence[str] = KEY,
 ) -> DataFrame:
     """Normalise price lines: `lines` maps a line column to the window of its rolling std.
 
     Per line: distance to close in ATR and in percent, with lags; past-only rank of
-    the std of that distance; velocity and acceleration in ATR.
+    the std of that distance; velocity and acceleration in ATR. `parts` limits what is
+    built. Ranks come first, while the frame is narrow, as they leave the JVM.
     """
     w = series(by)
     a = F.col(atr)
-    first = {}
+    df = df.withColumns({f"{n}_ov_value": safe_div(F.col(n) - F.col("close"), a) for n in lines})
+    if "std" in parts:
+        df = df.withColumns({f"__{n}_std": roll_std(f"{n}_ov_value", min(k, 50), w) for n, k in lines.items()})
+        df = add_ranks(df, [Rank(f"{n}_ov_std", f"__{n}_std", rank_window, rank_min) for n in lines], by)
+        df = df.drop(*[f"__{n}_std" for n in lines])
+    first: dict[str, Column] = {}
+    for name in lines:
+        p, line = f"{name}_ov", F.col(name)
+        if "distance" in parts:
+            first[f"{p}_distance"] = F.col(f"{p}_value")
+        if "pct_distance" in parts:
+            first[f"{p}_pct_distance"] = safe_div(line - F.col("close"), F.col("close"))
+        if "velocity" in parts or "acceleration" in parts:
+            for k in (1, 3, 5, 8):
+                first[f"{p}_velocity{k}"] = safe_div(diff(line, k, w), a)
+    df = df.withColumns(first) if first else df
+    second: dict[str, Column] = {}
     for name in lines:
-        line = F.col(name)
-        first[f"{name}_ov_value"] = safe_div(line - F.col("close"), a)
-        first[f"{name}_ov_pct_distance"] = safe_div(line - F.col("close"), F.col("close"))
-        for k in (1, 3, 5, 8):
-            first[f"{name}_ov_velocity{k}"] = safe_div(diff(line, k, w), a)
-    df = df.withColumns(first)
-    second = {}
-    for name, window in lines.items():
         p = f"{name}_ov"
-        second[f"{p}_distance"] = F.col(f"{p}_value")
-        for k in OVERLAY_LAGS:
-            value_lag = lag(f"{p}_value", k, w)
-            second[f"{p}_value_lag{k}"] = value_lag
-            second[f"{p}_distance_lag{k}"] = value_lag
-            second[f"{p}_pct_distance_lag{k}"] = lag(f"{p}_pct_distance", k, w)
-        for v in (1, 3, 5, 8):
-            for k in (1, 3):
-                second[f"{p}_velocity{v}_lag{k}"] = lag(f"{p}_velocity{v}", k, w)
-        for k in (1, 3, 5):
-            second[f"{p}_acceleration{k}"] = diff(f"{p}_velocity{k}", k, w)
-        second[f"__{p}_std"] = roll_std(f"{p}_value", min(window, 50), w)
-    df = df.withColumns(second)
-    out = add_ranks(df, [Rank(f"{n}_ov_std", f"__{n}_ov_std", rank_window, rank_min) for n in lines], by)
-    return out.drop(*[f"__{n}_ov_std" for n in lines])
+        for part in ("value", "distance", "pct_distance"):
+            if part in parts:
+                for k in OVERLAY_LAGS:
+                    second[f"{p}_{part}_lag{k}"] = lag(f"{p}_{part}", k, w)
+        if "velocity" in parts:
+            for v in (1, 3, 5, 8):
+                for k in (1, 3):
+                    second[f"{p}_velocity{v}_lag{k}"] = lag(f"{p}_velocity{v}", k, w)
+        if "acceleration" in parts:
+            for k in (1, 3, 5):
+                second[f"{p}_acceleration{k}"] = diff(f"{p}_velocity{k}", k, w)
+    return df.withColumns(second) if second else df
 
 
 # Overlay lines and the window of their rolling std.

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import points
 from barloom.functions.windows import KEY
 from barloom.operators.chunks import with_candle
+from barloom.session import materialise
 
 BAR = ("candle", "open", "high", "low", "close")
 
@@ -70,7 +71,8 @@ def first_touch(
     joined bar by bar instead.
     """
     block = block or max(8, int(math.sqrt(bars_ahead)))
-    base = _prepared(bars, r1, by, block)
+    # Read several times below: as entries, as blocks and as bars.
+    base = materialise(_prepared(bars, r1, by, block))
     if not by_gap:
         return _by_blocks(base, bars_ahead, by, block, by_gap)
     unsound = (F.col("__low") > F.col("__open")) | (F.col("__open") > F.col("__high"))

@@ -51,14 +51,19 @@ def constant_filter(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return nunique.join(std, "feature").withColumn("status", F.when(keep, "keep").otherwise("constant"))
 
 
+def _corr(x: Column, y: Column) -> Column:
+    """Pearson correlation; 0 where either side does not vary."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    value = F.covar_pop(x, y) / F.nullif(sx * sy, F.lit(0.0))
+    return F.when((sx <= 1e-12) | (sy <= 1e-12), 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
+
+
 def label_corr(df: DataFrame, features: Sequence[str], label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Correlation of each feature (missing as 0) with the label; flat columns give 0. One aggregate, no unpivot."""
     y = F.col(label).cast("double")
     aggs = []
     for f in features:
-        x = to_feature(f)
-        flat = (F.stddev_pop(x) <= 1e-12) | (F.stddev_pop(y) <= 1e-12)
-        aggs.append(F.when(flat, 0.0).otherwise(F.coalesce(F.corr(x, y), F.lit(0.0))).alias(f"{f}__corr"))
+        aggs.append(_corr(to_feature(f), y).alias(f"{f}__corr"))
     row = df.groupBy(*by).agg(*aggs)
     out = _explode_row(row, features, {"corr": "label_corr"}, by)
     return out.withColumn("abs_label_corr", F.abs("label_corr"))
@@ -67,12 +72,7 @@ def label_corr(df: DataFrame, features: Sequence[str], label: str = "label", by:
 def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, corr) for all pairs a < b in list order; missing or flat as 0."""
     pairs = list(combinations(features, 2))
-    aggs = []
-    for a, b in pairs:
-        x, y = to_feature(a), to_feature(b)
-        flat = (F.stddev_pop(x) <= 1e-12) | (F.stddev_pop(y) <= 1e-12)
-        aggs.append(F.when(flat, 0.0).otherwise(F.corr(x, y)).alias(f"{a}__{b}"))
-    row = df.agg(*aggs)
+    row = df.agg(*[_corr(to_feature(a), to_feature(b)).alias(f"{a}__{b}") for a, b in pairs])
     structs = [
         F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{a}__{b}").alias("corr"))
         for a, b in pairs
@@ -90,7 +90,7 @@ def corr_pairs(df: DataFrame, features: Sequence[str], wide_from: int = 24) -> d
         vec = VectorAssembler(inputCols=list(features), outputCol="v").transform(clean)
         m = Correlation.corr(vec, "v").first()[0].toArray()
         out = {
-            (features[i], features[j]): (abs(m[i][j]) if m[i][j] == m[i][j] else 0.0)
+            (features[i], features[j]): (abs(float(m[i][j])) if m[i][j] == m[i][j] else 0.0)
             for i, j in combinations(range(len(features)), 2)
         }
     return out | {(b, a): v for (a, b), v in out.items()}
