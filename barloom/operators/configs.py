@@ -12,10 +12,6 @@ from barloom.functions.scalars import SESSION_MODES, winrate
 KEYS = ("group", "buy_threshold", "sell_threshold", "entry_mode", "min_phase", "side_mode", "session_mode")
 
 
-def _values(spark: SparkSession, name: str, kind: str, values: Sequence) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], f"`{name}` {kind}")
-
-
 def config_grid(
     spark: SparkSession,
     groups: Sequence[str],
@@ -36,10 +32,11 @@ def config_grid(
         ("side_mode", "string", sides),
         ("session_mode", "string", sessions),
     ]
-    out = _values(spark, *dims[0])
-    for dim in dims[1:]:
-        out = out.crossJoin(_values(spark, *dim))
-    return out
+    # One row exploded setting by setting: no joins, and a handful of tasks whatever the grid.
+    out = spark.range(0, 1, 1, 1)
+    for name, kind, values in dims:
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
+    return out.drop("id")
 
 
 def fold_rows(

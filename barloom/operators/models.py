@@ -21,7 +21,7 @@ from barloom.operators.metrics import prob_metrics
 from barloom.operators.ordered import expand, running_totals
 from barloom.operators.sampling import class_weights, sample_n, strat_folds, ts_folds
 from barloom.operators.selection import label_corr
-from barloom.session import materialise
+from barloom.session import materialise, small_table
 
 VECTOR = "__features"
 
@@ -110,7 +110,7 @@ def auc(df: DataFrame, label: str = "label", score_col: str = "score") -> float:
 
 def importances(model: Model, features: Sequence[str], spark) -> DataFrame:
     rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return small_table(spark, rows, "feature string, importance double")
 
 
 def forest_select(
@@ -139,7 +139,7 @@ def l1_fit(train: DataFrame, features: Sequence[str], c: float, label: str = "la
     )
     coef = est.fit(assemble(rows, features)).coefficients.toArray()
     data = [(f, float(v), abs(float(v))) for f, v in zip(features, coef)]
-    return train.sparkSession.createDataFrame(data, "feature string, l1_coef double, abs_l1_coef double")
+    return small_table(train.sparkSession, data, "feature string, l1_coef double, abs_l1_coef double")
 
 
 def l1_select(
@@ -163,7 +163,7 @@ def l1_select(
     allowed = [r for r in rows if min_features <= r[1] <= max_features] or rows
     best = max(allowed, key=lambda r: (r[3], -r[1]))
     out = [(*r, int(r is best)) for r in rows]
-    return spark.createDataFrame(out, "c double, n_features int, features string, valid_auc double, chosen int")
+    return small_table(spark, out, "c double, n_features int, features string, valid_auc double, chosen int")
 
 
 def rfe_select(
@@ -203,7 +203,7 @@ def rfe_select(
     for f in features:
         last = max(i for i, (names, _) in enumerate(history) if f in names)
         rows.append((f, 1 if f in chosen else best - last + 1, int(f in chosen), history[last][1]))
-    return df.sparkSession.createDataFrame(rows, "feature string, rank int, selected int, cv_auc double")
+    return small_table(df.sparkSession, rows, "feature string, rank int, selected int, cv_auc double")
 
 
 # Name parts that put a feature first, then by kind.
@@ -229,7 +229,7 @@ def block_selection(
         value = dict(zip(block, model.featureImportances.toArray()))
         best = sorted(block, key=lambda f: (-value[f], f))[:carry]
         rows.append((at // size, len(block), ",".join(best), auc(score(valid, model, block), label)))
-    return spark.createDataFrame(rows, "block int, n_features int, carried string, valid_auc double")
+    return small_table(spark, rows, "block int, n_features int, carried string, valid_auc double")
 
 
 def param_search(
@@ -252,7 +252,7 @@ def param_search(
             model = fit_forest(expand(split.filter(F.col("fold") != k)), features, label, **params, **fixed)
             scores.append(auc(score(expand(split.filter(F.col("fold") == k)), model, features), label))
         rows.append((str(params), sum(scores) / folds, min(scores)))
-    return df.sparkSession.createDataFrame(rows, "params string, mean_auc double, min_auc double")
+    return small_table(df.sparkSession, rows, "params string, mean_auc double, min_auc double")
 
 
 def permutation_importance(
@@ -280,7 +280,7 @@ def permutation_importance(
             shuffled = paired.withColumn(f, F.col(f"__d_{f}"))
             totals[f] += base - auc(score(shuffled, model, features), label)
     out = [(f, totals[f] / repeats, base) for f in features]
-    return spark.createDataFrame(out, "feature string, auc_drop double, base_auc double")
+    return small_table(spark, out, "feature string, auc_drop double, base_auc double")
 
 
 def partial_dependence(

@@ -19,6 +19,7 @@ from barloom.functions.scalars import finite, to_feature
 from barloom.operators.metrics import bin_edges, left_closed_bin, right_closed_bin
 from barloom.operators.ordered import exact_quantiles
 from barloom.operators.scaling import unpivot
+from barloom.session import small_table
 
 
 def value_counts(df: DataFrame, features: Sequence[str], label: str | None = None, ids: Sequence[str] = ()) -> DataFrame:
@@ -128,7 +129,7 @@ def corr_prune(
         "kept_feature string, dropped_feature string, abs_corr double, "
         "kept_abs_label_corr double, dropped_abs_label_corr double"
     )
-    return [f for f in features if f not in gone], df.sparkSession.createDataFrame(rows, schema)
+    return [f for f in features if f not in gone], small_table(df.sparkSession, rows, schema)
 
 
 def corr_forward(

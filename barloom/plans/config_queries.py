@@ -103,9 +103,9 @@ def best_configs(spark, sf_dir):
 
 @query(
     "diversified_topk",
-    f"""{_SUM_SQL}, t AS (SELECT *, CASE WHEN min_resolved >= 20 AND min_winrate >= 50 AND min_resolved >= 60 THEN 0 WHEN min_resolved >= 20 AND min_winrate >= 50 THEN 1 WHEN min_resolved >= 20 THEN 2 ELSE 3 END AS tier FROM su),
+    f"""{_SUM_SQL}, t AS (SELECT *, CASE WHEN min_resolved >= 20 AND min_winrate >= 45 AND min_resolved >= 60 THEN 0 WHEN min_resolved >= 20 AND min_winrate >= 45 THEN 1 WHEN min_resolved >= 20 THEN 2 ELSE 3 END AS tier FROM su),
       e AS (SELECT * FROM t WHERE tier = (SELECT min(tier) FROM t)),
-      p AS (SELECT * FROM e WHERE min_resolved <= 400 OR NOT EXISTS (SELECT 1 FROM e WHERE min_resolved <= 400)),
+      p AS (SELECT * FROM e WHERE min_resolved <= 2000 OR NOT EXISTS (SELECT 1 FROM e WHERE min_resolved <= 2000)),
       o AS (SELECT *, row_number() OVER (ORDER BY {_ORDER.replace('total_resolved DESC, ', '')}) AS rk FROM p),
       f AS (SELECT *, (row_number() OVER (PARTITION BY grp, entry_mode, side_mode, session_mode ORDER BY rk) = 1)::INTEGER AS lead_ FROM o),
       k AS (SELECT *, coalesce(sum(lead_) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM f),
@@ -115,5 +115,5 @@ def best_configs(spark, sf_dir):
 def diversified_topk(spark, sf_dir):
     from barloom.session import materialise
 
-    eligible = configs.band_eligible(materialise(summary(spark, sf_dir)), 20, 60, 400, 50.0)
+    eligible = configs.band_eligible(materialise(summary(spark, sf_dir)), 20, 60, 2000, 45.0)
     return configs.diversified_topk(eligible, ("group", "entry_mode", "side_mode", "session_mode"), 20)

@@ -11,6 +11,7 @@ from barloom.operators.sampling import year_split
 from barloom.plans.common import BARS, FEATURES, LONG, SCORED, SPLITS, bars, load, query, r, rs, scored, show
 from barloom.plans.cycle_queries import SIGNALS_SQL
 from barloom.plans.metric_queries import split_rows
+from barloom.session import small_table
 
 FS = list(FEATURES)
 _ID = ("l_orderkey", "l_linenumber", "ts")
@@ -113,7 +114,7 @@ def corr_prune(spark, sf_dir):
 def corr_forward(spark, sf_dir):
     df, features = embedding_frame(spark, sf_dir)
     kept = selection.corr_forward(df, features, 40, 0.9, force_tokens=("near0",))
-    return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "position int, feature string")
+    return small_table(spark, [(i, f) for i, f in enumerate(kept)], "position int, feature string")
 
 
 _BIN = """
@@ -225,7 +226,7 @@ def run_importance(spark, sf_dir):
       SELECT feature, count(*) AS votes, {r('max(importance)', 'max_importance')} FROM t WHERE rn = 1 GROUP BY feature""",
 )
 def importance_votes(spark, sf_dir):
-    available = spark.createDataFrame([("l_quantity",), ("l_extendedprice",), ("l_discount",)], "feature string")
+    available = small_table(spark, [("l_quantity",), ("l_extendedprice",), ("l_discount",)], "feature string")
     out = selection.importance_votes(run_importance(spark, sf_dir), available)
     return show(out, ("feature", "votes"), ("max_importance",))
 
@@ -240,7 +241,7 @@ _CAT = [("l_quantity", "size"), ("l_extendedprice", "size"), ("l_discount", "ter
       SELECT family, n_features, {r('mass')}, {r('mass / sum(mass) OVER ()', 'share')} FROM m""",
 )
 def family_mass(spark, sf_dir):
-    catalog = spark.createDataFrame(_CAT, "feature string, family string")
+    catalog = small_table(spark, _CAT, "feature string, family string")
     return show(selection.family_mass(run_importance(spark, sf_dir), catalog), ("family", "n_features"), ("mass", "share"))
 
 

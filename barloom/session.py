@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get_session(app: str = "barloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +41,14 @@ def materialise(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
     return df.checkpoint()
+
+
+def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A few literal rows as one partition inside the plan (settings, names, results of driver loops)."""
+    fields = T.StructType.fromDDL(schema).fields
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows
+    ]
+    if not structs:
+        return spark.createDataFrame([], schema)
+    return spark.range(0, 1, 1, 1).select(F.explode(F.array(*structs)).alias("row")).select("row.*")
