@@ -73,47 +73,48 @@ class ExactSums:
 
     A sliding frame is re-aggregated for every row, n*w work. The difference of
     two running totals is n work whatever the window, and on integers it does
-    not drift. Use `prepare` first, then the column builders on its result.
+    not drift. `prepare` adds count, sum and sum of squares per column and
+    window; the builders below are then plain expressions.
     """
 
     def __init__(self, w: WindowSpec):
         self.w = w
 
-    def prepare(self, df: DataFrame, names: Sequence[str], squares: bool = True) -> DataFrame:
-        run = so_far(self.w)
-        new = {}
+    def prepare(
+        self, df: DataFrame, names: Sequence[str], windows: Sequence[int], squares: bool = True, past_only: bool = False
+    ) -> DataFrame:
+        run, kinds = so_far(self.w), ("n", "s", "q") if squares else ("n", "s")
+        totals = {}
         for name in names:
             x = F.coalesce(F.col(name), F.lit(0)).cast("bigint")
-            new[f"__n_{name}"] = F.count(F.col(name)).over(run)
-            new[f"__s_{name}"] = F.sum(x).over(run)
-            if squares:
-                new[f"__q_{name}"] = F.sum(x * x).over(run)
-        return df.withColumns(new)
-
-    def _part(self, kind: str, name: str, n: int, past_only: bool) -> Column:
-        c = F.col(f"__{kind}_{name}")
-        if past_only:
-            return F.coalesce(F.lag(c, 1).over(self.w), F.lit(0)) - F.coalesce(F.lag(c, n + 1).over(self.w), F.lit(0))
-        return c - F.coalesce(F.lag(c, n).over(self.w), F.lit(0))
-
-    def count(self, name: str, n: int, past_only: bool = False) -> Column:
-        return self._part("n", name, n, past_only)
-
-    def sum(self, name: str, n: int, min_periods: int | None = None, past_only: bool = False) -> Column:
+            made = {"n": F.count(F.col(name)), "s": F.sum(x), "q": F.sum(x * x)}
+            totals |= {f"__{k}_{name}": made[k].over(run) for k in kinds}
+        df = df.withColumns(totals)
+        ends = {}
+        for total in totals:
+            now = F.coalesce(F.lag(total, 1).over(self.w), F.lit(0)) if past_only else F.col(total)
+            for n in windows:
+                then = F.coalesce(F.lag(total, n + 1 if past_only else n).over(self.w), F.lit(0))
+                ends[f"{total}_{n}"] = now - then
+        return df.withColumns(ends).drop(*totals)
+
+    def count(self, name: str, n: int) -> Column:
+        return F.col(f"__n_{name}_{n}")
+
+    def sum(self, name: str, n: int, min_periods: int | None = None) -> Column:
         need = n if min_periods is None else min_periods
-        return F.when(self.count(name, n, past_only) >= need, self._part("s", name, n, past_only))
+        return F.when(self.count(name, n) >= need, F.col(f"__s_{name}_{n}"))
 
-    def mean(self, name: str, n: int, min_periods: int | None = None, past_only: bool = False) -> Column:
-        return self.sum(name, n, min_periods, past_only) / self.count(name, n, past_only)
+    def mean(self, name: str, n: int, min_periods: int | None = None) -> Column:
+        return self.sum(name, n, min_periods) / self.count(name, n)
 
-    def var(self, name: str, n: int, min_periods: int | None = None, past_only: bool = False) -> Column:
+    def var(self, name: str, n: int, min_periods: int | None = None) -> Column:
         need = n if min_periods is None else min_periods
-        k = self.count(name, n, past_only)
-        s, q = self._part("s", name, n, past_only), self._part("q", name, n, past_only)
+        k, s, q = self.count(name, n), F.col(f"__s_{name}_{n}"), F.col(f"__q_{name}_{n}")
         return F.when((k >= need) & (k > 1), (k * q - s * s) / (k * (k - 1)).cast("double"))
 
-    def std(self, name: str, n: int, min_periods: int | None = None, past_only: bool = False) -> Column:
-        return F.sqrt(self.var(name, n, min_periods, past_only))
+    def std(self, name: str, n: int, min_periods: int | None = None) -> Column:
+        return F.sqrt(self.var(name, n, min_periods))
 
     @staticmethod
     def drop(df: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def add_rolling_stats(df: DataFrame, windows: Sequence[int] = WINDOWS, by: Seque
             "__body": points(F.abs(F.col("close") - F.col("open"))),
         }
     ).withColumn("__ret", diff("__c", 1, w))
-    df = exact.prepare(df, ["__c", "__rng", "__body", "__ret"])
+    df = exact.prepare(df, ["__c", "__rng", "__body", "__ret"], windows)
     new = {}
     for n in windows:
         new[f"z_close_{n}"] = safe_div(F.col("__c") - exact.mean("__c", n), exact.std("__c", n))
@@ -77,7 +77,7 @@ def bands(df: DataFrame, periods: Sequence[int], by: Sequence[str] = KEY) -> Dat
     """`bb<p>_mid`, `bb<p>_std`, `bb<p>_upper`, `bb<p>_lower` of close, from exact running sums."""
     w = series(by)
     exact = ExactSums(w)
-    df = exact.prepare(df.withColumn("__c", points("close")), ["__c"])
+    df = exact.prepare(df.withColumn("__c", points("close")), ["__c"], periods)
     df = df.withColumns(
         {
             **{f"bb{p}_mid": exact.mean("__c", p) / POINT for p in periods},
@@ -277,7 +277,7 @@ def add_atr_simple(
     w = series(by)
     # Exact sums, so that equal means are equal numbers and tie in the rank.
     exact = ExactSums(w)
-    df = exact.prepare(df.withColumn("__tr", points(true_range(w))), ["__tr"], squares=False)
+    df = exact.prepare(df.withColumn("__tr", points(true_range(w))), ["__tr"], (period,), squares=False)
     df = exact.drop(df.withColumn("atr_simple", exact.mean("__tr", period) / POINT)).drop("__tr")
     return add_ranks(df, [Rank("atr_rank", "atr_simple", rank_window, rank_min, "pct")], by)
 
@@ -481,7 +481,7 @@ def add_ema_stack(df: DataFrame) -> DataFrame:
 def add_volume_z(df: DataFrame, window: int = 100, by: Sequence[str] = KEY) -> DataFrame:
     w = series(by)
     exact = ExactSums(w)
-    df = exact.prepare(df.withColumn("__v", F.col("volume").cast("bigint")), ["__v"])
+    df = exact.prepare(df.withColumn("__v", F.col("volume").cast("bigint")), ["__v"], (window,))
     z = safe_div(F.col("volume") - exact.mean("__v", window), exact.std("__v", window))
     return exact.drop(df.withColumn(f"volume_z_{window}", z)).drop("__v")
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.ordered import exact_quantiles, running_totals
+from barloom.operators.ordered import exact_quantiles, quantiles_of_runs, running_totals, value_runs
 
 EPS = 2.220446049250313e-16
 
@@ -100,10 +100,10 @@ def prob_distribution(df: DataFrame, by: Sequence[str], score: str = "score") ->
     return m.join(q.drop("n"), list(by)) if by else m.crossJoin(q.drop("n"))
 
 
-def bin_edges(df: DataFrame, by: Sequence[str], value: str, bins: int = 10) -> DataFrame:
-    """Distinct quantile edges per group as an array of at most bins + 1 numbers."""
+def edges_of_runs(runs: DataFrame, by: Sequence[str], value: str, bins: int = 10) -> DataFrame:
+    """Distinct quantile edges per group as an array of at most bins + 1 numbers, read off `value_runs`."""
     names = [f"__e{i}" for i in range(bins + 1)]
-    q = exact_quantiles(df, by, value, [i / bins for i in range(bins + 1)], names)
+    q = quantiles_of_runs(runs, by, value, [i / bins for i in range(bins + 1)], names)
     return q.select(*by, F.col("n").alias("edge_rows"), F.array_sort(F.array_distinct(F.array(*names))).alias("edges"))
 
 
@@ -122,16 +122,14 @@ def left_closed_bin(value: Column, edges: Column) -> Column:
 
 def calibration(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "score", bins: int = 10) -> DataFrame:
     """Mean score and observed rate per quantile bin of the score; empty bins do not appear."""
-    folded = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(label).alias("__pos")
-    )
-    edges = bin_edges(df, by, score, bins)
-    joined = folded.join(edges, list(by)) if by else folded.crossJoin(F.broadcast(edges))
+    runs = value_runs(df, by, score, pos=F.sum(F.col(label).cast("bigint")))
+    edges = edges_of_runs(runs, by, score, bins)
+    joined = runs.join(edges, list(by)) if by else runs.crossJoin(F.broadcast(edges))
     binned = joined.withColumn("bin", right_closed_bin(F.col(score), F.col("edges")))
     return binned.groupBy(*by, "bin").agg(
-        F.sum("__n").alias("rows"),
-        (F.sum(F.col(score) * F.col("__n")) / F.sum("__n")).alias("mean_score"),
-        (F.sum("__pos") / F.sum("__n")).alias("observed_rate"),
+        F.sum("n").alias("rows"),
+        (F.sum(F.col(score) * F.col("n")) / F.sum("n")).alias("mean_score"),
+        (F.sum("pos") / F.sum("n")).alias("observed_rate"),
     )
 
 

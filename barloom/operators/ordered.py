@@ -65,37 +65,42 @@ def _name(q: float) -> str:
     return "q" + f"{q * 100:g}".replace(".", "_")
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, from counts of distinct values.
+def value_runs(df: DataFrame, by: Sequence[str], value: str, **sums: Column) -> DataFrame:
+    """Running counts per distinct known value (`n`, `cum_n`, `all_n`), with further sums if given."""
+    return running_totals(df.filter(F.col(value).isNotNull()), by, [value], {"n": F.count(F.lit(1)), **sums})
 
-    `percentile` keeps every distinct value of a group in one task's memory;
-    this keeps them spread over the cluster.
+
+def quantiles_of_runs(runs: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
+    """Linearly interpolated quantiles read off `value_runs`.
+
+    A value covers the 0-based ranks [cum_n - n, cum_n); the wanted rank is q * (all_n - 1).
     """
     names = list(names or [_name(q) for q in qs])
-    known = df.filter(F.col(value).isNotNull())
-    runs = running_totals(known, by, [value], {"n": F.count(F.lit(1))})
-    # A value covers the 0-based ranks [cum_n - n, cum_n); the wanted rank is q * (all_n - 1).
+
+    def holds(rank: Column) -> Column:
+        return (F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n"))
+
     parts = []
     for i, q in enumerate(qs):
         pos = F.lit(float(q)) * (F.col("all_n") - 1)
-        lo = F.floor(pos)
-        hi = F.ceil(pos)
+        parts.append(F.max(F.when(holds(F.floor(pos)), F.col(value))).alias(f"__lo{i}"))
+        parts.append(F.max(F.when(holds(F.ceil(pos)), F.col(value))).alias(f"__hi{i}"))
+    out = runs.groupBy(*by).agg(F.max("all_n").alias("n"), *parts)
 
-        def holds(rank: Column) -> Column:
-            return (F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n"))
+    def between(i: int, q: float) -> Column:
+        pos = F.lit(float(q)) * (F.col("n") - 1)
+        return F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (pos - F.floor(pos))
 
-        parts.append(F.max(F.when(holds(lo), F.col(value))).alias(f"__lo{i}"))
-        parts.append(F.max(F.when(holds(hi), F.col(value))).alias(f"__hi{i}"))
-    out = runs.groupBy(*by).agg(F.max("all_n").alias("n"), *parts)
-    frac = [F.lit(float(q)) * (F.col("n") - 1) - F.floor(F.lit(float(q)) * (F.col("n") - 1)) for q in qs]
-    return out.select(
-        *by,
-        "n",
-        *[
-            (F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * frac[i]).alias(name)
-            for i, name in enumerate(names)
-        ],
-    )
+    return out.select(*by, "n", *[between(i, q).alias(name) for i, (q, name) in enumerate(zip(qs, names))])
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles per group, from counts of distinct values.
+
+    `percentile` keeps every distinct value of a group in one task's memory;
+    this keeps them spread over the cluster.
+    """
+    return quantiles_of_runs(value_runs(df, by, value), by, value, qs, names)
 
 
 def row_positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:

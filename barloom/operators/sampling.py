@@ -1,18 +1,20 @@
 """Deterministic samples, thinning, splits and folds.
 
-Samples are ordered by a hash of the whole row, so they do not depend on how
-data is partitioned. Positions come from `ordered.row_positions`; identical
-rows are one folded row, and the cut runs through its copies.
+Samples are ordered by a hash of the row, so they do not depend on how data is
+partitioned. Where a true order matters (thinning, folds) positions come from
+`ordered.row_positions`; identical rows are one folded row there, and a cut may
+run through its copies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ordered import expand, row_positions
+from barloom.session import materialise
 
 
 def row_hash(columns: Sequence[str], seed: int = 0) -> Column:
@@ -21,42 +23,87 @@ def row_hash(columns: Sequence[str], seed: int = 0) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
-def _take(df: DataFrame, limit: Column, columns: Sequence[str]) -> DataFrame:
-    taken = F.greatest(F.least(F.col("copies"), limit - F.col("first_pos")), F.lit(0))
-    return expand(df.withColumn("copies", taken).filter("copies > 0")).select(*columns)
+HASH_DIGITS = 4
+
+
+def _join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add the columns of a one-row-per-group table; a missing key is a group like any other."""
+    if not by:
+        return df.crossJoin(F.broadcast(groups))
+    named = groups.select(*[F.col(c).alias(f"__k_{c}") for c in by], *[c for c in groups.columns if c not in by])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    return df.join(named, on).drop(*[f"__k_{c}" for c in by])
+
+
+def _smallest_hashes(
+    hashed: DataFrame, by: Sequence[str], limit: Callable[[DataFrame], DataFrame], columns: Sequence[str]
+) -> DataFrame:
+    """The rows with the smallest hashes, as many per group as `limit` says.
+
+    Rows are never sorted as a whole. The leading hash digits split them evenly into
+    16 ** HASH_DIGITS buckets; bucket counts (combined map-side) show which buckets lie
+    wholly inside the limit and which one it runs through. Rows of the former pass a
+    filter; only the latter's, a 1 / 65536 share, are folded and ranked. `limit` turns
+    (by, __rows) into the same with `__limit`.
+    """
+    bucketed = hashed.withColumn("__b", F.substring("__h", 1, HASH_DIGITS))
+    counts = materialise(bucketed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n")))
+    limits = limit(counts.groupBy(*by).agg(F.sum("__n").alias("__rows")))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    cum = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    cum = _join_groups(cum, limits.select(*by, "__limit"), by)
+    room = F.col("__limit") - F.col("__before")
+    cut = (room > 0) & (room < F.col("__n"))
+    # One row per group: the last bucket wholly taken, the bucket cut and how many of its rows are taken.
+    plan = cum.groupBy(*by).agg(
+        F.max(F.when(room >= F.col("__n"), F.col("__b"))).alias("__whole"),
+        F.max(F.when(cut, F.col("__b"))).alias("__cut"),
+        F.max(F.when(cut, room)).alias("__room"),
+    )
+    whole = F.col("__b") <= F.coalesce("__whole", F.lit(""))
+    kept = materialise(
+        _join_groups(bucketed, plan, by)
+        .withColumn("__in", whole)
+        .filter(F.col("__in") | (F.col("__b") == F.col("__cut")))
+    )
+    others = [c for c in columns if c not in by]
+    folded = kept.filter(~F.col("__in")).groupBy(*by, "__h", *others).agg(
+        F.count(F.lit(1)).alias("__n"), F.max("__room").alias("__room")
+    )
+    rank = Window.partitionBy(*by).orderBy("__h", *others).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("__room") - F.coalesce(F.sum("__n").over(rank), F.lit(0))
+    folded = folded.withColumn("copies", F.least(F.col("__n"), left)).filter("copies > 0")
+    return kept.filter("__in").select(*columns).unionByName(expand(folded).select(*columns))
 
 
 def sample_n(df: DataFrame, n: int, by: Sequence[str] = (), seed: int = 0, keys: Sequence[str] | None = None) -> DataFrame:
     """Exactly min(n, rows) rows, per group of `by` if given. `keys` is what the hash reads (default: all)."""
-    columns = df.columns
-    hashed = df.withColumn("__h", row_hash(keys or columns, seed))
-    placed = row_positions(hashed, list(by), ["__h", *[c for c in columns if c not in by]])
-    return _take(placed, F.lit(n), columns)
+    hashed = df.withColumn("__h", row_hash(keys or df.columns, seed))
+    return _smallest_hashes(hashed, list(by), lambda sizes: sizes.withColumn("__limit", F.lit(n)), df.columns)
 
 
 def balanced_sample(
     df: DataFrame, max_rows: int, label: str = "label", by: Sequence[str] = (), seed: int = 0, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """At most max_rows rows per group: half from class 1, the rest from class 0. All rows if they fit."""
-    columns = df.columns
-    hashed = df.withColumn("__h", row_hash(keys or columns, seed))
-    group = [*by, label]
-    placed = row_positions(hashed, group, ["__h", *[c for c in columns if c not in group]])
-    sizes = placed.groupBy(*by).agg(
-        F.sum("copies").alias("__all"),
-        F.sum(F.when(F.col(label) == 1, F.col("copies")).otherwise(0)).alias("__pos"),
-    )
-    if by:
-        placed = placed.join(sizes, list(by))
-    else:
-        placed = placed.crossJoin(F.broadcast(sizes))
-    positives = F.least(F.col("__pos"), F.lit(max_rows // 2))
-    limit = (
-        F.when(F.col("__all") <= max_rows, F.col("group_rows"))
-        .when(F.col(label) == 1, positives)
-        .otherwise(F.lit(max_rows) - positives)
-    )
-    return _take(placed, limit, columns)
+
+    def limit(sizes: DataFrame) -> DataFrame:
+        # One row per group and class.
+        whole = Window.partitionBy(*by)
+        total = F.sum("__rows").over(whole)
+        ones = F.sum(F.when(F.col(label) == 1, F.col("__rows")).otherwise(0)).over(whole)
+        positives = F.least(ones, F.lit(max_rows // 2))
+        value = (
+            F.when(total <= max_rows, F.col("__rows"))
+            .when(F.col(label) == 1, positives)
+            .otherwise(F.lit(max_rows) - positives)
+        )
+        return sizes.withColumn("__limit", value)
+
+    hashed = df.withColumn("__h", row_hash(keys or df.columns, seed))
+    return _smallest_hashes(hashed, [*by, label], limit, df.columns)
 
 
 def ordered_thin(df: DataFrame, k: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import finite, to_feature
-from barloom.operators.metrics import bin_edges, left_closed_bin, right_closed_bin
-from barloom.operators.ordered import exact_quantiles
+from barloom.operators.metrics import edges_of_runs, left_closed_bin, right_closed_bin
+from barloom.operators.ordered import running_totals, value_runs
 from barloom.operators.scaling import unpivot
-from barloom.session import small_table
+from barloom.session import materialise, small_table
 
 
 def value_counts(df: DataFrame, features: Sequence[str], label: str | None = None, ids: Sequence[str] = ()) -> DataFrame:
@@ -153,31 +153,60 @@ def corr_forward(
     return taken
 
 
-def binned_mi(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 10) -> DataFrame:
-    """Mutual information (nats) of the label with each feature cut at its quantiles."""
-    known = unpivot(df.filter(F.col(label).isNotNull()), features, [label]).filter(F.col("value").isNotNull())
-    counts = known.groupBy("feature", "value").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.col(label).cast("bigint")).alias("positives")
-    )
-    edges = bin_edges(known, ["feature"], "value", bins)
-    cells = (
-        counts.join(F.broadcast(edges), "feature")
+def label_bins(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 10) -> DataFrame:
+    """(feature, bin, rows, positives, mean, distinct): each feature cut at its quantiles, repeated edges merged.
+
+    Edges and bin counts both come from one pass over the values.
+    """
+    known = unpivot(df.filter(F.col(label).isNotNull()), features, [label]).withColumn("value", finite("value"))
+    runs = value_runs(known, ["feature"], "value", pos=F.sum(F.col(label).cast("bigint")))
+    edges = edges_of_runs(runs, ["feature"], "value", bins)
+    return (
+        runs.join(F.broadcast(edges), "feature")  # one row per feature
         .withColumn("bin", right_closed_bin(F.col("value"), F.col("edges")))
         .groupBy("feature", "bin")
-        .agg(F.sum("rows").alias("n"), F.sum("positives").alias("p1"))
+        .agg(
+            F.sum("n").alias("rows"),
+            F.sum("pos").alias("positives"),
+            (F.sum("pos") / F.sum("n")).alias("mean"),
+            F.count(F.lit(1)).alias("distinct"),
+        )
     )
-    # At most `bins` rows per feature from here on.
+
+
+def mi_of_bins(cells: DataFrame) -> DataFrame:
+    """Mutual information (nats) of label and bin. At most `bins` rows per feature come in."""
     all_rows = Window.partitionBy("feature")
-    cells = cells.withColumns({"all_n": F.sum("n").over(all_rows), "all_p": F.sum("p1").over(all_rows)})
+    cells = cells.withColumns({"__n": F.sum("rows").over(all_rows), "__p": F.sum("positives").over(all_rows)})
 
     def term(joint: Column, marginal: Column) -> Column:
-        return F.when(joint > 0, joint / F.col("all_n") * F.log(joint * F.col("all_n") / (F.col("n") * marginal.cast("double")))).otherwise(0.0)
+        share = joint * F.col("__n") / (F.col("rows") * marginal.cast("double"))
+        return F.when(joint > 0, joint / F.col("__n") * F.log(share)).otherwise(0.0)
 
-    ones, zeros = F.col("p1"), F.col("n") - F.col("p1")
-    mi = term(ones, F.col("all_p")) + term(zeros, F.col("all_n") - F.col("all_p"))
+    ones, zeros = F.col("positives"), F.col("rows") - F.col("positives")
+    mi = term(ones, F.col("__p")) + term(zeros, F.col("__n") - F.col("__p"))
     return cells.groupBy("feature").agg(F.sum(mi).alias("mutual_info"))
 
 
+def lift_of_bins(cells: DataFrame, min_unique: int = 5) -> DataFrame:
+    """Rows and label mean per bin, bins numbered from 1; features with few distinct values are left out."""
+    per = Window.partitionBy("feature")
+    number = F.row_number().over(per.orderBy("bin"))
+    return (
+        cells.withColumns({"decile": number, "__u": F.sum("distinct").over(per)})
+        .filter(F.col("__u") >= min_unique)
+        .select("feature", "decile", F.col("rows").alias("count"), "mean")
+    )
+
+
+def binned_mi(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 10) -> DataFrame:
+    return mi_of_bins(label_bins(df, features, label, bins))
+
+
+def decile_lift(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 10, min_unique: int = 5) -> DataFrame:
+    return lift_of_bins(label_bins(df, features, label, bins), min_unique)
+
+
 def average_rank(c: str, descending: bool = True, pct: bool = False, by: Sequence[str] = ()) -> Column:
     """Rank with ties averaged. For tables of one row per feature."""
     over = Window.partitionBy(*by)
@@ -248,9 +277,11 @@ def psi(df: DataFrame, features: Sequence[str], expected: Column, period: str, b
     Missing if either side has fewer than 5 * bins known values, 0 if there are fewer than 3 distinct cuts.
     """
     marked = df.withColumn("__exp", expected.cast("int"))
-    counts = value_counts(marked, features, ids=(period, "__exp")).filter(F.col("value").isNotNull())
-    base = unpivot(marked.filter("__exp = 1"), features).withColumn("value", finite("value")).filter(F.col("value").isNotNull())
-    edges = bin_edges(base, ["feature"], "value", bins)
+    counts = materialise(value_counts(marked, features, ids=(period, "__exp")).filter(F.col("value").isNotNull()))
+    # The cuts are those of the expected rows: the same counts, weighted.
+    base = counts.filter("__exp = 1")
+    runs = running_totals(base, ["feature"], ["value"], {"n": F.sum("rows")})
+    edges = edges_of_runs(runs, ["feature"], "value", bins)
     binned = counts.join(F.broadcast(edges), "feature").withColumn("bin", left_closed_bin(F.col("value"), F.col("edges")))
     cells = binned.groupBy("feature", period, "bin").agg(
         F.sum("rows").alias("a"),
@@ -280,23 +311,6 @@ def psi(df: DataFrame, features: Sequence[str], expected: Column, period: str, b
     )
 
 
-def decile_lift(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 10, min_unique: int = 5) -> DataFrame:
-    """Rows and label mean per quantile bin of each feature; repeated edges are merged."""
-    counts = value_counts(df, features, label).filter(F.col("value").isNotNull())
-    long = unpivot(df, features).withColumn("value", finite("value")).filter(F.col("value").isNotNull())
-    edges = bin_edges(long, ["feature"], "value", bins)
-    enough = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("__u")).filter(F.col("__u") >= min_unique)
-    binned = (
-        counts.join(F.broadcast(edges), "feature")
-        .join(F.broadcast(enough), "feature", "left_semi")
-        .withColumn("__bin", right_closed_bin(F.col("value"), F.col("edges")))
-        .groupBy("feature", "__bin")
-        .agg(F.sum("rows").alias("count"), (F.sum("positives") / F.sum("rows")).alias("mean"))
-    )
-    number = F.row_number().over(Window.partitionBy("feature").orderBy("__bin"))
-    return binned.withColumn("decile", number).drop("__bin")
-
-
 def feature_quality(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """dtype, share of missing values and number of distinct known values per feature."""
     types = dict(df.dtypes)

@@ -151,9 +151,10 @@ _MS = ("importance", "abs_label_corr", "mutual_info")
 def feature_scores(spark, sf_dir):
     """Three scores per feature: |corr with label|, mutual information, spread of the decile means."""
     df = scored(spark, sf_dir)
-    spread = selection.decile_lift(df, FS).groupBy("feature").agg((F.max("mean") - F.min("mean")).alias("importance"))
+    cells = selection.label_bins(df, FS)
+    spread = cells.groupBy("feature").agg((F.max("mean") - F.min("mean")).alias("importance"))
     corr = selection.label_corr(df, FS).select("feature", "abs_label_corr")
-    return corr.join(selection.binned_mi(df, FS), "feature").join(spread, "feature")
+    return corr.join(selection.mi_of_bins(cells), "feature").join(spread, "feature")
 
 
 @query(
