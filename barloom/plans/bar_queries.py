@@ -9,6 +9,7 @@ from barloom.functions.windows import roll_mean, roll_std, series
 from barloom.operators import signals, thresholds
 from barloom.operators.chunks import halo_chunks, trim, with_bar_idx
 from barloom.operators.ewm import Ewm, add_ewm_continuous
+from barloom.operators.ordered import exact_quantiles
 from barloom.operators.resample import asof_backward, htf_features, resample
 from barloom.plans.common import BARS, bars, ewm_sql, full, lag_, load, query, r, rs, show, span
 from barloom.sources import bars as src
@@ -25,13 +26,13 @@ def ohlc_bars(spark, sf_dir):
     "bars_clean",
     """SELECT event_type AS symbol, year(ts)::INTEGER AS year, count(*) AS rows, min(ts) AS first_ts, max(ts) AS last_ts,
        max(value) AS high, min(value) AS low
-     FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND event_id % 7 <> 3 GROUP BY ALL""",
+     FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND value < 120 GROUP BY ALL""",
 )
 def bars_clean(spark, sf_dir):
-    """Tick rows in the raw bar layout, with some dates made unreadable: cleaning must drop just those."""
+    """Tick rows in the raw bar layout, large ones with an unreadable date: cleaning must drop just those."""
     raw = load(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"),
-        F.when(F.col("event_id") % 7 == 3, "n/a").otherwise(F.col("ts").cast("string")).alias("dates"),
+        F.when(F.col("value") >= 120, "n/a").otherwise(F.col("ts").cast("string")).alias("dates"),
         *[F.col("value").alias(c) for c in ("open", "high", "low", "close")],
         F.lit(1.0).alias("volume"),
     )
@@ -242,8 +243,6 @@ def audit(spark, sf_dir):
       {r('quantile_cont(close, 0.75)', 'p75')}, {r('quantile_cont(close, 0.95)', 'p95')}, max(close) AS max FROM bars GROUP BY symbol""",
 )
 def describe(spark, sf_dir):
-    from barloom.operators.ordered import exact_quantiles
-
     b = bars(spark, sf_dir)
     base = b.groupBy("symbol").agg(
         F.count("close").alias("count"), F.avg("close").alias("mean"), F.stddev_samp("close").alias("std"),

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import metrics, models, selection, thresholds
-from barloom.plans.common import FEATURES, bars, query, scored, show
+from barloom.operators import metrics, models
+from barloom.plans.common import FEATURES, query
 from barloom.plans.metric_queries import split_rows
-from barloom.session import materialise
 
 FS = [*FEATURES, "late", "session"]
 SMALL = {"trees": 10, "depth": 4, "min_leaf": 50, "subsample": 0.8}
@@ -47,9 +46,9 @@ def gbt_scores(spark, sf_dir):
 @query("score_frame")
 def score_frame(spark, sf_dir):
     """Every line keeps a row; those missing a feature get no score."""
-    train, _, test = parts(spark, sf_dir)
-    model = models.fit_forest(train, FS, **SMALL)
-    holed = test.withColumn("l_tax", F.when(F.col("l_linenumber") != 7, F.col("l_tax")))
+    df = rows(spark, sf_dir)
+    model = models.fit_forest(df.filter("split = 'train'"), FS, **SMALL)
+    holed = df.withColumn("l_tax", F.when(F.col("l_linenumber") != 7, F.col("l_tax")))
     return models.score(holed, model, FS, "p").select("l_orderkey", "l_linenumber", "ts", "p")
 
 

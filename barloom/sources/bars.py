@@ -119,12 +119,17 @@ def bars_from_events(
     )
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], prefer: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the smallest by the `prefer` columns, then by value. An aggregate, so a hot key combines map-side."""
+    values = [c for c in df.columns if c not in (*keys, *prefer)]
+    first = F.min(F.struct(*prefer, *values)).alias("__first")
+    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"__first.{c}").alias(c) for c in values])
+
+
 def upsert_bars(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """Append `new` to `old`; where both hold a key the row of `old` stays."""
     both = old.withColumn("__prio", F.lit(0)).unionByName(new.withColumn("__prio", F.lit(1)))
-    values = [c for c in old.columns if c not in keys]
-    first = F.min(F.struct("__prio", *values)).alias("__first")
-    return both.groupBy(*keys).agg(first).select(*keys, *[F.col(f"__first.{c}").alias(c) for c in values])
+    return one_per_key(both, keys, ["__prio"])
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from barloom.sources.bars import upsert_bars
+from barloom.sources.bars import one_per_key
 
 WIDTH = "1 hour"
 
@@ -60,7 +60,7 @@ def stream_upsert(bars: DataFrame, path: str, checkpoint: str, once: bool = True
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        fresh = upsert_bars(batch.limit(0), batch)
+        fresh = one_per_key(batch, ["symbol", "ts"])
         try:
             old = spark.read.schema(batch.schema).parquet(path)
             years = batch.select("year").distinct()
