@@ -32,13 +32,11 @@ def running_totals(
     folded = df.groupBy(*by, *order).agg(*[c.alias(n) for n, c in sums.items()])
     direction = F.desc if descending else F.asc
     keys = [direction(c) for c in order]
-    # The partition number must be the same for both uses below, hence the write.
-    placed = materialise(
-        folded.repartitionByRange(*[F.asc(c) for c in by], *keys).withColumn("__part", F.spark_partition_id())
-    )
+    placed = folded.repartitionByRange(*[F.asc(c) for c in by], *keys).withColumn("__part", F.spark_partition_id())
     inside = Window.partitionBy(*by, "__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumns({f"cum_{n}": F.sum(n).over(inside) for n in sums})
-    totals = placed.groupBy(*by, "__part").agg(*[F.sum(n).alias(f"__t_{n}") for n in sums])
+    # Written once: totals and rows below must see the same partition numbers, and callers read the result often.
+    local = materialise(placed.withColumns({f"cum_{n}": F.sum(n).over(inside) for n in sums}))
+    totals = local.groupBy(*by, "__part").agg(*[F.sum(n).alias(f"__t_{n}") for n in sums])
     group = Window.partitionBy(*by)
     before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select(

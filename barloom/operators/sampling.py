@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ordered import expand, row_positions
-from barloom.session import materialise
+from barloom.session import join_measured, materialise
 
 
 def row_hash(columns: Sequence[str], seed: int = 0) -> Column:
@@ -26,7 +26,7 @@ def row_hash(columns: Sequence[str], seed: int = 0) -> Column:
 HASH_DIGITS = 4
 
 
-def _join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+def _join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], measured: bool = False) -> DataFrame:
     """Add the columns of a one-row-per-group table; a missing key is a group like any other."""
     if not by:
         return df.crossJoin(F.broadcast(groups))
@@ -34,7 +34,8 @@ def _join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFra
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    return df.join(named, on).drop(*[f"__k_{c}" for c in by])
+    joined = join_measured(df, named, on) if measured else df.join(named, on)
+    return joined.drop(*[f"__k_{c}" for c in by])
 
 
 def _smallest_hashes(
@@ -64,7 +65,7 @@ def _smallest_hashes(
     )
     whole = F.col("__b") <= F.coalesce("__whole", F.lit(""))
     kept = materialise(
-        _join_groups(bucketed, plan, by)
+        _join_groups(bucketed, plan, by, measured=True)
         .withColumn("__in", whole)
         .filter(F.col("__in") | (F.col("__b") == F.col("__cut")))
     )

@@ -43,6 +43,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_ROWS = 200_000
+
+
+def join_measured(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a table that is usually small: written and counted first, broadcast only up to BROADCAST_ROWS rows.
+
+    Beyond that it is an ordinary shuffle join. Without the count the planner would shuffle the big side
+    before knowing how small the other one is.
+    """
+    small = materialise(small)
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
 def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
     """A few literal rows as one partition inside the plan (settings, names, results of driver loops)."""
     fields = T.StructType.fromDDL(schema).fields
