@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import SESSION_MODES, winrate
+from barloom.session import materialise
 
 KEYS = ("group", "buy_threshold", "sell_threshold", "entry_mode", "min_phase", "side_mode", "session_mode")
 
@@ -110,6 +111,8 @@ def evaluate_configs(
     A config is a buy part plus a sell part, each looked up once, so the thresholds of the two sides are
     never multiplied against rows.
     """
+    # Read once per side; without this the rows themselves would be scanned twice.
+    folded = materialise(folded)
     scaffold = grid.withColumn("year", F.explode(F.array(*[F.lit(y) for y in years])))
     shared = ["group", "entry_mode", "min_phase", "session_mode", "year"]
     parts = []

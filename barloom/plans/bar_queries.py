@@ -12,6 +12,7 @@ from barloom.operators.ewm import Ewm, add_ewm_continuous
 from barloom.operators.ordered import exact_quantiles
 from barloom.operators.resample import asof_backward, htf_features, resample
 from barloom.plans.common import BARS, bars, ewm_sql, full, lag_, load, query, r, rs, show, span
+from barloom.session import materialise
 from barloom.sources import bars as src
 
 PRICES = ("open", "high", "low", "close", "volume")
@@ -127,7 +128,8 @@ _ASOF = ["h4_ret", "h4_rsi_14", "h4_ema_dist_8", "h4_volatility_6"]
       FROM bars b ASOF LEFT JOIN h4 ON b.symbol = h4.symbol AND b.year = h4.year AND b.ts >= h4.ts""",
 )
 def htf_asof(spark, sf_dir):
-    b = bars(spark, sf_dir)
+    # Bars are far fewer than events; both sides read them.
+    b = materialise(bars(spark, sf_dir))
     joined = asof_backward(b, htf_features(resample(b, 4 * 3600), "h4"))
     return show(joined, ("symbol", "ts", "close"), _ASOF)
 

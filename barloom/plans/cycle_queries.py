@@ -36,6 +36,7 @@ from barloom.plans.common import (
 )
 from barloom.plans.indicator_queries import NORM_SQL, RSI_SIMPLE, v2_sql
 from barloom.plans.window_queries import KEYS
+from barloom.session import materialise
 
 
 def runs_sql(source: str, dir_expr: str, name: str, p: str) -> str:
@@ -246,7 +247,7 @@ edge AS (SELECT lab.*, {', '.join(f'h4.{c}' for c in _G)}, {DAY_SPLIT.replace('t
 
 def edge_rows(spark, sf_dir):
     """Candidate rows with the higher-timeframe columns gates read, their label and split."""
-    b = bars(spark, sf_dir)
+    b = materialise(bars(spark, sf_dir))
     sig = signals.add_buy_signals(signals.add_signal_inputs(b))
     keep = ["symbol", "year", "ts", "open", "high", "low", "close", "session_london_ny", "session_ny", *signals.SIGNALS]
     lab = labels.buy_labels(sig.select(*keep), R1, HORIZON)
@@ -287,8 +288,6 @@ _GATE_COLS = [f"gate_{g}" for g in signals.GATES]
 
 
 def gated_rows(spark, sf_dir):
-    from barloom.session import materialise
-
     # Used twice: for the training quantiles and for the gates themselves.
     rows = materialise(edge_rows(spark, sf_dir))
     return signals.add_gates(rows, quantile_table(rows))
