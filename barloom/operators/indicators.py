@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.scalars import POINT, clip, flag, points, safe_div, sign
+from barloom.functions.scalars import POINT, clip, flag, points, safe_div
 from barloom.functions.windows import (
     KEY,
     ExactSums,

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import clip, finite, safe_div, to_feature
-from barloom.functions.windows import KEY, lag, roll_max, roll_min, roll_std, series, trailing
+from barloom.functions.scalars import finite, safe_div, to_feature
+from barloom.functions.windows import KEY, roll_max, roll_min, roll_std, series, trailing
 from barloom.operators.ordered import exact_quantiles
 from barloom.operators.rolling_rank import Rank, add_ranks
 

@@ -7,11 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import POINT, flag, in_session, safe_div
+from barloom.functions.scalars import (
+    POINT,
+    SESSION_MODES,
+    flag,
+    in_session,
+    safe_div,
+    session_flags,
+    time_cycles,
+)
 from barloom.functions.windows import KEY, lag, roll_sum, diff, series
 from barloom.operators.ewm import add_smoothed
 from barloom.operators.indicators import band_position, bands
-from barloom.functions.scalars import session_flags, time_cycles
 
 
 def add_buy_signals(df: DataFrame) -> DataFrame:
@@ -260,6 +267,4 @@ def add_order_levels(
 
 
 def session_mode_flags(ts: str = "ts") -> dict[str, Column]:
-    from barloom.functions.scalars import SESSION_MODES
-
     return {f"session_{m}": flag(in_session(m, ts)) for m in SESSION_MODES}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import configs
-from barloom.plans.common import query, show
+from barloom.plans.common import query
 from barloom.plans.label_queries import two_sided_rows
 from barloom.session import materialise
 

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import safe_div
-from barloom.operators import cycles, labels, sampling, signals, thresholds
+from barloom.operators import cycles, labels, signals, thresholds
 from barloom.operators import indicators as ind
 from barloom.operators.chunks import with_candle
 from barloom.operators.ewm import add_smoothed
 from barloom.operators.ordered import exact_quantiles
 from barloom.operators.resample import asof_backward, htf_features, resample
 from barloom.operators.scaling import unpivot
-from barloom.plans.bar_queries import _HTF_SQL, HTF
+from barloom.plans.bar_queries import _HTF_SQL
 from barloom.plans.common import (
     BARS,
     HORIZON,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import labels, signals, thresholds
+from barloom.operators import labels, thresholds
 from barloom.operators import indicators as ind
 from barloom.plans.common import BARS, HORIZON, R1, bands_sql, bars, bb_pos, query
 from barloom.plans.cycle_queries import lab_sql

@@ -141,7 +141,6 @@ def _fam_sql(periods, name: str = "fam", source: str = "bb") -> str:
     return f"\n{name}_raw AS (SELECT *, {', '.join(cols)} FROM {source}),\n{name} AS (SELECT *, {flags} FROM {name}_raw)"
 
 
-_FLAG = ("squeeze", "expansion", "raw", "low", "20_50", "20_100", "all", "buy")
 
 
 def _mixed(cols, digits: int = 5) -> str:

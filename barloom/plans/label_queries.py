@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import labels, sampling, signals, thresholds
-from barloom.operators.chunks import with_candle
-from barloom.plans.common import BARS, FEATURES, HORIZON, LONG, R1, SCORED, SPLITS, W, bars, lag_, query, r, rs, scored, show
+from barloom.operators import labels, sampling, thresholds
+from barloom.plans.common import BARS, FEATURES, HORIZON, R1, SCORED, SPLITS, W, bars, query, r, scored, show
 from barloom.plans.cycle_queries import SIGNALS_SQL, day_split, lab_sql, signalled
 from barloom.plans.window_queries import KEYS
 
@@ -79,8 +78,6 @@ def leakage_checks(spark, sf_dir):
 
 # --- lineitem: splits, weights, samples, folds ---------------------------------------------------------
 
-_ROW = ["year", "label", "ts", *FEATURES, "l_orderkey", "l_linenumber"]
-_ROWS_SQL = f"rows_ AS (SELECT year, label, ts, {', '.join(FEATURES)}, l_orderkey, l_linenumber FROM scored)"
 # The text hashed for sampling: integers only, so that both engines print it alike.
 _HASH_KEYS = ["l_orderkey", "l_linenumber", "k_qty", "k_price", "k_ship"]
 _KEYED = f"""keyed AS (SELECT year, label, l_orderkey, l_linenumber, l_quantity::BIGINT AS k_qty, round(l_extendedprice * 100)::BIGINT AS k_price, epoch(ts)::BIGINT AS k_ship FROM scored)"""

@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import candle_shape, session_flags, time_cycles
-from barloom.operators import indicators as ind
+from barloom.functions.scalars import candle_shape
 from barloom.operators import scaling, selection, signals, transforms
-from barloom.operators.sampling import year_split
-from barloom.plans.common import BARS, FEATURES, LONG, SCORED, SPLITS, bars, load, query, r, rs, scored, show
+from barloom.plans.common import FEATURES, LONG, SCORED, SPLITS, bars, load, query, r, rs, scored, show
 from barloom.plans.cycle_queries import SIGNALS_SQL
 from barloom.plans.metric_queries import split_rows
 from barloom.session import materialise, small_table
 
 FS = list(FEATURES)
 _ID = ("l_orderkey", "l_linenumber", "ts")
-_FLIST = ", ".join(FS)
 _LS = f"WITH {SCORED},{LONG}"
-_Q = ("quantile_cont(value, 0.005)", "quantile_cont(value, 0.995)")
 
 
 @query(
@@ -301,7 +297,7 @@ def feature_quality(spark, sf_dir):
 def named_frame(spark, sf_dir):
     """A bar frame with the columns the named sets pick from."""
     df = signals.add_fs03(bars(spark, sf_dir))
-    shape, flags = candle_shape(), session_flags()
+    shape = candle_shape()
     df = df.withColumns({k: shape[k] for k in ("hl_range", "upper_wick", "lower_wick", "body_abs", "close_pos_range")})
     names = [
         "ret_1", "hl_range", "upper_wick", "lower_wick", "body_abs", "close_pos_range",

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions.windows import series
 from barloom.operators import indicators as ind
-from barloom.operators import scaling, signals, transforms
-from barloom.operators.chunks import with_candle
+from barloom.operators import scaling, transforms
 from barloom.operators.rolling_rank import Rank, add_ranks
-from barloom.plans.common import BARS, W, bars, full, lag_, over, query, r, rs, show
+from barloom.plans.common import BARS, W, bars, full, lag_, over, query, r, show
 
 KEYS = ("symbol", "ts")
 
