@@ -76,6 +76,8 @@ def first_touch(
     if not by_gap:
         return _by_blocks(base, bars_ahead, by, block, by_gap)
     unsound = (F.col("__low") > F.col("__open")) | (F.col("__open") > F.col("__high"))
+    if base.filter(unsound).isEmpty():
+        return _by_blocks(base, bars_ahead, by, block, by_gap)
     marked = base.withColumn("__unsound", F.max(unsound.cast("int")).over(Window.partitionBy(*by)))
     sound = marked.filter("__unsound = 0").drop("__unsound")
     rest = marked.filter("__unsound = 1").drop("__unsound")
