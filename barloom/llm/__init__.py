@@ -7,8 +7,8 @@ import importlib
 MODULES = (
     "exact_dedup",
     "chat_examples",
-    # "warc",
-    # "prefix_bpe",
+    "warc",
+    "prefix_bpe",
     # "huffman_ids",
     # "line_crf",
     # "template_decontam",
