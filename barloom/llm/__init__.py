@@ -9,7 +9,7 @@ MODULES = (
     "chat_examples",
     "warc",
     "prefix_bpe",
-    # "huffman_ids",
+    "huffman_ids",
     # "line_crf",
     # "template_decontam",
     # "parity_join",
