@@ -10,7 +10,7 @@ MODULES = (
     "warc",
     "prefix_bpe",
     "huffman_ids",
-    # "line_crf",
+    "line_crf",
     # "template_decontam",
     # "parity_join",
     # "debruijn_dedup",
