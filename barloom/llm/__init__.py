@@ -11,7 +11,7 @@ MODULES = (
     "prefix_bpe",
     "huffman_ids",
     "line_crf",
-    # "template_decontam",
+    "template_decontam",
     # "parity_join",
     # "debruijn_dedup",
     # "suffix_dedup",
