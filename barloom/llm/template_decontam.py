@@ -3,8 +3,7 @@
 Only column expressions and joins are used.
 
 1. Texts become tokens (runs of letters and digits). Numbers, units behind a number and capitalised words become typed
-   placeholders. Capitals at the start of a sentence are read both ways, as a name and as an ordinary word, so that
-   renamed and lower-cased copies are both found.
+   placeholders; any capital may be a name, at the start of a sentence too.
 2. Windows of WINDOW tokens are hashed; windows of documents meet the benchmark's windows in a hash join. Windows of an
    item with fewer than LITERALS ordinary words are left out, since they say too little.
 3. A document that holds at least COVER of an item's windows is a candidate. Candidates are aligned with the item, and
@@ -35,87 +34,64 @@ UNITS = (
     "day days week weeks month months year years percent dollar dollars cent cents euro euros usd eur gbp "
     "mph kmh degree degrees celsius fahrenheit w kw kwh v volt volts hz khz mhz ghz kb mb gb tb"
 ).split()
-#: A letter put in front of a capital that starts a sentence.
-MARK = "ƻ"
 
 
 def tokens(text: Column) -> Column:
-    """Tokens with their case; sentence-initial capitals carry MARK, digit groups of one number are joined."""
-    text = F.coalesce(text, F.lit(""))
-    text = F.regexp_replace(text, r"(?<=[0-9])[.,:](?=[0-9])", "")
-    text = F.regexp_replace(text, r"(^\s*|[.!?]['\")\]]*\s+|\n\s*)(\p{Lu})", "$1" + MARK + "$2")
-    return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
-
-
-def _bare(token: Column) -> Column:
-    return F.when(token.startswith(MARK), F.substring(token, 2, 1 << 30)).otherwise(token)
+    """Tokens with their case; the digit groups of one number are joined."""
+    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9])[.,:](?=[0-9])", "")
+    return F.array_remove(F.split(joined, r"[^\p{L}\p{N}]+"), "")
 
 
 def _is_number(token: Column) -> Column:
-    return token.between("0", "9￿") & (token < ":")
+    return (token >= "0") & (token < ":")
 
 
-def slot(names: bool):
-    """Lambda over (token, position) given the whole array: the placeholder of a token, or its lower-case text.
+def canonical(toks: Column) -> Column:
+    """Every token's placeholder, or else its lower-case text."""
 
-    names: whether a sentence-initial capital is read as a name.
-    """
+    def one(all_tokens: Column, token: Column, at: Column) -> Column:
+        initial = F.substring(token, 1, 1)
+        low = F.lower(token)
+        return (
+            F.when(_is_number(token), "#num")
+            .when(initial != F.lower(initial), "#name")
+            .when((at > 0) & _is_number(F.get(all_tokens, at - 1)) & low.isin(UNITS), "#unit")
+            .otherwise(low)
+        )
 
-    def of(all_tokens: Column):
-        def one(token: Column, at: Column) -> Column:
-            bare = _bare(token)
-            initial = F.substring(bare, 1, 1)
-            capital = initial != F.lower(initial)
-            if not names:
-                capital = capital & ~token.startswith(MARK)
-            low = F.lower(bare)
-            unit = low.isin(UNITS) & (at > 0) & _is_number(F.get(all_tokens, at - 1))
-            return F.when(_is_number(token), "#num").when(capital, "#name").when(unit, "#unit").otherwise(low)
+    return _let(toks, lambda all_tokens: F.transform(all_tokens, lambda t, at: one(all_tokens, t, at)))
 
-        return one
 
-    return of
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def canonical(all_tokens: Column, names: bool) -> Column:
-    return F.transform(all_tokens, slot(names)(all_tokens))
+def window_hashes(canon: Column) -> Column:
+    """Hashes of all windows of WINDOW tokens, in order, from hashes of 1, 2, 4 and 8 tokens."""
 
+    def doubled(width: int, then):
+        def pairs(hashes: Column) -> Column:
+            later = F.slice(hashes, width + 1, F.greatest(F.size(hashes), F.lit(1)))
+            return _let(F.zip_with(hashes, later, lambda a, b: F.xxhash64(a, b)), then)
 
-def _window_hashes(hashed: Column) -> Column:
-    count = F.size(hashed) - WINDOW
-    return F.when(count >= 0, F.transform(F.sequence(F.lit(0), count), lambda i: F.xxhash64(F.slice(hashed, i + 1, WINDOW)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+        return pairs
 
+    def whole(hashes: Column) -> Column:
+        return F.slice(hashes, 1, F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0)))
 
-def _both(df: DataFrame, *keep: str) -> DataFrame:
-    """Rows (keep..., names, hashed, canon) for the two readings of `toks`."""
-    staged = df.select(
-        *keep,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(names).alias("names"), canonical(F.col("toks"), names).alias("canon"))
-                    for names in (True, False)
-                ]
-            )
-        ).alias("r"),
-    )
-    return staged.select(*keep, "r.names", "r.canon", F.transform("r.canon", lambda t: F.xxhash64(t, F.col("r.names"))).alias("hashed"))
+    return _let(F.transform(canon, lambda t: F.xxhash64(t)), doubled(1, doubled(2, doubled(4, whole))))
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, item_id, names, at, total) of every window worth looking for; equal items are one, under their smallest id."""
+    """(hash, item_id, at, total) of every window worth looking for; equal items are one, under their smallest id."""
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), tokens(F.col(text_col)).alias("toks"))
-    items = items.groupBy("toks").agg(F.min("item_id").alias("item_id")).filter(F.size("toks") >= WINDOW)
-    read = _both(items, "item_id")
-    place = F.posexplode(_window_hashes(F.col("hashed"))).alias("at", "hash")
-    rows = read.select("item_id", "names", "canon", place)
+    items = items.groupBy("toks").agg(F.min("item_id").alias("item_id")).select("item_id", canonical(F.col("toks")).alias("canon"))
+    rows = items.select("item_id", "canon", F.posexplode(window_hashes(F.col("canon"))).alias("at", "hash"))
     literal = F.size(F.filter(F.slice(F.col("canon"), F.col("at") + 1, WINDOW), lambda t: ~t.startswith("#")))
-    rows = rows.filter(literal >= LITERALS).select("hash", "item_id", "names", "at")
-    totals = rows.groupBy(F.col("item_id").alias("t_item"), F.col("names").alias("t_names")).agg(F.count(F.lit(1)).alias("total"))
-    same = F.col("item_id").eqNullSafe(F.col("t_item")) & (F.col("names") == F.col("t_names"))
-    return rows.join(totals, same).drop("t_item", "t_names")
+    rows = rows.filter(literal >= LITERALS).select("hash", "item_id", "at")
+    totals = rows.groupBy(F.col("item_id").alias("t_item")).agg(F.count(F.lit(1)).alias("total"))
+    return rows.join(totals, F.col("item_id").eqNullSafe(F.col("t_item"))).drop("t_item")
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -131,21 +107,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     * Other columns are not read, in either table. Empty tables give an empty result.
     """
     sought = stage(item_windows(benchmark), "item-windows")
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tokens(F.col(text_col)).alias("toks")).filter(F.size("toks") >= WINDOW)
-    hits = (
-        _both(own, "doc_id")
-        .select("doc_id", F.posexplode(_window_hashes(F.col("hashed"))).alias("place", "hash"))
-        .join(_bounded(sought), "hash")
+    read = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(window_hashes(canonical(tokens(F.col(text_col))))).alias("place", "hash")
     )
+    hits = read.join(_bounded(sought), "hash")
     # Partial sums shrink a passage met in very many documents to a row per document and item.
-    aligned = hits.groupBy("doc_id", "item_id", "names", (F.col("place") - F.col("at")).alias("shift")).agg(
-        F.countDistinct("at").alias("n"), F.max("total").alias("total")
+    aligned = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("total").alias("total")
     )
-    best = aligned.groupBy("doc_id", "item_id", "names").agg(
-        F.sum("n").alias("n"), F.max("total").alias("total"), F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift")
-    )
-    candidates = best.groupBy("doc_id", "item_id").agg(
-        F.max(F.least(F.lit(1.0), F.col("n") / F.col("total"))).alias("coverage"), F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift")
+    candidates = aligned.groupBy("doc_id", "item_id").agg(
+        F.least(F.lit(1.0), F.sum("n") / F.max("total")).alias("coverage"), F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift")
     )
     candidates = stage(candidates.filter(F.col("coverage") >= COVER), "candidates")
     return _consistent(candidates, docs, benchmark, id_col, text_col)
@@ -157,20 +128,25 @@ def _consistent(candidates: DataFrame, docs: DataFrame, benchmark: DataFrame, id
     items = items.groupBy("i_id").agg(F.min("item").alias("item"))
     paired = candidates.join(texts, F.col("doc_id").eqNullSafe(F.col("d_id"))).join(items, F.col("item_id").eqNullSafe(F.col("i_id")))
     paired = paired.select("doc_id", "item_id", "coverage", "shift", "item", tokens(F.col("d_text")).alias("doc"))
-    kinds = paired.withColumns({"item_kind": canonical(F.col("item"), True), "doc_kind": canonical(F.col("doc"), True)})
-    at = F.filter(
-        F.sequence(F.lit(0), F.size("item") - 1),
-        lambda i: F.get("item_kind", i).startswith("#") & (F.get("item_kind", i) == F.coalesce(F.get("doc_kind", i + F.col("shift")), F.lit(""))),
-    )
-    pairs = F.array_distinct(
-        F.transform(
-            at,
-            lambda i: F.struct(
-                F.lower(_bare(F.get("item", i))).alias("item"), F.lower(_bare(F.get("doc", i + F.col("shift")))).alias("doc")
-            ),
+
+    def slots(item: Column, doc: Column, item_kind: Column, doc_kind: Column) -> Column:
+        """Distinct (item's value, document's value) where both have the same placeholder."""
+        place = F.filter(
+            F.sequence(F.lit(0), F.size(item) - 1),
+            lambda i: F.get(item_kind, i).startswith("#") & (F.get(item_kind, i) == F.coalesce(F.get(doc_kind, i + F.col("shift")), F.lit(""))),
         )
+        both = F.transform(
+            place, lambda i: F.struct(F.lower(F.get(item, i)).alias("item"), F.lower(F.get(doc, i + F.col("shift"))).alias("doc"))
+        )
+        return F.array_distinct(both)
+
+    pairs = _let(
+        F.col("item"),
+        lambda item: _let(
+            F.col("doc"), lambda doc: _let(canonical(item), lambda ik: _let(canonical(doc), lambda dk: slots(item, doc, ik, dk)))
+        ),
     )
-    told = kinds.select("doc_id", "item_id", "coverage", "shift", pairs.alias("pairs"))
+    told = paired.select("doc_id", "item_id", "coverage", "shift", pairs.alias("pairs"))
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
     fits = (F.size("pairs") == 0) | (values >= CONSISTENT * F.size("pairs"))
     return told.filter(fits).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.min("shift").alias("shift"))
