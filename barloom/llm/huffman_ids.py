@@ -228,8 +228,8 @@ class Written(WriterCommitMessage):
 class IdWriter(DataSourceArrowWriter):
     """A file per task attempt; the manifest, written at commit, names the attempts that count."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, width: int) -> None:
+        self.path, self.width = path, width
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         import uuid
@@ -245,7 +245,7 @@ class IdWriter(DataSourceArrowWriter):
             nonlocal documents, total
             for batch in batches:
                 for doc, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = np.frombuffer(packed.as_buffer(), "<u4").astype(np.int32)
+                    ids = np.frombuffer(packed.as_buffer(), f"<u{self.width}").astype(np.int32)
                     documents, total = documents + 1, total + len(ids)
                     yield doc, ids
 
@@ -320,17 +320,17 @@ class IdSource(DataSource):
         return IdReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> IdWriter:
-        return IdWriter(self.options["path"])
+        return IdWriter(self.options["path"], int(self.options.get("width", 4)))
 
 
-def count_ids(staged: DataFrame) -> np.ndarray:
+def count_ids(staged: DataFrame, width: int) -> np.ndarray:
     """How often each id occurs in all documents; every task sends one row per id it met."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for packed in batch.column(0):
-                ids = np.frombuffer(packed.as_buffer(), "<u4")
+                ids = np.frombuffer(packed.as_buffer(), f"<u{width}")
                 if len(ids):
                     counts = np.bincount(ids)
                     if len(counts) > len(total):
@@ -346,19 +346,19 @@ def count_ids(staged: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_ids(docs: DataFrame, path: str) -> None:
-    """Write (doc_id, ids as little-endian u32) in ascending order of doc_id under `path`."""
+def write_ids(docs: DataFrame, path: str, width: int = 4) -> None:
+    """Write (doc_id, ids as little-endian numbers of `width` bytes) in ascending order of doc_id under `path`."""
     spark = docs.sparkSession
     staged = stage(docs.select(F.col("doc_id").cast("bigint"), "ids"), "ids")
     store, at = _store(path)
     store.create_dir(at, recursive=True)
     with store.open_output_stream(f"{at}/code.bin") as file:
-        file.write(code_lengths(count_ids(staged)).tobytes())
+        file.write(code_lengths(count_ids(staged, width)).tobytes())
     spark.dataSource.register(IdSource)
     # Equal ids stay in one order whatever the partitions: repeated rows are told apart by their ids' bytes.
     keys = ["doc_id", F.xxhash64("ids")]
     ordered = staged.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    ordered.write.format("huffman_ids").option("path", path).mode("append").save()
+    ordered.write.format("huffman_ids").option("path", path).option("width", width).mode("append").save()
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -371,25 +371,34 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 _TOKENIZERS: dict[str, tuple] = {}
 #: Entries of the memo of parts seen; when it is full, new parts are encoded each time they come.
-MEMO = 600_000
+MEMO = 1_000_000
+#: New parts encoded in one string.
+TOGETHER = 256
 
 
 def _tokenizer(path: str) -> tuple:
+    """The tokenizer, which of its tokens begin with a space, and the memo of parts: kept by the worker process."""
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _TOKENIZERS[path] = (tokenizer, {})
+        size = max(tokenizer.get_vocab().values()) + 1
+        spaced = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        _TOKENIZERS[path] = (tokenizer, spaced, {})
     return _TOKENIZERS[path]
 
 
-def _encode(tokenizer, memo: dict[str, bytes], texts: list[str]) -> list[bytes]:
-    """Ids of texts. Texts with only single spaces and line feeds are cut in front of each space, where this
-    tokenizer's split pattern always cuts, and each part is encoded once."""
+def _encode(tokenizer, spaced: np.ndarray, memo: dict[str, bytes], texts: list[str], kind: str) -> list[bytes]:
+    """Ids of texts, as bytes of numpy type `kind`.
+
+    Texts with only single spaces and line feeds are cut in front of each space, where this tokenizer's split pattern
+    always cuts, and each part is encoded once. New parts are encoded many at a time, one space before each: a part
+    begins wherever a token begins with a space.
+    """
 
-    def pack(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def many(joined: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
 
     plans: list[list[str] | None] = []
     new: dict[str, None] = {}
@@ -405,28 +414,46 @@ def _encode(tokenizer, memo: dict[str, bytes], texts: list[str]) -> list[bytes]:
         else:
             plans.append(None)
             whole.append(text)
-    fronts = [pack(e.ids) for e in tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+    fronts = [ids.tobytes() for ids in many(whole)]
     names = list(new)
-    fresh = {p: pack(e.ids) for p, e in zip(names, tokenizer.encode_batch_fast([" " + p for p in names], add_special_tokens=False))}
-    if len(memo) < MEMO:
+    groups = [names[i : i + TOGETHER] for i in range(0, len(names), TOGETHER)]
+    fresh: dict[str, bytes] = {}
+    for group, ids in zip(groups, many([" " + " ".join(g) for g in groups])):
+        starts = np.flatnonzero(spaced[ids])
+        if len(starts) != len(group):
+            fresh.update(zip(group, (x.tobytes() for x in many([" " + p for p in group]))))
+            continue
+        packed, size = ids.tobytes(), ids.itemsize
+        bounds = [*(starts * size).tolist(), len(packed)]
+        fresh.update((p, packed[a:b]) for p, a, b in zip(group, bounds, bounds[1:]))
+    room = MEMO - len(memo)
+    known = memo
+    if len(fresh) <= room:
         memo.update(fresh)
-        known = memo
     else:
-        known = {**{p: memo[p] for parts in plans if parts for p in parts[1:] if p in memo}, **fresh}
+        known = {p: memo[p] for parts in plans if parts for p in parts[1:] if p in memo}
+        known.update(fresh)
     return [front if parts is None else b"".join([front, *map(known.__getitem__, parts[1:])]) for front, parts in zip(fronts, plans)]
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian u32) of every whole text, `end_id` last; null text is empty."""
+def id_width(tokenizer_path: str, end_id: int) -> int:
+    """Bytes that hold any id."""
+    tokenizer, spaced, _ = _tokenizer(tokenizer_path)
+    return 2 if max(len(spaced) - 1, end_id) < 1 << 16 else 4
+
+
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (little-endian, `width` bytes each) of every whole text, `end_id` last; null text is empty."""
+    kind = f"<u{width}"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, memo = _tokenizer(tokenizer_path)
-        end = struct.pack("<I", end_id)
+        tokenizer, spaced, memo = _tokenizer(tokenizer_path)
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
-            packed = [ids + end for ids in _encode(tokenizer, memo, batch.column(1).to_pylist())]
+            packed = [ids + end for ids in _encode(tokenizer, spaced, memo, batch.column(1).to_pylist(), kind)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "ids"])
 
     return text_column(docs, id_col, text_col).mapInArrow(work, "doc_id bigint, ids binary")
@@ -445,7 +472,8 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFra
     * Other columns are not read. Without documents there is a manifest without files, and no row.
     """
     path = shared_folder(docs.sparkSession, "token-ids")
-    write_ids(tokenise(docs, tokenizer_path, end_id), path)
+    width = id_width(tokenizer_path, end_id)
+    write_ids(tokenise(docs, tokenizer_path, end_id, width), path, width)
     return describe(read_ids(docs.sparkSession, path))
 
 
