@@ -13,7 +13,7 @@ MODULES = (
     "line_crf",
     "template_decontam",
     # "parity_join",
-    # "debruijn_dedup",
+    "debruijn_dedup",
     # "suffix_dedup",
 )
 

@@ -134,7 +134,7 @@ class Rolling:
 
     def __init__(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 62)) * 8 + 5
+        self.base = (int(rng.integers(1 << 62)) * 8 + 5) % (1 << 64)
         self.back = pow(self.base, -1, 1 << 64)
         self.bytes = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self._up = np.ones(1, np.uint64)
