@@ -14,7 +14,7 @@ MODULES = (
     "template_decontam",
     # "parity_join",
     "debruijn_dedup",
-    # "suffix_dedup",
+    "suffix_dedup",
 )
 
 

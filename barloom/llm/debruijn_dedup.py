@@ -14,7 +14,6 @@ Coordinates of the source come along with every removed span, and a second hash
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,10 +165,6 @@ def _cutter(window: int):
     return work
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 @query("op3_debruijn_dedup")
 def _op3(spark, sf_dir):
     cut = remove_repeats(load(spark, sf_dir, "documents"))
