@@ -400,17 +400,16 @@ def _encode(tokenizer, spaced: np.ndarray, memo: dict[str, bytes], texts: list[s
     def many(joined: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
 
-    plans: list[list[str] | None] = []
+    plans: list[tuple[list[str], list[bytes | None]] | None] = []
     new: dict[str, None] = {}
     whole: list[str] = []
     for text in texts:
         if text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
-            parts = text.split(" ")
-            plans.append(parts)
-            whole.append(parts[0])
-            for part in parts[1:]:
-                if part not in memo:
-                    new[part] = None
+            first, *parts = text.split(" ")
+            found = list(map(memo.get, parts))
+            new.update((p, None) for p, ids in zip(parts, found) if ids is None)
+            plans.append((parts, found))
+            whole.append(first)
         else:
             plans.append(None)
             whole.append(text)
@@ -426,14 +425,11 @@ def _encode(tokenizer, spaced: np.ndarray, memo: dict[str, bytes], texts: list[s
         packed, size = ids.tobytes(), ids.itemsize
         bounds = [*(starts * size).tolist(), len(packed)]
         fresh.update((p, packed[a:b]) for p, a, b in zip(group, bounds, bounds[1:]))
-    room = MEMO - len(memo)
-    known = memo
-    if len(fresh) <= room:
+    if len(memo) + len(fresh) <= MEMO:
         memo.update(fresh)
-    else:
-        known = {p: memo[p] for parts in plans if parts for p in parts[1:] if p in memo}
-        known.update(fresh)
-    return [front if parts is None else b"".join([front, *map(known.__getitem__, parts[1:])]) for front, parts in zip(fronts, plans)]
+    return [
+        front if plan is None else front + b"".join([ids or fresh[p] for p, ids in zip(*plan)]) for front, plan in zip(fronts, plans)
+    ]
 
 
 def id_width(tokenizer_path: str, end_id: int) -> int:
