@@ -12,7 +12,7 @@ MODULES = (
     "huffman_ids",
     "line_crf",
     "template_decontam",
-    # "parity_join",
+    "parity_join",
     "debruijn_dedup",
     "suffix_dedup",
 )
