@@ -249,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     known = known.groupBy("doc_id").agg(F.min(label_col).alias("label"), F.max(label_col).alias("most")).filter("label = most")
     # At most `sample` rows of two numbers, twice over: some belong to documents that are too long or not there.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).select(F.col("doc_id").alias("__labelled"), "label")
-    texts = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= sample_bytes)
+    texts = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= sample_bytes)
     picked = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__labelled")).select("doc_id", "text", "label")
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
     rows = text_column(picked, "doc_id", "text", "label").mapInArrow(_feature_rows, "label int, features binary").collect()

@@ -1,7 +1,12 @@
+import os
 import random
+import sys
 
 import pytest
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.join(HERE, "..", "..", "scripts")]
+
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, id long, key long, start int, n int, cuts string, "
     "label int, score double, kept boolean, digest string, component string, path string, item_id long"

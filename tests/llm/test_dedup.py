@@ -1,33 +1,18 @@
 """Exact and near duplicates and repeated passages, against brute force."""
 
 import hashlib
-import re
-from itertools import combinations
 
 import numpy as np
 import pytest
 
 from barloom.llm import exact_dedup, parity_join
 from barloom.llm import debruijn_dedup, suffix_dedup
-
-NULL = -(2**63)
-
-
-def key(i):
-    return NULL if i is None else i
-
+from tests_llm_brute import NULL, jaccard_brute, key, words
 
 def collect(df):
     return [r.asDict() for r in df.collect()]
 
 
-def words(text, lower=False):
-    data = (text or "").encode()
-    if lower:
-        data = data.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
-    return re.findall(rb"[^\x20\x09-\x0D]+", data)
-
-
 # --- exact ----------------------------------------------------------------------------------------------
 
 
@@ -80,28 +65,6 @@ def test_index_is_minimal_and_perfect(n):
 # --- n-gram Jaccard -------------------------------------------------------------------------------------
 
 
-def jaccard_brute(rows, width, percent):
-    sets = {}
-    for i, t in rows:
-        w = words(t, lower=True)
-        grams = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
-        sets.setdefault(key(i), []).append(frozenset(grams))
-    label = {i: i for i in sets}
-    pairs = []
-    for (i, a), (j, b) in combinations([(i, s) for i, group in sets.items() for s in group], 2):
-        if a and b and 100 * len(a & b) >= percent * len(a | b):
-            pairs.append((i, j))
-    changed = True
-    while changed:
-        changed = False
-        for i, j in pairs:
-            low = min(label[i], label[j])
-            if label[i] != low or label[j] != low:
-                label[i] = label[j] = low
-                changed = True
-    return {(None if i == NULL else i, len(s), None if label[i] == NULL else label[i]) for i, group in sets.items() for s in group}
-
-
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (1, 60), (2, 100)])
 def test_similarity(make_docs, odd_rows, width, percent):
     rows = [r for r in odd_rows if len(r[1] or "") < 20_000]
