@@ -35,9 +35,13 @@ def to_feature(c: Column | str) -> Column:
     return F.coalesce(finite(col(c).try_cast("double")), F.lit(0.0))
 
 
-def points(c: Column | str) -> Column:
-    """Price as an exact integer number of hundredths."""
-    return F.round(col(c) * POINT).cast("bigint")
+#: Units in which prices are summed exactly: 1e-8, finer than any quoted price.
+UNIT = 100_000_000
+
+
+def units(c: Column | str) -> Column:
+    """Price as an exact integer number of 1e-8; prices up to 9e10 fit."""
+    return F.round(col(c) * UNIT).cast("bigint")
 
 
 def clip(c: Column | str, lo: float, hi: float) -> Column:

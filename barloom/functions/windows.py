@@ -86,8 +86,9 @@ class ExactSums:
         run, kinds = so_far(self.w), ("n", "s", "q") if squares else ("n", "s")
         totals = {}
         for name in names:
-            x = F.coalesce(F.col(name), F.lit(0)).cast("bigint")
-            made = {"n": F.count(F.col(name)), "s": F.sum(x), "q": F.sum(x * x)}
+            # Sums of squares leave 64 bits soon: volumes of 1e10, or prices in fine units over a long series.
+            x = F.coalesce(F.col(name), F.lit(0)).cast("decimal(19,0)")
+            made = {"n": F.count(F.col(name)), "s": F.sum(x), "q": F.sum((x * x).cast("decimal(38,0)"))}
             totals |= {f"__{k}_{name}": made[k].over(run) for k in kinds}
         df = df.withColumns(totals)
         ends = {}
@@ -103,15 +104,18 @@ class ExactSums:
 
     def sum(self, name: str, n: int, min_periods: int | None = None) -> Column:
         need = n if min_periods is None else min_periods
-        return F.when(self.count(name, n) >= need, F.col(f"__s_{name}_{n}"))
+        return F.when(self.count(name, n) >= need, F.col(f"__s_{name}_{n}").cast("double"))
 
     def mean(self, name: str, n: int, min_periods: int | None = None) -> Column:
         return self.sum(name, n, min_periods) / self.count(name, n)
 
     def var(self, name: str, n: int, min_periods: int | None = None) -> Column:
         need = n if min_periods is None else min_periods
-        k, s, q = self.count(name, n), F.col(f"__s_{name}_{n}"), F.col(f"__q_{name}_{n}")
-        return F.when((k >= need) & (k > 1), (k * q - s * s) / (k * (k - 1)).cast("double"))
+        k = self.count(name, n)
+        whole = k.cast("decimal(19,0)")
+        s, q = (F.col(f"__{kind}_{name}_{n}").cast("decimal(38,0)") for kind in ("s", "q"))
+        spread = (whole * q).cast("decimal(38,0)") - (s * s).cast("decimal(38,0)")
+        return F.when((k >= need) & (k > 1), spread.cast("double") / (k * (k - 1)).cast("double"))
 
     def std(self, name: str, n: int, min_periods: int | None = None) -> Column:
         return F.sqrt(self.var(name, n, min_periods))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.functions.scalars import POINT, clip, flag, points, safe_div
+from barloom.functions.scalars import POINT, UNIT, clip, flag, safe_div, units
 from barloom.functions.windows import (
     KEY,
     ExactSums,
@@ -54,21 +54,22 @@ def add_rolling_stats(df: DataFrame, windows: Sequence[int] = WINDOWS, by: Seque
     exact = ExactSums(w)
     df = df.withColumns(
         {
-            "__c": points("close"),
-            "__rng": points(F.col("high") - F.col("low")),
-            "__body": points(F.abs(F.col("close") - F.col("open"))),
+            "__c": units("close"),
+            "__rng": units(F.col("high") - F.col("low")),
+            "__body": units(F.abs(F.col("close") - F.col("open"))),
         }
     ).withColumn("__ret", diff("__c", 1, w))
+    point = F.lit(float(UNIT // POINT))
     df = exact.prepare(df, ["__c", "__rng", "__body", "__ret"], windows)
     new = {}
     for n in windows:
         new[f"z_close_{n}"] = safe_div(F.col("__c") - exact.mean("__c", n), exact.std("__c", n))
         for name, src in (("range", "__rng"), ("body", "__body")):
-            new[f"{name}_mean_{n}"] = exact.mean(src, n)
-            new[f"{name}_std_{n}"] = exact.std(src, n)
-        new[f"ret_sum_{n}"] = exact.sum("__ret", n).cast("double")
-        new[f"ret_mean_{n}"] = exact.mean("__ret", n)
-        new[f"volatility_{n}"] = exact.std("__ret", n)
+            new[f"{name}_mean_{n}"] = exact.mean(src, n) / point
+            new[f"{name}_std_{n}"] = exact.std(src, n) / point
+        new[f"ret_sum_{n}"] = exact.sum("__ret", n) / point
+        new[f"ret_mean_{n}"] = exact.mean("__ret", n) / point
+        new[f"volatility_{n}"] = exact.std("__ret", n) / point
     out = exact.drop(df.withColumns(new))
     return out.drop("__c", "__rng", "__body", "__ret")
 
@@ -77,11 +78,11 @@ def bands(df: DataFrame, periods: Sequence[int], by: Sequence[str] = KEY) -> Dat
     """`bb<p>_mid`, `bb<p>_std`, `bb<p>_upper`, `bb<p>_lower` of close, from exact running sums."""
     w = series(by)
     exact = ExactSums(w)
-    df = exact.prepare(df.withColumn("__c", points("close")), ["__c"], periods)
+    df = exact.prepare(df.withColumn("__c", units("close")), ["__c"], periods)
     df = df.withColumns(
         {
-            **{f"bb{p}_mid": exact.mean("__c", p) / POINT for p in periods},
-            **{f"bb{p}_std": exact.std("__c", p) / POINT for p in periods},
+            **{f"bb{p}_mid": exact.mean("__c", p) / UNIT for p in periods},
+            **{f"bb{p}_std": exact.std("__c", p) / UNIT for p in periods},
         }
     )
     df = exact.drop(df).drop("__c")
@@ -277,8 +278,8 @@ def add_atr_simple(
     w = series(by)
     # Exact sums, so that equal means are equal numbers and tie in the rank.
     exact = ExactSums(w)
-    df = exact.prepare(df.withColumn("__tr", points(true_range(w))), ["__tr"], (period,), squares=False)
-    df = exact.drop(df.withColumn("atr_simple", exact.mean("__tr", period) / POINT)).drop("__tr")
+    df = exact.prepare(df.withColumn("__tr", units(true_range(w))), ["__tr"], (period,), squares=False)
+    df = exact.drop(df.withColumn("atr_simple", exact.mean("__tr", period) / UNIT)).drop("__tr")
     return add_ranks(df, [Rank("atr_rank", "atr_simple", rank_window, rank_min, "pct")], by)
 
 

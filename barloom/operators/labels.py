@@ -4,7 +4,7 @@ A join of every bar with its horizon makes n * H rows. Instead, bars are grouped
 into blocks of `block` rows. A bar joins its own block (equal join, at most
 `block` bars per block) and, if nothing is reached there, exactly one later
 block: the first whose range reaches a level. So each bar meets two blocks, not
-H bars. All prices are compared as exact hundredths.
+H bars. All prices are compared as exact multiples of 1e-8.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import points
+from barloom.functions.scalars import UNIT, units
 from barloom.functions.windows import KEY
 from barloom.operators.chunks import with_candle
 from barloom.session import materialise
@@ -37,9 +37,9 @@ def _hit(bar: Column, by_gap: bool) -> Column:
 
 def _prepared(bars: DataFrame, r1: float, by: Sequence[str], block: int) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("ts")
-    base = with_candle(bars, by).withColumns({f"__{c}": points(c) for c in ("open", "high", "low", "close")})
+    base = with_candle(bars, by).withColumns({f"__{c}": units(c) for c in ("open", "high", "low", "close")})
     entry = F.lead("__open").over(w)
-    level = int(round(r1 * 100))
+    level = int(round(r1 * UNIT))
     return base.withColumns(
         {
             "__block": F.floor(F.col("candle") / F.lit(block)),
@@ -155,7 +155,7 @@ def buy_labels(bars: DataFrame, r1: float = 6.0, horizon: int = 1440, by: Sequen
         {
             "label": label.cast("int"),
             "entry_index": F.when(F.col("__entry").isNotNull(), F.col("candle") + 1).otherwise(-1),
-            "entry_price": F.col("__entry") / 100.0,
+            "entry_price": F.col("__entry") / float(UNIT),
         }
     ).withColumn(
         "label_res", F.when(F.col("label").isNull(), "No res").when(F.col("label") == 1, "Win").otherwise("Lose")

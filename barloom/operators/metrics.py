@@ -124,7 +124,8 @@ def calibration(df: DataFrame, by: Sequence[str], label: str = "label", score: s
     """Mean score and observed rate per quantile bin of the score; empty bins do not appear."""
     runs = value_runs(df, by, score, pos=F.sum(F.col(label).cast("bigint")))
     edges = edges_of_runs(runs, by, score, bins)
-    joined = runs.join(edges, list(by)) if by else runs.crossJoin(F.broadcast(edges))
+    # One row of `bins` edges per group; scores of a hot group are not gathered by its key.
+    joined = runs.join(F.broadcast(edges), list(by)) if by else runs.crossJoin(F.broadcast(edges))
     binned = joined.withColumn("bin", right_closed_bin(F.col(score), F.col("edges")))
     return binned.groupBy(*by, "bin").agg(
         F.sum("n").alias("rows"),

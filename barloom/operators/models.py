@@ -105,7 +105,9 @@ def score(df: DataFrame, model: Model, features: Sequence[str], out: str = "scor
 
 
 def auc(df: DataFrame, label: str = "label", score_col: str = "score") -> float:
-    return prob_metrics(df, (), label, score_col).first()["auc"] or 0.5
+    """AUC of the scored rows; 0.5 where it has no value (no rows, or one class only)."""
+    value = prob_metrics(df, (), label, score_col).first()["auc"]
+    return 0.5 if value is None else value
 
 
 def importances(model: Model, features: Sequence[str], spark) -> DataFrame:
@@ -149,7 +151,7 @@ def l1_select(
     grid: Sequence[float],
     protected: Sequence[str] = (),
     min_features: int = 1,
-    max_features: int = 10_000,
+    max_features: int | None = None,
     label: str = "label",
 ) -> DataFrame:
     """Per grid value: features kept and validation AUC; `chosen` marks the best AUC among allowed sizes."""
@@ -160,7 +162,7 @@ def l1_select(
         kept = [f for f in features if abs(weights[f]) > 1e-9 or f in set(protected)]
         linear = sum((to_feature(f) * F.lit(weights[f]) for f in features), F.lit(0.0))
         rows.append((float(c), len(kept), ",".join(kept), auc(valid.withColumn("score", linear), label)))
-    allowed = [r for r in rows if min_features <= r[1] <= max_features] or rows
+    allowed = [r for r in rows if min_features <= r[1] and (max_features is None or r[1] <= max_features)] or rows
     best = max(allowed, key=lambda r: (r[3], -r[1]))
     out = [(*r, int(r is best)) for r in rows]
     return small_table(spark, out, "c double, n_features int, features string, valid_auc double, chosen int")
@@ -256,14 +258,16 @@ def param_search(
 
 
 def permutation_importance(
-    df: DataFrame, model: Model, features: Sequence[str], rows: int, repeats: int = 2, label: str = "label", seed: int = 0
+    df: DataFrame, model: Model, features: Sequence[str], rows: int | None = None, repeats: int = 2, label: str = "label", seed: int = 0
 ) -> DataFrame:
-    """AUC lost when one column is shuffled. Works on a sample of at most `rows` rows.
+    """AUC lost when one column is shuffled. All rows take part unless `rows` asks for a sample.
 
     A shuffle pairs each row's position with the row of the same rank in hash order.
     """
     spark = df.sparkSession
-    sample = sample_n(df.select(*features, label), rows, seed=seed)
+    sample = df.select(*features, label)
+    if rows is not None:
+        sample = sample_n(sample, rows, seed=seed)
     sample = materialise(sample.withColumn("__id", F.monotonically_increasing_id()))
     one = {"__one": F.count(F.lit(1))}
     placed = materialise(running_totals(sample, (), ["__id"], one).select("__id", F.col("cum___one").alias("__at")))
@@ -284,10 +288,13 @@ def permutation_importance(
 
 
 def partial_dependence(
-    df: DataFrame, model: Model, features: Sequence[str], feature: str, rows: int, points: int = 30, seed: int = 0
+    df: DataFrame, model: Model, features: Sequence[str], feature: str, rows: int | None = None, points: int = 30, seed: int = 0
 ) -> DataFrame:
-    """Mean score with one feature set to each of `points` values between its extremes, on a sample of at most `rows` rows."""
-    sample = sample_n(df.select(*features), rows, seed=seed)
+    """Mean score with one feature set to each of `points` values between its extremes.
+
+    All rows take part unless `rows` asks for a sample.
+    """
+    sample = df.select(*features) if rows is None else sample_n(df.select(*features), rows, seed=seed)
     ends = df.agg(F.min(feature).cast("double").alias("lo"), F.max(feature).cast("double").alias("hi"))
     grid = ends.select(
         F.explode(

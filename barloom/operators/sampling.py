@@ -139,7 +139,8 @@ def year_split(df: DataFrame, splits: dict[str, Sequence[int]], year: str = "yea
 
 def _cut(placed: DataFrame, bounds: DataFrame, on: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Split folded rows at fold bounds [lo, hi); bounds hold a few rows per group."""
-    joined = placed.join(bounds, list(on)) if on else placed.crossJoin(F.broadcast(bounds))
+    # Folds times groups: a few rows, set by arguments and the number of groups. Rows of a hot group stay where they are.
+    joined = placed.join(F.broadcast(bounds), list(on)) if on else placed.crossJoin(F.broadcast(bounds))
     start = F.greatest(F.col("first_pos"), F.col("lo"))
     end = F.least(F.col("first_pos") + F.col("copies"), F.col("hi"))
     return joined.withColumn("copies", end - start).filter("copies > 0").select(*columns, *[c for c in bounds.columns if c not in (*on, "lo", "hi")], "copies")

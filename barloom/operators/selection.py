@@ -81,19 +81,17 @@ def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def corr_pairs(df: DataFrame, features: Sequence[str], wide_from: int = 24) -> dict[tuple[str, str], float]:
+def corr_pairs(df: DataFrame, features: Sequence[str]) -> dict[tuple[str, str], float]:
     """|corr| of every pair, on the driver: its size is set by the number of columns, not of rows."""
-    if len(features) < wide_from:
-        rows = corr_matrix(df, features).collect()
-        out = {(r.feature_a, r.feature_b): abs(r["corr"] or 0.0) for r in rows}
-    else:
-        clean = df.select(*[to_feature(f).alias(f) for f in features])
-        vec = VectorAssembler(inputCols=list(features), outputCol="v").transform(clean)
-        m = Correlation.corr(vec, "v").first()[0].toArray()
-        out = {
-            (features[i], features[j]): (abs(float(m[i][j])) if m[i][j] == m[i][j] else 0.0)
-            for i, j in combinations(range(len(features)), 2)
-        }
+    clean = df.select(*[to_feature(f).alias(f) for f in features])
+    vec = VectorAssembler(inputCols=list(features), outputCol="v").transform(clean)
+    if len(features) < 2 or vec.isEmpty():
+        return {}
+    m = Correlation.corr(vec, "v").first()[0].toArray()
+    out = {
+        (features[i], features[j]): (abs(float(m[i][j])) if m[i][j] == m[i][j] else 0.0)
+        for i, j in combinations(range(len(features)), 2)
+    }
     return out | {(b, a): v for (a, b), v in out.items()}
 
 
@@ -107,29 +105,25 @@ def corr_prune(
     Returns the kept features and a table of (kept, dropped, abs_corr).
     """
     near = {r.feature: r.abs_label_corr for r in label_corr(df, features, label).collect()}
-    value = corr_pairs(df, features)
     safe = set(protected)
-    order = sorted(features, key=lambda f: (f not in safe, -near[f], f))
-    gone: set[str] = set()
-    rows = []
-    for at, a in enumerate(order):
-        for b in order[at + 1 :]:
-            if a in gone:
-                break
-            if b in gone or value[(a, b)] < threshold:
-                continue
-            if (a in safe) != (b in safe):
-                loser = b if a in safe else a
-            else:
-                loser = b if near[a] >= near[b] else a
-            keeper = a if loser == b else b
-            gone.add(loser)
-            rows.append((keeper, loser, value[(a, b)], near[keeper], near[loser]))
+    # A feature outranks another if it is protected and the other is not, else if it is closer to the label.
+    rank = {f: place for place, f in enumerate(sorted(features, key=lambda f: (f not in safe, -near[f], f)))}
+    close = {pair: v for pair, v in corr_pairs(df, features).items() if v >= threshold}
+    rivals: dict[str, list[str]] = {f: [] for f in features}
+    for a, b in close:
+        if rank[a] < rank[b]:
+            rivals[a].append(b)
+    dropped_by: dict[str, str] = {}
+    for f in sorted(features, key=rank.__getitem__):
+        if f not in dropped_by:
+            dropped_by |= {r: f for r in rivals[f] if r not in dropped_by}
+    rows = [(keeper, f, close[keeper, f], near[keeper], near[f]) for f, keeper in dropped_by.items()]
+    rows.sort(key=lambda row: (rank[row[0]], rank[row[1]]))
     schema = (
         "kept_feature string, dropped_feature string, abs_corr double, "
         "kept_abs_label_corr double, dropped_abs_label_corr double"
     )
-    return [f for f in features if f not in gone], small_table(df.sparkSession, rows, schema)
+    return [f for f in features if f not in dropped_by], small_table(df.sparkSession, rows, schema)
 
 
 def corr_forward(

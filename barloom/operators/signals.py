@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import (
     POINT,
     SESSION_MODES,
+    UNIT,
     flag,
     in_session,
     safe_div,
     session_flags,
     time_cycles,
+    units,
 )
 from barloom.functions.windows import KEY, lag, roll_sum, diff, series
 from barloom.operators.ewm import add_smoothed
@@ -69,7 +71,7 @@ def add_signal_inputs(df: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
             "z_close_20": safe_div(F.col("close") - F.col("bb20_mid"), F.col("bb20_std")),
             "ema_dist_8": (F.col("close") - F.col("ema_8")) * POINT,
             "ema_dist_55": (F.col("close") - F.col("ema_55")) * POINT,
-            "ret_sum_10": roll_sum(F.round("__ret").cast("bigint"), 10, w).cast("double"),
+            "ret_sum_10": roll_sum(units("__ret"), 10, w) / F.lit(float(UNIT)),
             "session_london_ny": flags["session_london_ny"],
             "session_ny": flags["session_ny"],
         }

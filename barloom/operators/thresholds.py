@@ -153,7 +153,9 @@ def pick_threshold(
     Rows outside the bounds count only if no row is inside. Bounds default to the rule's.
     """
     lo, hi, goal, weight = CHOICES[rule]
-    lo, hi, goal = lowest or lo, highest or hi, target or goal
+    lo = lo if lowest is None else lowest
+    hi = hi if highest is None else highest
+    goal = goal if target is None else target
     r, rate = F.col("resolved"), F.col("winrate")
     inside = r >= lo if hi is None else r.between(lo, hi)
     score = rate if goal is None else rate - F.lit(weight) * F.abs(r - goal) / F.lit(float(goal))

@@ -89,11 +89,11 @@ def block_selection(spark, sf_dir):
 def perm_importance(spark, sf_dir):
     train, _, test = parts(spark, sf_dir)
     model = models.fit_forest(train, FS, **SMALL)
-    return models.permutation_importance(test, model, FS, 20_000, repeats=1)
+    return models.permutation_importance(test, model, FS, repeats=1)
 
 
 @query("partial_dependence")
 def partial_dependence(spark, sf_dir):
     train, valid, _ = parts(spark, sf_dir)
     model = models.fit_forest(train, FS, **SMALL)
-    return models.partial_dependence(valid, model, FS, "l_discount", 2_000)
+    return models.partial_dependence(valid, model, FS, "l_discount")

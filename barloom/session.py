@@ -36,11 +36,14 @@ def materialise(df: DataFrame) -> DataFrame:
 
     Used where two branches of a plan must see the very same rows, or where a
     large source would otherwise be scanned once per branch. The folder is the
-    one in `spark.checkpoint.dir`; a local one is set only if that is unset.
+    one in `spark.checkpoint.dir`. Where that is unset, a local one serves in
+    local mode; on a cluster it is an error, since executors share no disk.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
     return df.checkpoint()
 

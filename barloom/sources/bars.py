@@ -34,23 +34,83 @@ def clean_bars(df: DataFrame) -> DataFrame:
     )
 
 
-def read_bar_csv(spark: SparkSession, paths: str | Sequence[str], years: Iterable[int] | None = None) -> DataFrame:
-    """Scan bar CSV files (one or many, folders searched) with a fixed schema."""
-    raw = (
-        spark.read.schema(BAR_SCHEMA)
-        .option("header", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .option("enforceSchema", False)
-        .csv(paths if isinstance(paths, str) else list(paths))
+def csv_by_header(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv") -> list[DataFrame]:
+    """CSV files below the given folders, one frame of strings per distinct header line, with the path in `__path`.
+
+    Files may lack columns, have more of them, or have them in another order. Only the first line of every file is read
+    to group them; files without any line are left out.
+    """
+    found = (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(paths).select("path")
     )
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in found.orderBy("path").collect():
+        place = jvm.org.apache.hadoop.fs.Path(row.path)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(place.getFileSystem(conf).open(place), "UTF-8"))
+        line = reader.readLine()
+        reader.close()
+        if line:
+            names = tuple(n.strip().strip('"').lower() for n in line.lstrip("\ufeff").split(","))
+            groups.setdefault(names, []).append(row.path)
+    out = []
+    for names, files in groups.items():
+        # A header may leave a name out (an index column) or say it twice; neither is a column that is asked for.
+        unique = [n if n and n not in names[:i] else f"__{i}" for i, n in enumerate(names)]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in unique])
+        frame = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+        out.append(frame.withColumn("__path", F.col("_metadata.file_path")))
+    return out
+
+
+def read_bar_csv(spark: SparkSession, paths: str | Sequence[str], years: Iterable[int] | None = None) -> DataFrame:
+    """Scan bar CSV files (one or many, folders searched), whatever the order and number of their columns.
+
+    Without a `symbol` column the symbol is the file's name up to the first dot or underscore; a missing `volume`
+    column is missing in every row. Values that are not numbers are missing.
+    """
+    parts = []
+    for frame in csv_by_header(spark, paths):
+        have = set(frame.columns)
+        stem = F.regexp_extract("__path", r"([^/]+)$", 1)
+        symbol = F.col("symbol") if "symbol" in have else F.split(stem, "[._]")[0]
+        columns = [symbol.alias("symbol"), (F.col("dates") if "dates" in have else F.lit(None).cast("string")).alias("dates")]
+        for field in BAR_SCHEMA.fields[2:]:
+            value = F.col(field.name).try_cast("double") if field.name in have else F.lit(None).cast("double")
+            columns.append(value.alias(field.name))
+        parts.append(frame.select(*columns))
+    raw = parts[0] if parts else spark.createDataFrame([], BAR_SCHEMA)
+    for part in parts[1:]:
+        raw = raw.unionByName(part)
     out = clean_bars(raw)
     return out if years is None else out.filter(F.col("year").isin(list(years)))
 
 
+def read_importances(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.csv") -> DataFrame:
+    """(run, feature, importance) from importance tables of many runs; the run is the folder a file lies in.
+
+    The importance is `mean_abs_shap`, or else the row's first number.
+    """
+    parts = []
+    for frame in csv_by_header(spark, paths, glob):
+        names = [n for n in frame.columns if n not in ("feature", "__path")]
+        if "feature" not in frame.columns or not names:
+            continue
+        value = F.col("mean_abs_shap").try_cast("double") if "mean_abs_shap" in names else F.coalesce(*[F.col(n).try_cast("double") for n in names])
+        run = F.regexp_extract("__path", r"([^/]+)/[^/]+$", 1)
+        parts.append(frame.select(run.alias("run"), "feature", value.alias("importance")))
+    out = parts[0] if parts else spark.createDataFrame([], "run string, feature string, importance double")
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.filter(F.col("feature").isNotNull() & F.col("importance").isNotNull())
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("year",), mode: str = "overwrite") -> None:
-    """Parquet, zstd, one folder per year; read back with a year filter this prunes to the folders asked for."""
-    df.repartition(*by).write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(path)
+    """Parquet, zstd, one folder per year; read back with a year filter this prunes to the folders asked for.
+
+    The rebalance hint lets AQE split a large year over several tasks and files.
+    """
+    df.hint("rebalance", *by).write.mode(mode).option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
 def read_years(spark: SparkSession, path: str, years: Iterable[int], columns: Sequence[str]) -> DataFrame:
