@@ -14,9 +14,9 @@ the whole sets.
 * Bands are dealt to buckets as flat arrays; a bucket tells which representatives share a band, one row per
   representative and distinct group of them, however many bands the group shares.
 * Groups are not paired out. All members are compared with one hub, links are joined to components, and another hub is
-  tried against members of other components. Groups that still hold several components are cut into chunks of CHUNK
-  members; two chunks meet in a cell, where shared elements are counted by a matrix product and only links come out. A
-  group of g members makes g * g / CHUNK rows, a task never holds more than two chunks.
+  tried against members of other components. Inside groups that still hold several components, members of different
+  components meet only if the Hamming distance of their whole sketches (WORDS * 64 bits) allows a link: the join's own
+  condition, so no other pair becomes a row. What comes out is verified on the sets.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from barloom.llm.common import Rolling, chunked, load, mix, query, stage, word_b
 
 #: Bits of a band's number of bits; entries a task holds before it sends them; entries of a bucket, about.
 BAND_BITS, HELD, BUCKET = 24, 1_000_000, 300_000
-#: Rounds of comparing groups with one hub each; members of a chunk; columns of a matrix block.
-HUBS, CHUNK, COLUMNS = 2, 128, 50_000
+#: Rounds of comparing groups with one hub each; 64-bit words of a whole sketch.
+HUBS, WORDS = 2, 32
 _BYTES, _WORDS = Rolling(51), Rolling(52)
 
 
@@ -258,71 +258,44 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def cell_links(ids: np.ndarray, component: np.ndarray, chunk: np.ndarray, elements: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a cell between different components: across its two chunks, or inside if it has one."""
-    left = np.flatnonzero(chunk == chunk.min())
-    right = np.flatnonzero(chunk == chunk.max())
-    sizes = np.array([len(e) for e in elements])
-    flat, columns = np.unique(np.concatenate(elements), return_inverse=True)
-    row = np.repeat(np.arange(len(elements)), sizes)
-    shared = np.zeros((len(left), len(right)))
-    place = np.argsort(columns, kind="stable")
-    row, columns = row[place], columns[place]
-    for low in range(0, len(flat), COLUMNS):
-        a, b = np.searchsorted(columns, (low, low + COLUMNS))
-        block = np.zeros((len(elements), min(COLUMNS, len(flat) - low)), np.float32)
-        block[row[a:b], columns[a:b] - low] = 1
-        shared += block[left] @ block[right].T
-    union = sizes[left][:, None] + sizes[right][None, :] - shared
-    linked = (100 * shared >= percent * union) & (component[left][:, None] != component[right][None, :])
-    x, y = np.nonzero(linked)
-    x, y = ids[left[x]], ids[right[y]]
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def cells(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside groups between members of different components."""
-    # Two members have been compared already, one being the hub.
-    counts = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 2")
-    placed = members.join(counts, "grp").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    spread = placed.select("grp", "id", "component", "chunk", others)
-    spread = spread.select("grp", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "id", "component", "chunk")
-    keys = ["grp", "low", "high"]
-    dealt = spread.join(sets, "id").repartition(*keys).sortWithinPartitions(*keys)
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: every element toggles one bit of WORDS * 64."""
+    bits = np.bincount((mix(elements + np.uint64(3)) % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def solve(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(rows)
-            elements = [np.frombuffer(e.as_buffer(), np.uint64) for e in table["elements"]]
-            chunk = np.asarray(table["chunk"])
-            low, high = table["low"][0].as_py(), table["high"][0].as_py()
-            # Chunks of a cell may be empty: then nothing meets.
-            if low != high and (chunk.min() == high or chunk.max() == low):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-            a, b = cell_links(np.asarray(table["id"]), np.asarray(table["component"]), chunk, elements, percent)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """id, n (size) and the words s0, s1, ... of the sketch of every set."""
+    words = [f"s{k}" for k in range(WORDS)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            key = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in keys])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-            if held and any(held[-1].column(k)[0].as_py() != batch.column(k)[0].as_py() for k in keys):
-                yield solve(held)
-                held = []
-            for begin, end in zip(cuts, cuts[1:]):
-                held.append(batch.slice(begin, end - begin))
-                if end < batch.num_rows:
-                    yield solve(held)
-                    held = []
-        if held:
-            yield solve(held)
-
-    return dealt.select(*keys, "id", "component", "chunk", "elements").mapInArrow(work, "a bigint, b bigint").distinct()
+            held = [np.frombuffer(e.as_buffer(), np.uint64) for e in batch.column("elements")]
+            table = np.stack([sketch(e) for e in held])
+            columns = [batch.column("id"), pa.array([len(e) for e in held], pa.int64()), *map(pa.array, table.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", *words])
+
+    return sets.mapInArrow(work, "id bigint, n bigint, " + ", ".join(f"{w} bigint" for w in words))
+
+
+def near_pairs(members: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) inside groups, of different components, whose sketches do not rule out a link."""
+    # Two members have been compared already, one being the hub.
+    counts = members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).filter("size > 2").select("grp")
+    told = stage(members.join(counts, "grp").join(sketched, "id"), "sketched")
+    x, y = told.alias("x"), told.alias("y")
+    distance = sum((F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(WORDS)), F.lit(0))
+    allowed = F.lit(100 - percent) * (F.col("x.n") + F.col("y.n"))
+    meet = (
+        (F.col("x.grp") == F.col("y.grp"))
+        & (F.col("x.component") < F.col("y.component"))
+        & (distance * F.lit(100 + percent) <= allowed)
+        & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+        & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    )
+    return x.join(y, meet).select(*_ordered("x.id", "y.id")).distinct()
 
 
 def link_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -338,8 +311,8 @@ def link_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFra
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    rest = stage(cells(_placed(groups, labels), sets, percent), "cells")
-    return components(links.unionByName(rest))
+    pairs = near_pairs(_placed(groups, labels), sketches(sets), percent).join(tested, ["a", "b"], "left_anti")
+    return components(links.unionByName(stage(verify(stage(pairs, "pairs"), sets, percent), "found")))
 
 
 def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
