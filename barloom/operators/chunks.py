@@ -51,6 +51,18 @@ def with_bar_idx(df: DataFrame, by: Sequence[str] = ("symbol",), order: str = "t
     )
 
 
+def with_positions(df: DataFrame, by: Sequence[str], order: str = "ts") -> DataFrame:
+    """`candle` and `n_candles` as `with_candle` gives them, without one window over a series of any length.
+
+    Series keyed by year are bounded and numbered in one window; others are numbered slice by slice.
+    """
+    if "year" in by:
+        return with_candle(df, by, order)
+    numbered = with_bar_idx(df, by, order).withColumnRenamed("bar_idx", "candle")
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_candles"))
+    return numbered.join(sizes, list(by))
+
+
 def halo_chunks(df: DataFrame, back: int, forward: int = 0, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Copy each row into every chunk that looks at it. Needs `bar_idx`; adds `chunk` and `is_core`."""
     first = F.greatest(F.floor((F.col("bar_idx") - forward) / F.lit(chunk_rows)), F.lit(0))

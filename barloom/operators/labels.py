@@ -2,9 +2,14 @@
 
 A join of every bar with its horizon makes n * H rows. Instead, bars are grouped
 into blocks of `block` rows. A bar joins its own block (equal join, at most
-`block` bars per block) and, if nothing is reached there, exactly one later
-block: the first whose range reaches a level. So each bar meets two blocks, not
-H bars. All prices are compared as exact multiples of 1e-8.
+`block` bars per block) and, if nothing is reached there, the later blocks whose
+range reaches a level, up to the first one in which reaching is certain. In a
+block of sound bars (low <= open <= high) it is, so each bar meets two blocks,
+not H bars; unsound bars only make it meet further ones. All prices are compared
+as exact multiples of 1e-8.
+
+Series run on across years unless `by` holds the year: positions are numbered
+slice by slice, and windows see chunks of blocks, never a whole series.
 """
 
 from __future__ import annotations
@@ -16,11 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import UNIT, units
-from barloom.functions.windows import KEY
-from barloom.operators.chunks import with_candle
-from barloom.session import materialise
+from barloom.operators.chunks import halo_chunks, trim, with_positions
 
 BAR = ("candle", "open", "high", "low", "close")
+#: Labels look ahead over the turn of the year; add "year" to restart each year.
+SERIES = ("symbol",)
 
 
 def _hit(bar: Column, by_gap: bool) -> Column:
@@ -35,17 +40,15 @@ def _hit(bar: Column, by_gap: bool) -> Column:
     return inside(sl) | inside(tp) | (bar["open"] <= sl) | (bar["open"] >= tp)
 
 
-def _prepared(bars: DataFrame, r1: float, by: Sequence[str], block: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy("ts")
-    base = with_candle(bars, by).withColumns({f"__{c}": units(c) for c in ("open", "high", "low", "close")})
-    entry = F.lead("__open").over(w)
+def _prepared(bars: DataFrame, by: Sequence[str]) -> DataFrame:
+    return with_positions(bars, by).withColumns({f"__{c}": units(c) for c in ("open", "high", "low", "close")})
+
+
+def _levels(df: DataFrame, next_open: Column, r1: float) -> DataFrame:
+    """Entry at the next bar's open, missing for the last two bars of the series, and the levels around it."""
     level = int(round(r1 * UNIT))
-    return base.withColumns(
-        {
-            "__block": F.floor(F.col("candle") / F.lit(block)),
-            "__entry": F.when(F.col("candle") < F.col("n_candles") - 2, entry),
-        }
-    ).withColumns({"__sl": F.col("__entry") - level, "__tp": F.col("__entry") + level})
+    entry = F.when(F.col("candle") < F.col("n_candles") - 2, next_open)
+    return df.withColumn("__entry", entry).withColumns({"__sl": F.col("__entry") - level, "__tp": F.col("__entry") + level})
 
 
 def _as_bar() -> Column:
@@ -54,11 +57,26 @@ def _as_bar() -> Column:
     )
 
 
+def _blocks(base: DataFrame, by: Sequence[str], reach: int) -> DataFrame:
+    """Bars per block, and of the `reach` blocks behind it: range, first open, and whether all their bars are sound."""
+    sound = (F.col("__low") <= F.col("__open")) & (F.col("__open") <= F.col("__high"))
+    blocks = base.groupBy(*by, "__block").agg(
+        F.sort_array(F.collect_list(_as_bar())).alias("__bars"),
+        F.min(F.least("__low", "__open")).alias("lo"),
+        F.max(F.greatest("__high", "__open")).alias("hi"),
+        F.min(sound).alias("sound"),
+    )
+    chunked = halo_chunks(blocks.withColumn("bar_idx", F.col("__block")), 0, reach)
+    ahead = Window.partitionBy(*by, "chunk").orderBy("__block").rowsBetween(1, reach)
+    told = F.struct(F.col("__block").alias("b"), "lo", "hi", "sound", F.get("__bars", F.lit(0))["open"].alias("open"))
+    return trim(chunked.withColumn("__ahead", F.collect_list(told).over(ahead))).drop("bar_idx", "lo", "hi", "sound")
+
+
 def first_touch(
     bars: DataFrame,
     r1: float,
     bars_ahead: int,
-    by: Sequence[str] = KEY,
+    by: Sequence[str] = SERIES,
     by_gap: bool = True,
     block: int | None = None,
 ) -> DataFrame:
@@ -66,74 +84,34 @@ def first_touch(
     next `bars_ahead` bars.
 
     `by_gap` also lets an open beyond a level decide, and needs a level to lie inside
-    the bar to count as reached. With sound bars (low <= open <= high) the first bar
-    reaching a level is then the deciding one; a series holding any unsound bar is
-    joined bar by bar instead.
+    the bar to count as reached.
     """
     block = block or max(8, int(math.sqrt(bars_ahead)))
-    # Read several times below: as entries, as blocks and as bars.
-    base = materialise(_prepared(bars, r1, by, block))
-    if not by_gap:
-        return _by_blocks(base, bars_ahead, by, block, by_gap)
-    unsound = (F.col("__low") > F.col("__open")) | (F.col("__open") > F.col("__high"))
-    if base.filter(unsound).isEmpty():
-        return _by_blocks(base, bars_ahead, by, block, by_gap)
-    marked = base.withColumn("__unsound", F.max(unsound.cast("int")).over(Window.partitionBy(*by)))
-    sound = marked.filter("__unsound = 0").drop("__unsound")
-    rest = marked.filter("__unsound = 1").drop("__unsound")
-    return _by_blocks(sound, bars_ahead, by, block, by_gap).unionByName(_by_bars(rest, bars_ahead, by))
-
-
-def _by_blocks(base: DataFrame, bars_ahead: int, by: Sequence[str], block: int, by_gap: bool) -> DataFrame:
-    reach = bars_ahead // block + 1
-    ahead = Window.partitionBy(*by).orderBy("__block").rowsBetween(1, reach)
-    blocks = base.groupBy(*by, "__block").agg(
-        F.sort_array(F.collect_list(_as_bar())).alias("__bars"),
-        F.min("__low").alias("__min"),
-        F.max("__high").alias("__max"),
-    )
-    blocks = blocks.withColumn(
-        "__ahead", F.collect_list(F.struct(F.col("__block").alias("b"), F.col("__min").alias("lo"), F.col("__max").alias("hi"))).over(ahead)
-    )
+    base = _prepared(bars, by).withColumn("__block", F.floor(F.col("candle") / F.lit(block)))
+    blocks = _blocks(base, by, bars_ahead // block + 1)
     last = F.col("candle") + bars_ahead
 
-    def first_in(bars: Column) -> Column:
-        inside = F.filter(
-            bars, lambda b: (b["candle"] > F.col("candle")) & (b["candle"] <= last) & _hit(b, by_gap)
-        )
-        return F.get(inside, 0)
-
-    own = base.join(blocks.select(*by, "__block", "__bars", "__ahead"), [*by, "__block"])
-    later = F.filter("__ahead", lambda s: (s["lo"] <= F.col("__sl")) | (s["hi"] >= F.col("__tp")))
-    own = own.withColumns(
-        {"__here": F.when(F.col("__entry").isNotNull(), first_in(F.col("__bars"))), "__next": F.get(later, 0)["b"]}
-    )
-    own = own.withColumn("__next", F.when(F.col("__here").isNull() & F.col("__entry").isNotNull(), F.col("__next")))
-    own = own.drop("__bars", "__ahead", "__block")
-    target = blocks.select(*by, F.col("__block").alias("__next"), F.col("__bars").alias("__bars"))
-    joined = own.join(target, [*by, "__next"], "left")
-    at = F.coalesce(F.col("__here"), F.when(F.col("__next").isNotNull(), first_in(F.col("__bars"))))
-    return joined.withColumn("__at", at).drop("__here", "__next", "__bars")
-
-
-def _by_bars(base: DataFrame, bars_ahead: int, by: Sequence[str]) -> DataFrame:
-    keys = [F.col(f"e.{k}") == F.col(f"f.{k}") for k in by]
-    entries = base.drop("__block")
-    future = base.select(*by, _as_bar().alias("__bar"))
-    cond = keys[0]
-    for k in keys[1:]:
-        cond = cond & k
-    pos = F.col("f.__bar.candle")
-    cond = cond & (pos > F.col("e.candle")) & (pos <= F.col("e.candle") + bars_ahead)
-    joined = entries.alias("e").join(future.alias("f"), cond, "left").select("e.*", F.col("f.__bar").alias("__bar"))
-    hit = F.col("__bar").isNotNull() & _hit(F.col("__bar"), True)
-    values = [c for c in entries.columns if c not in (*by, "candle")]
-    return joined.groupBy(*by, "candle").agg(
-        *[F.first(c).alias(c) for c in values], F.min(F.when(hit, F.col("__bar"))).alias("__at")
-    )
-
-
-def buy_labels(bars: DataFrame, r1: float = 6.0, horizon: int = 1440, by: Sequence[str] = KEY, block: int | None = None) -> DataFrame:
+    def first_in(inside: Column) -> Column:
+        return F.get(F.filter(inside, lambda b: (b["candle"] > F.col("candle")) & (b["candle"] <= last) & _hit(b, by_gap)), 0)
+
+    own = base.join(blocks, [*by, "__block"])
+    inner = F.get("__bars", (F.col("candle") - F.col("__block") * block + 1).cast("int"))["open"]
+    own = _levels(own, F.coalesce(inner, F.get("__ahead", F.lit(0))["open"]), r1)
+    own = own.withColumn("__here", F.when(F.col("__entry").isNotNull(), first_in(F.col("__bars"))))
+    reached = F.filter("__ahead", lambda s: (s["lo"] <= F.col("__sl")) | (s["hi"] >= F.col("__tp")))
+    own = own.withColumn("__reached", F.when(F.col("__here").isNull() & F.col("__entry").isNotNull(), reached)).drop("__bars", "__ahead")
+    # Behind the first sound block that reaches a level there is nothing to look for.
+    certain = F.array_position(F.transform("__reached", lambda s: s["sound"]), F.lit(True)).cast("int")
+    asked = F.when(certain > 0, F.slice("__reached", 1, certain)).otherwise(F.col("__reached"))
+    asked = F.transform(asked, lambda s: s["b"])
+    keys = [*by, "candle"]
+    later = own.select(*keys, "__sl", "__tp", F.explode(asked).alias("__block")).join(blocks.drop("__ahead"), [*by, "__block"])
+    later = later.select(*keys, first_in(F.col("__bars")).alias("__hit")).groupBy(*keys).agg(F.min("__hit").alias("__later"))
+    joined = own.drop("__reached", "__block").join(later, keys, "left")
+    return joined.withColumn("__at", F.coalesce("__here", "__later")).drop("__here", "__later")
+
+
+def buy_labels(bars: DataFrame, r1: float = 6.0, horizon: int = 1440, by: Sequence[str] = SERIES, block: int | None = None) -> DataFrame:
     """Buy at the next open, levels r1 either side. `label` 1 / 0 / missing, `label_res` Win / Lose / No res.
 
     Scans the entry bar and `horizon` bars after it. A bar reaching both levels wins only if it closes
@@ -167,7 +145,7 @@ def two_sided_labels(
     r1: float = 6.0,
     horizon: int = 1440,
     skip_first: int = 250,
-    by: Sequence[str] = KEY,
+    by: Sequence[str] = SERIES,
     block: int | None = None,
 ) -> DataFrame:
     """`buy_label` +1 / -1 / 0 and its mirror `sell_label`. Scans `horizon` bars from the entry bar on.
@@ -188,11 +166,13 @@ def two_sided_labels(
     )
 
 
-def short_horizon_labels(bars: DataFrame, r1: float = 6.0, expired: int = 5, skip_first: int = 250, by: Sequence[str] = KEY) -> DataFrame:
+def short_horizon_labels(bars: DataFrame, r1: float = 6.0, expired: int = 5, skip_first: int = 250, by: Sequence[str] = SERIES) -> DataFrame:
     """The two-sided label over expired + 2 bars: a few `lead`s instead of a join."""
-    w = Window.partitionBy(*by).orderBy("ts")
     horizon = expired + 2
-    base = _prepared(bars, r1, by, 1)
+    numbered = _prepared(bars, by).withColumn("bar_idx", F.col("candle"))
+    chunked = halo_chunks(numbered, 0, horizon)
+    w = Window.partitionBy(*by, "chunk").orderBy("candle")
+    base = _levels(chunked, F.lead("__open").over(w), r1)
     out = F.lit(None).cast("int")
     # Built from the far end so that the nearest bar is asked first.
     for k in range(horizon, 0, -1):
@@ -202,7 +182,7 @@ def short_horizon_labels(bars: DataFrame, r1: float = 6.0, expired: int = 5, ski
             F.when(up & down, F.when(cl >= op, 1).otherwise(-1)).when(up, 1).when(down, -1).otherwise(out)
         )
     label = F.when((F.col("candle") < skip_first) | F.col("__entry").isNull(), 0).otherwise(F.coalesce(out, F.lit(0)))
-    df = base.withColumn("buy_label", label.cast("int")).withColumn("sell_label", -F.col("buy_label"))
+    df = trim(base.withColumn("buy_label", label.cast("int")).withColumn("sell_label", -F.col("buy_label"))).drop("bar_idx")
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 

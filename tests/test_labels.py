@@ -53,7 +53,7 @@ def test_buy_label_equals_loop(make_bars, walk, horizon, block):
     assert got(df, "label") == loop_buy(rows, 2.0, horizon)
 
 
-def test_unsound_bars_take_the_plain_path(make_bars, walk):
+def test_unsound_bars_equal_loop(make_bars, walk):
     rows = walk(150, seed=3)
     for i in (20, 60, 61, 100):
         o, h, lo, c = rows[i]

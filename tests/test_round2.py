@@ -140,3 +140,31 @@ def test_reduced_variants(spark):
 def test_gate_sets_name_absent_columns():
     with pytest.raises(ValueError, match="h4_ret"):
         transforms.gate_feature_set(["tod_sin"], "h4_time_core")
+
+
+@pytest.mark.parametrize("horizon,block", [(30, 4), (90, None)])
+def test_labels_run_on_across_the_year(make_bars, walk, horizon, block):
+    """Bars before and after New Year are one series; with the year in the key they are two."""
+    rows = walk(240, seed=11)
+    start = dt.datetime(2023, 12, 31, 22, 0)
+    whole = make_bars(rows, start=start)
+    apart = make_bars(rows)
+    assert whole.select("year").distinct().count() == 2
+    for label, column in (
+        (lambda f, **k: labels.buy_labels(f, 2.0, horizon, block=block, **k), "label"),
+        (lambda f, **k: labels.two_sided_labels(f, 2.0, horizon, skip_first=20, block=block, **k), "buy_label"),
+        (lambda f, **k: labels.short_horizon_labels(f, 0.8, 5, skip_first=20, **k), "buy_label"),
+    ):
+        across, single = ([r[column] for r in label(f).orderBy("ts").collect()] for f in (whole, apart))
+        assert across == single
+        restarted = [r[column] for r in label(whole, by=("symbol", "year")).orderBy("ts").collect()]
+        assert restarted != across
+
+
+def test_labels_do_not_depend_on_chunks(make_bars, walk, monkeypatch):
+    from barloom.operators import chunks
+
+    frame = make_bars(walk(300, seed=12))
+    want = [r.label for r in labels.buy_labels(frame, 2.0, 50, block=5).orderBy("ts").collect()]
+    monkeypatch.setattr(chunks.halo_chunks, "__defaults__", (0, 7))
+    assert [r.label for r in labels.buy_labels(frame, 2.0, 50, block=5).orderBy("ts").collect()] == want
