@@ -20,7 +20,6 @@ from barloom.functions.scalars import to_feature
 from barloom.operators.metrics import prob_metrics
 from barloom.operators.ordered import expand, running_totals
 from barloom.operators.sampling import class_weights, sample_n, strat_folds, ts_folds
-from barloom.operators.selection import label_corr
 from barloom.session import materialise, small_table
 
 VECTOR = "__features"
@@ -306,8 +305,3 @@ def partial_dependence(
     )
     crossed = sample.crossJoin(F.broadcast(grid)).withColumn(feature, F.col("__v"))
     return score(crossed, model, features).groupBy(F.col("__v").alias(feature)).agg(F.avg("score").alias("mean_score"))
-
-
-def ranked_by_label(df: DataFrame, features: Sequence[str], label: str = "label") -> list[str]:
-    table = label_corr(df, features, label).orderBy(F.desc("abs_label_corr"), "feature").collect()
-    return [r.feature for r in table]

@@ -11,7 +11,6 @@ from barloom.functions.scalars import winrate
 
 # Narrow and wide threshold grids.
 GRID = tuple(round(0.50 + 0.01 * i, 2) for i in range(11))
-WIDE_GRID = tuple(round(0.50 + 0.01 * i, 2) for i in range(21))
 
 
 def threshold_table(
