@@ -10,6 +10,7 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "scripts")]
 
 import __spark_entry__ as entry  # noqa: E402
 import compare  # noqa: E402
+from barloom import plans  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def con():
     return compare.connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith(("op", "pipeline"))])
+@pytest.mark.parametrize("name", list(plans.queries()))
 def test_query(spark, con, name):
     ok, note = compare.compare(name, spark, con, SF)
     assert ok, note
