@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ def prepare(spark: SparkSession) -> None:
     """Session settings the operators rely on: UTC, and Arrow batches of few rows since texts can be long."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 24))
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
@@ -170,10 +171,6 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, rolling: Ro
     return mix(rolling.of(prefix, start, end) + (end - start).astype(np.uint64))
 
 
-def id_array(column: pa.Array) -> list:
-    return column.to_pylist()
-
-
 def text_column(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, under its own names: `id`, `text` (null text: empty)."""
     return df.select(
@@ -189,7 +186,3 @@ def chunked(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         raw, offsets = flat(batch.column(column))
         for a, b in runs(offsets, most):
             yield batch.slice(a, b - a), raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-
-
-def table_batch(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from barloom.llm.common import load, query, text_column
 
 #: Entries a memo may hold; later strings are then worked out each time. Frequent ones come early.
-MEMO = 600_000
+MEMO = 250_000
 #: Up to this many bytes a piece's table is filled from the back, and strings go to the memos.
 SHORT = 48
 NONE = -1
@@ -91,6 +91,9 @@ class Vocabulary:
             else:
                 before, b = b + 1, b_from[0]
 
+    def forget(self) -> None:
+        self._pairs.clear()
+
     def _remember(self, left: int, right: int) -> bool:
         valid = self._valid(left, right)
         if len(self._pairs) < MEMO:
@@ -220,6 +223,12 @@ class Encoder:
             out += ids
         return out
 
+    def forget(self) -> None:
+        """Empty the memos: an idle worker process should not hold them."""
+        self.parts.clear()
+        self.pieces.clear()
+        self.vocabulary.forget()
+
     def decode(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
@@ -254,7 +263,7 @@ _ENCODERS: dict[tuple[int, str], Encoder] = {}
 
 
 def _encoder(ranks: dict[bytes, int], key: tuple[int, str]) -> Encoder:
-    # Kept for the life of the worker process: building takes a second and the memo goes on helping.
+    # Kept for the life of the worker process: building takes a second.
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(ranks, key[1])
@@ -282,6 +291,7 @@ def _job(broadcast, key: tuple[int, str], schema: str, describe):
                 rows.append((doc.as_py(), *describe(encoder, ids)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
+        encoder.forget()
 
     return work
 
