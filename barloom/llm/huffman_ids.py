@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -473,10 +472,6 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFra
     return describe(read_ids(docs.sparkSession, path))
 
 
-def crc32_of(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
-
-
 @query("op5_huffman_ids")
 def _op5(spark, sf_dir):
     import public_tokenizers
