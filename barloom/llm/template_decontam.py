@@ -98,6 +98,12 @@ def _bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if rows_of(table) <= BROADCAST_ROWS else table
 
 
+def _coverage(aligned: DataFrame) -> DataFrame:
+    """(doc_id, item_id, coverage): the share of the item's windows that were met at any shift."""
+    words = aligned.groupBy("doc_id", "item_id", "word").agg(F.bit_or("met").alias("met"), F.max("total").alias("total"))
+    return words.groupBy("doc_id", "item_id").agg((F.sum(F.bit_count("met")) / F.max("total")).alias("coverage"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id, coverage, shift) of documents that hold a benchmark item or a consistent variant of it.
 
@@ -111,13 +117,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(window_hashes(canonical(tokens(F.col(text_col))))).alias("place", "hash")
     )
     hits = read.join(_bounded(sought), "hash")
-    # Partial sums shrink a passage met in very many documents to a row per document and item.
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift")).agg(
-        F.count(F.lit(1)).alias("n"), F.max("total").alias("total")
+    # A window of the item counts once, however often the document repeats it. Places are bits of words of 64, so that
+    # partial sums shrink a passage met in very many documents to a few rows per document and item.
+    aligned = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("met"), F.max("total").alias("total")
     )
-    candidates = aligned.groupBy("doc_id", "item_id").agg(
-        F.least(F.lit(1.0), F.sum("n") / F.max("total")).alias("coverage"), F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift")
+    aligned = stage(aligned, "aligned")
+    best = aligned.groupBy("doc_id", "item_id", "shift").agg(F.sum(F.bit_count("met")).alias("n"))
+    best = best.groupBy(F.col("doc_id").alias("b_doc"), F.col("item_id").alias("b_item")).agg(
+        F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift")
     )
+    candidates = _coverage(aligned).join(best, F.col("doc_id").eqNullSafe(F.col("b_doc")) & F.col("item_id").eqNullSafe(F.col("b_item")))
+    candidates = candidates.select("doc_id", "item_id", "coverage", "shift")
     candidates = stage(candidates.filter(F.col("coverage") >= COVER), "candidates")
     return _consistent(candidates, docs, benchmark, id_col, text_col)
 

@@ -384,6 +384,14 @@ def test_slots_must_be_consistent(spark, make_docs):
     assert leaked(spark, make_docs, [other, same], [(1, item)]) == {(1, 1)}
 
 
+def test_repeated_lines_count_once(spark, make_docs):
+    """One window shared with an item, repeated as often as the item has windows, is no leak."""
+    item = "we count how many red boxes stand in this room when every second one of them is carried out again before noon"
+    line = "we count how many red boxes stand in"
+    texts = [" ; ".join(f"{line} k{i}" for i in range(60)), item]
+    assert leaked(spark, make_docs, texts, [(1, item)]) == {(1, 1)}
+
+
 def test_no_benchmark_and_no_documents(spark, make_docs):
     assert leaked(spark, make_docs, [ITEM], []) == set()
     assert leaked(spark, make_docs, [], [(1, ITEM)]) == set()
