@@ -6,9 +6,10 @@ Only column expressions and joins are used.
    placeholders; any capital may be a name, at the start of a sentence too.
 2. Windows of WINDOW tokens are hashed; windows of documents meet the benchmark's windows in a hash join. Windows of an
    item with fewer than LITERALS ordinary words are left out, since they say too little.
-3. A document that holds at least COVER of an item's windows is a candidate. Candidates are aligned with the item, and
-   their slots compared: wherever the item has one value, the document must have one value too. Slots that change
-   consistently are a re-parameterised question; slots that don't are another text of the same form.
+3. A document that holds at least COVER of an item's windows is a candidate. Every alignment of a candidate with the
+   item has its slots compared: wherever the item has one value, the document must have one value too. Slots that change
+   consistently are a re-parameterised question; slots that don't are another text of the same form. The alignments that
+   are consistent must hold COVER of the item's windows.
 
 The benchmark's windows are broadcast when there are at most BROADCAST_ROWS of them (16 bytes each), and shuffled
 otherwise; documents are never collected, and a window is matched by one row whatever document it is from.
@@ -98,69 +99,90 @@ def _bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if rows_of(table) <= BROADCAST_ROWS else table
 
 
-def _coverage(aligned: DataFrame) -> DataFrame:
-    """(doc_id, item_id, coverage): the share of the item's windows that were met at any shift."""
-    words = aligned.groupBy("doc_id", "item_id", "word").agg(F.bit_or("met").alias("met"), F.max("total").alias("total"))
-    return words.groupBy("doc_id", "item_id").agg((F.sum(F.bit_count("met")) / F.max("total")).alias("coverage"))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id, coverage, shift) of documents that hold a benchmark item or a consistent variant of it.
 
+    coverage is the share of the item's windows met where slots are consistent; shift is the alignment that meets most.
+
     * Null texts and texts or items of fewer than WINDOW tokens match nothing.
     * Equal items are reported under the smallest of their ids; a null item id is smaller than none.
     * Rows sharing a doc_id are judged together; a null doc_id is reported as null.
     * Other columns are not read, in either table. Empty tables give an empty result.
     """
     sought = stage(item_windows(benchmark), "item-windows")
-    read = docs.select(
-        F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(window_hashes(canonical(tokens(F.col(text_col))))).alias("place", "hash")
-    )
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # `part` tells rows that share a doc_id apart.
+    texts = texts.withColumn("part", F.xxhash64("text"))
+    read = texts.select("doc_id", "part", F.posexplode(window_hashes(canonical(tokens(F.col("text"))))).alias("place", "hash"))
     hits = read.join(_bounded(sought), "hash")
     # A window of the item counts once, however often the document repeats it. Places are bits of words of 64, so that
     # partial sums shrink a passage met in very many documents to a few rows per document and item.
-    aligned = hits.groupBy("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("met"), F.max("total").alias("total")
+    shift = (F.col("place") - F.col("at")).alias("shift")
+    aligned = hits.groupBy("doc_id", "part", "item_id", shift, F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("met"),
+        F.max("total").alias("total"),
+        F.min("at").alias("low"),
+        F.max("at").alias("high"),
     )
     aligned = stage(aligned, "aligned")
-    best = aligned.groupBy("doc_id", "item_id", "shift").agg(F.sum(F.bit_count("met")).alias("n"))
-    best = best.groupBy(F.col("doc_id").alias("b_doc"), F.col("item_id").alias("b_item")).agg(
-        F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift")
-    )
-    candidates = _coverage(aligned).join(best, F.col("doc_id").eqNullSafe(F.col("b_doc")) & F.col("item_id").eqNullSafe(F.col("b_item")))
-    candidates = candidates.select("doc_id", "item_id", "coverage", "shift")
-    candidates = stage(candidates.filter(F.col("coverage") >= COVER), "candidates")
-    return _consistent(candidates, docs, benchmark, id_col, text_col)
+    candidates = _coverage(aligned).filter(F.col("coverage") >= COVER)
+    aligned = stage(_at(aligned, candidates, "doc_id", "item_id").drop("coverage"), "candidates")
+    fitting = _at(aligned, _consistent(aligned, texts, benchmark), "doc_id", "part", "item_id", "shift")
+    fitting = stage(fitting, "fitting")
+    best = fitting.groupBy("doc_id", "part", "item_id", "shift").agg(F.sum(F.bit_count("met")).alias("n"))
+    best = best.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
+    found = _at(best, _coverage(fitting).filter(F.col("coverage") >= COVER), "doc_id", "item_id")
+    return found.select("doc_id", "item_id", "coverage", "shift")
 
 
-def _consistent(candidates: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("bigint").alias("d_id"), F.col(text_col).alias("d_text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("i_id"), tokens(F.col("text")).alias("item"))
-    items = items.groupBy("i_id").agg(F.min("item").alias("item"))
-    paired = candidates.join(texts, F.col("doc_id").eqNullSafe(F.col("d_id"))).join(items, F.col("item_id").eqNullSafe(F.col("i_id")))
-    paired = paired.select("doc_id", "item_id", "coverage", "shift", "item", tokens(F.col("d_text")).alias("doc"))
+def _coverage(aligned: DataFrame) -> DataFrame:
+    """(doc_id, item_id, coverage): the share of the item's windows that were met at any of the shifts."""
+    words = aligned.groupBy("doc_id", "item_id", "word").agg(F.bit_or("met").alias("met"), F.max("total").alias("total"))
+    return words.groupBy("doc_id", "item_id").agg((F.sum(F.bit_count("met")) / F.max("total")).alias("coverage"))
+
+
+def _at(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Rows joined with another table on keys that may be null."""
+    renamed = other.select(*[F.col(k).alias(f"o_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    met = [F.col(k).eqNullSafe(F.col(f"o_{k}")) for k in keys]
+    return rows.join(renamed, met).drop(*[f"o_{k}" for k in keys])
 
-    def slots(item: Column, doc: Column, item_kind: Column, doc_kind: Column) -> Column:
+
+def _consistent(aligned: DataFrame, texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, part, item_id, shift) of the alignments whose slots are consistent between the first and last window met."""
+    spans = aligned.groupBy("doc_id", "part", "item_id", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    # All alignments of a text and an item in one row, so that the text is cut into tokens once.
+    spans = spans.groupBy("doc_id", "part", "item_id").agg(F.collect_list(F.struct("shift", "low", "high")).alias("spans"))
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), tokens(F.col("text")).alias("item"))
+    items = items.groupBy("item_id").agg(F.min("item").alias("item"))
+    paired = _at(_at(spans, texts.dropDuplicates(["doc_id", "part"]), "doc_id", "part"), items, "item_id")
+    paired = paired.select("doc_id", "part", "item_id", "spans", "item", tokens(F.col("text")).alias("doc"))
+
+    def slots(item: Column, doc: Column, item_kind: Column, doc_kind: Column, span: Column) -> Column:
         """Distinct (item's value, document's value) where both have the same placeholder."""
         place = F.filter(
-            F.sequence(F.lit(0), F.size(item) - 1),
-            lambda i: F.get(item_kind, i).startswith("#") & (F.get(item_kind, i) == F.coalesce(F.get(doc_kind, i + F.col("shift")), F.lit(""))),
+            F.sequence(span["low"], F.least(span["high"] + WINDOW, F.size(item)) - 1),
+            lambda i: F.get(item_kind, i).startswith("#") & (F.get(item_kind, i) == F.coalesce(F.get(doc_kind, i + span["shift"]), F.lit(""))),
         )
         both = F.transform(
-            place, lambda i: F.struct(F.lower(F.get(item, i)).alias("item"), F.lower(F.get(doc, i + F.col("shift"))).alias("doc"))
+            place, lambda i: F.struct(F.lower(F.get(item, i)).alias("item"), F.lower(F.get(doc, i + span["shift"])).alias("doc"))
         )
         return F.array_distinct(both)
 
-    pairs = _let(
+    def fits(pairs: Column) -> Column:
+        values = F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))
+        return (F.size(pairs) == 0) | (values >= CONSISTENT * F.size(pairs))
+
+    def fitting(item: Column, doc: Column, item_kind: Column, doc_kind: Column) -> Column:
+        return F.filter("spans", lambda span: _let(slots(item, doc, item_kind, doc_kind, span), fits))
+
+    kept = _let(
         F.col("item"),
         lambda item: _let(
-            F.col("doc"), lambda doc: _let(canonical(item), lambda ik: _let(canonical(doc), lambda dk: slots(item, doc, ik, dk)))
+            F.col("doc"), lambda doc: _let(canonical(item), lambda ik: _let(canonical(doc), lambda dk: fitting(item, doc, ik, dk)))
         ),
     )
-    told = paired.select("doc_id", "item_id", "coverage", "shift", pairs.alias("pairs"))
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    fits = (F.size("pairs") == 0) | (values >= CONSISTENT * F.size("pairs"))
-    return told.filter(fits).groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.min("shift").alias("shift"))
+    return paired.select("doc_id", "part", "item_id", F.explode(kept).alias("span")).select("doc_id", "part", "item_id", "span.shift")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -392,6 +392,19 @@ def test_repeated_lines_count_once(spark, make_docs):
     assert leaked(spark, make_docs, texts, [(1, item)]) == {(1, 1)}
 
 
+def test_every_alignment_is_tested(spark, make_docs):
+    """An inconsistent text of the same form, also under the same id, does not hide the item itself."""
+    item = "the train from Rome to Bern leaves Rome at 9 and then goes back from Bern to Rome where people from Rome wait for Bern"
+    names = iter(["Ulm", "Linz", "Graz", "Wien", "Kiel", "Bonn", "Köln", "Trier"])
+    other = " ".join(next(names) if w in ("Rome", "Bern") else w for w in item.split())
+    split = item.replace("and then", "and only then")
+    assert leaked(spark, make_docs, [f"{other} {FILL} {item}", f"{other} {split}", other], [(1, item)]) == {(0, 1), (1, 1)}
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for texts in ([other, item], [item, other]):
+        got = collect(template_decontam.leaks(make_docs([(5, t) for t in texts]), bench))
+        assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in got] == [(5, 1, 1.0)]
+
+
 def test_no_benchmark_and_no_documents(spark, make_docs):
     assert leaked(spark, make_docs, [ITEM], []) == set()
     assert leaked(spark, make_docs, [], [(1, ITEM)]) == set()
