@@ -3,7 +3,8 @@
 Only column expressions and joins are used.
 
 1. Texts become tokens (runs of letters and digits). Numbers, units behind a number and capitalised words become typed
-   placeholders; any capital may be a name, at the start of a sentence too.
+   placeholders; any capital may be a name, at the start of a sentence too. In a second wording of every text, words
+   are folded to one case and none is a name, so a copy that only changes letter case is met there.
 2. Windows of WINDOW tokens are hashed; windows of documents meet the benchmark's windows in a hash join. Windows of an
    item with fewer than LITERALS ordinary words are left out, since they say too little.
 3. A document that holds at least COVER of an item's windows is a candidate. Every alignment of a candidate with the
@@ -63,11 +64,36 @@ def canonical(toks: Column) -> Column:
     return _let(toks, lambda all_tokens: F.transform(all_tokens, lambda t, at: one(all_tokens, t, at)))
 
 
+def folded(toks: Column) -> Column:
+    """Every token's placeholder, or else its text without letter case; no word is a name."""
+    # Upper case first: some small letters (ß) share a capital spelling with others.
+    low = F.transform(toks, lambda t: F.lower(F.upper(t)))
+
+    def one(words: Column, word: Column, at: Column) -> Column:
+        unit = (at > 0) & _is_number(F.get(words, at - 1)) & word.isin(UNITS)
+        return F.when(_is_number(word), "#num").when(unit, "#unit").otherwise(word)
+
+    return _let(low, lambda words: F.transform(words, lambda w, at: one(words, w, at)))
+
+
+#: Hashes of the folded wording are told from those of the other by these bits.
+FOLD_BITS = 0x5851F42D4C957F2D
+
+
+def wordings(toks: Column) -> Column:
+    """Both wordings of a text, the folded one second."""
+    return _let(toks, lambda t: F.array(canonical(t), folded(t)))
+
+
 def _let(value: Column, body) -> Column:
     """`body` of a value that is worked out once, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _marked(hash: Column, fold: Column) -> Column:
+    return F.when(fold == 1, hash.bitwiseXOR(F.lit(FOLD_BITS))).otherwise(hash)
+
+
 def window_hashes(canon: Column) -> Column:
     """Hashes of all windows of WINDOW tokens, in order, from hashes of 1, 2, 4 and 8 tokens."""
 
@@ -85,14 +111,19 @@ def window_hashes(canon: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, item_id, at, total) of every window worth looking for; equal items are one, under their smallest id."""
+    """(hash, item_id, fold, at, total) of every window worth looking for; equal items are one, under their smallest id.
+
+    fold: 1 for windows of the folded wording, of which an item has a total of its own.
+    """
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), tokens(F.col(text_col)).alias("toks"))
-    items = items.groupBy("toks").agg(F.min("item_id").alias("item_id")).select("item_id", canonical(F.col("toks")).alias("canon"))
-    rows = items.select("item_id", "canon", F.posexplode(window_hashes(F.col("canon"))).alias("at", "hash"))
+    items = items.groupBy("toks").agg(F.min("item_id").alias("item_id"))
+    items = items.select("item_id", F.posexplode(wordings(F.col("toks"))).alias("fold", "canon"))
+    rows = items.select("item_id", "fold", "canon", F.posexplode(window_hashes(F.col("canon"))).alias("at", "hash"))
     literal = F.size(F.filter(F.slice(F.col("canon"), F.col("at") + 1, WINDOW), lambda t: ~t.startswith("#")))
-    rows = rows.filter(literal >= LITERALS).select("hash", "item_id", "at")
-    totals = rows.groupBy(F.col("item_id").alias("t_item")).agg(F.count(F.lit(1)).alias("total"))
-    return rows.join(totals, F.col("item_id").eqNullSafe(F.col("t_item"))).drop("t_item")
+    rows = rows.filter(literal >= LITERALS).select(_marked(F.col("hash"), F.col("fold")).alias("hash"), "item_id", "fold", "at")
+    totals = rows.groupBy(F.col("item_id").alias("t_item"), F.col("fold").alias("t_fold")).agg(F.count(F.lit(1)).alias("total"))
+    same = F.col("item_id").eqNullSafe(F.col("t_item")) & (F.col("fold") == F.col("t_fold"))
+    return rows.join(totals, same).drop("t_item", "t_fold")
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -113,12 +144,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # `part` tells rows that share a doc_id apart.
     texts = texts.withColumn("part", F.xxhash64("text"))
-    read = texts.select("doc_id", "part", F.posexplode(window_hashes(canonical(tokens(F.col("text"))))).alias("place", "hash"))
+    both = F.transform(wordings(tokens(F.col("text"))), window_hashes)
+    read = texts.select("doc_id", "part", F.posexplode(both).alias("wording", "hashes"))
+    read = read.select("doc_id", "part", "wording", F.posexplode("hashes").alias("place", "hash"))
+    read = read.select("doc_id", "part", "place", _marked(F.col("hash"), F.col("wording")).alias("hash"))
     hits = read.join(_bounded(sought), "hash")
     # A window of the item counts once, however often the document repeats it. Places are bits of words of 64, so that
     # partial sums shrink a passage met in very many documents to a few rows per document and item.
     shift = (F.col("place") - F.col("at")).alias("shift")
-    aligned = hits.groupBy("doc_id", "part", "item_id", shift, F.shiftright("at", 6).alias("word")).agg(
+    aligned = hits.groupBy("doc_id", "part", "item_id", "fold", shift, F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("met"),
         F.max("total").alias("total"),
         F.min("at").alias("low"),
@@ -126,19 +160,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     )
     aligned = stage(aligned, "aligned")
     candidates = _coverage(aligned).filter(F.col("coverage") >= COVER)
-    aligned = stage(_at(aligned, candidates, "doc_id", "item_id").drop("coverage"), "candidates")
-    fitting = _at(aligned, _consistent(aligned, texts, benchmark), "doc_id", "part", "item_id", "shift")
+    aligned = stage(_at(aligned, candidates, "doc_id", "item_id", "fold").drop("coverage"), "candidates")
+    fitting = _at(aligned, _consistent(aligned, texts, benchmark), "doc_id", "part", "item_id", "fold", "shift")
     fitting = stage(fitting, "fitting")
-    best = fitting.groupBy("doc_id", "part", "item_id", "shift").agg(F.sum(F.bit_count("met")).alias("n"))
-    best = best.groupBy("doc_id", "item_id").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
-    found = _at(best, _coverage(fitting).filter(F.col("coverage") >= COVER), "doc_id", "item_id")
-    return found.select("doc_id", "item_id", "coverage", "shift")
+    best = fitting.groupBy("doc_id", "part", "item_id", "fold", "shift").agg(F.sum(F.bit_count("met")).alias("n"))
+    best = best.groupBy("doc_id", "item_id", "fold").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
+    found = _at(best, _coverage(fitting).filter(F.col("coverage") >= COVER), "doc_id", "item_id", "fold")
+    # The wording that covers more, the typed one on ties.
+    one = F.max_by(F.struct("coverage", "shift"), F.struct("coverage", -F.col("fold"))).alias("one")
+    return found.groupBy("doc_id", "item_id").agg(one).select("doc_id", "item_id", "one.coverage", "one.shift")
 
 
 def _coverage(aligned: DataFrame) -> DataFrame:
-    """(doc_id, item_id, coverage): the share of the item's windows that were met at any of the shifts."""
-    words = aligned.groupBy("doc_id", "item_id", "word").agg(F.bit_or("met").alias("met"), F.max("total").alias("total"))
-    return words.groupBy("doc_id", "item_id").agg((F.sum(F.bit_count("met")) / F.max("total")).alias("coverage"))
+    """(doc_id, item_id, fold, coverage): the share of the item's windows that were met at any of the shifts."""
+    words = aligned.groupBy("doc_id", "item_id", "fold", "word").agg(F.bit_or("met").alias("met"), F.max("total").alias("total"))
+    return words.groupBy("doc_id", "item_id", "fold").agg((F.sum(F.bit_count("met")) / F.max("total")).alias("coverage"))
 
 
 def _at(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
@@ -149,14 +185,14 @@ def _at(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
 
 
 def _consistent(aligned: DataFrame, texts: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, part, item_id, shift) of the alignments whose slots are consistent between the first and last window met."""
-    spans = aligned.groupBy("doc_id", "part", "item_id", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    """(doc_id, part, item_id, fold, shift) of the alignments whose slots are consistent between the first and last window met."""
+    spans = aligned.groupBy("doc_id", "part", "item_id", "fold", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     # All alignments of a text and an item in one row, so that the text is cut into tokens once.
-    spans = spans.groupBy("doc_id", "part", "item_id").agg(F.collect_list(F.struct("shift", "low", "high")).alias("spans"))
+    spans = spans.groupBy("doc_id", "part", "item_id", "fold").agg(F.collect_list(F.struct("shift", "low", "high")).alias("spans"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), tokens(F.col("text")).alias("item"))
     items = items.groupBy("item_id").agg(F.min("item").alias("item"))
     paired = _at(_at(spans, texts.dropDuplicates(["doc_id", "part"]), "doc_id", "part"), items, "item_id")
-    paired = paired.select("doc_id", "part", "item_id", "spans", "item", tokens(F.col("text")).alias("doc"))
+    paired = paired.select("doc_id", "part", "item_id", "fold", "spans", "item", tokens(F.col("text")).alias("doc"))
 
     def slots(item: Column, doc: Column, item_kind: Column, doc_kind: Column, span: Column) -> Column:
         """Distinct (item's value, document's value) where both have the same placeholder."""
@@ -176,13 +212,17 @@ def _consistent(aligned: DataFrame, texts: DataFrame, benchmark: DataFrame) -> D
     def fitting(item: Column, doc: Column, item_kind: Column, doc_kind: Column) -> Column:
         return F.filter("spans", lambda span: _let(slots(item, doc, item_kind, doc_kind, span), fits))
 
+    def kinds(toks: Column) -> Column:
+        return F.when(F.col("fold") == 1, folded(toks)).otherwise(canonical(toks))
+
     kept = _let(
         F.col("item"),
         lambda item: _let(
-            F.col("doc"), lambda doc: _let(canonical(item), lambda ik: _let(canonical(doc), lambda dk: fitting(item, doc, ik, dk)))
+            F.col("doc"), lambda doc: _let(kinds(item), lambda ik: _let(kinds(doc), lambda dk: fitting(item, doc, ik, dk)))
         ),
     )
-    return paired.select("doc_id", "part", "item_id", F.explode(kept).alias("span")).select("doc_id", "part", "item_id", "span.shift")
+    told = paired.select("doc_id", "part", "item_id", "fold", F.explode(kept).alias("span"))
+    return told.select("doc_id", "part", "item_id", "fold", "span.shift")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -405,6 +405,21 @@ def test_every_alignment_is_tested(spark, make_docs):
         assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in got] == [(5, 1, 1.0)]
 
 
+def test_letter_case_does_not_matter(spark, make_docs):
+    """Copies in capitals, in small letters, and of items in capitals; their numbers may change consistently."""
+    german = "Die Straße nach Bern ist gesperrt weil Anna und Bob dort seit 3 Tagen Äpfel und Birnen an alle Leute verkaufen"
+    texts = [
+        f"{FILL} {ITEM.upper()} {FILL}",
+        f"{FILL} {ITEM.lower()} {FILL}",
+        ITEM.upper().replace("5", "11"),
+        german.upper(),
+        german.lower(),
+        FILL.upper(),
+    ]
+    got = leaked(spark, make_docs, texts, [(1, ITEM), (2, german), (3, ITEM.upper() + " ONCE AGAIN")])
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (0, 3), (1, 3), (2, 3)}
+
+
 def test_no_benchmark_and_no_documents(spark, make_docs):
     assert leaked(spark, make_docs, [ITEM], []) == set()
     assert leaked(spark, make_docs, [], [(1, ITEM)]) == set()
