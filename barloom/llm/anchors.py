@@ -152,13 +152,13 @@ def key_filter(docs: DataFrame, documents: int, keys_of, name: str) -> KeyFilter
 
 
 def copies(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(id, first) of the documents whose whole text a smaller id has too, and the number of all documents.
+    """(id, part) of the rows whose whole text a smaller id has too, and the number of all rows.
 
     Whole copies are told apart by digest before anything else, so that no group of copies is compared in parts.
     """
-    rows = stage(docs.select("id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
+    rows = stage(docs.select("id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
     firsts = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = rows.join(firsts, "digest").filter("id > first").select("id", "first").distinct()
+    later = rows.join(firsts, "digest").filter("id > first").select("id", "part").distinct()
     return stage(later, "copies"), rows.count()
 
 
@@ -167,9 +167,11 @@ NO_ID = -(2**63)
 
 
 def own_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
+    """(id, text, part): `part` is a hash of the text that tells rows sharing an id apart."""
+    own = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+    return own.withColumn("part", F.xxhash64("text"))
 
 
 def covered(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -181,15 +183,15 @@ def covered(n: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.n
 
 
 def with_cuts(docs: DataFrame, later: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Documents (id, text) with `whole` (a copy of an earlier text) and `cuts`, an array of (start, n) runs of windows."""
-    per_doc = cuts.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    """Documents (id, text, part) with `whole` (a copy of an earlier text) and `cuts`, an array of (start, n) runs of windows."""
+    per_doc = cuts.groupBy("doc", "part").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
     told = stage(
-        per_doc.select(F.col("doc").alias("id"), "cuts", F.lit(False).alias("whole")).unionByName(
-            later.select("id", F.lit(None).cast("array<struct<start:int,n:int>>").alias("cuts"), F.lit(True).alias("whole"))
+        per_doc.select(F.col("doc").alias("id"), "part", "cuts", F.lit(False).alias("whole")).unionByName(
+            later.select("id", "part", F.lit(None).cast("array<struct<start:int,n:int>>").alias("cuts"), F.lit(True).alias("whole"))
         ),
         "cuts",
     )
-    return docs.join(told, "id", "left")
+    return docs.join(told, ["id", "part"], "left")
 
 
 def cut_arrays(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:

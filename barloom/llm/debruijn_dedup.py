@@ -40,7 +40,7 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, window: int) -> anchors.Pieces
     return anchors.cut(values, prefix, bounds, GRAM, window, _WORDS)
 
 
-PATHS = "key bigint, path bigint, check bigint, doc bigint, start int, n int, kmers binary"
+PATHS = "key bigint, path bigint, check bigint, doc bigint, part bigint, start int, n int, kmers binary"
 
 
 def paths(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
@@ -64,13 +64,14 @@ def paths(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
             place = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             kmers = mix(_WORDS.of(prefix, place, place + window)).view("<i8")
             parts = [p.tobytes() for p in np.split(kmers, np.cumsum(n)[:-1])]
-            ids = np.asarray(batch.column("id"))
+            ids, texts = np.asarray(batch.column("id")), np.asarray(batch.column("part"))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(found.key[keep].view(np.int64)),
                     pa.array(path.view(np.int64)),
                     pa.array(check.view(np.int64)),
                     pa.array(ids[doc]),
+                    pa.array(texts[doc]),
                     pa.array((start - bounds[doc]).astype(np.int32)),
                     pa.array(n.astype(np.int32)),
                     pa.array(parts, pa.binary()),
@@ -81,7 +82,7 @@ def paths(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(work, PATHS)
 
 
-KMERS = "key bigint, kmer bigint, doc bigint, start int"
+KMERS = "key bigint, kmer bigint, doc bigint, part bigint, start int"
 
 
 def _each_kmer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,14 +97,15 @@ def _each_kmer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(np.repeat(np.asarray(batch.column("key")), n)),
                 pa.array(kmers),
                 pa.array(np.repeat(np.asarray(batch.column("doc")), n)),
+                pa.array(np.repeat(np.asarray(batch.column("part")), n)),
                 pa.array((np.repeat(np.asarray(batch.column("start")), n) + within).astype(np.int32)),
             ],
-            names=["key", "kmer", "doc", "start"],
+            names=["key", "kmer", "doc", "part", "start"],
         )
 
 
 def repeated_spans(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
-    """Runs (doc, start, n) of k-mers that also start in a document with a smaller id; docs: (id, text) without copies.
+    """Runs (doc, part, start, n) of k-mers that also start in a smaller id; docs: (id, text, part) without copies.
 
     `source` is the earlier document; rows of one doc may touch or overlap.
     """
@@ -113,14 +115,14 @@ def repeated_spans(docs: DataFrame, documents: int, window: int = WINDOW) -> Dat
     firsts = stage(firsts, "firsts")
     branching = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("key")
     repeated = firsts.filter("times > 1").select("key", "path", "check", "source")
-    settled = found.drop("kmers").join(repeated, ["key", "path", "check"]).filter("source < doc").select("doc", "start", "n", "source")
+    settled = found.drop("kmers").join(repeated, ["key", "path", "check"]).filter("source < doc").select("doc", "part", "start", "n", "source")
     # The first document of every path that leaves a branching place; later ones of the same path are settled above.
     open_paths = found.join(branching, "key", "left_semi").join(firsts.select("key", "path", "check", "source"), ["key", "path", "check"])
-    kmers = open_paths.filter("doc = source").select("key", "doc", "start", "n", "kmers").mapInArrow(_each_kmer, KMERS)
+    kmers = open_paths.filter("doc = source").select("key", "doc", "part", "start", "n", "kmers").mapInArrow(_each_kmer, KMERS)
     kmers = stage(kmers, "kmers")
     earliest = kmers.groupBy("key", "kmer").agg(F.min("doc").alias("source"), F.max("doc").alias("latest")).filter("source < latest")
     single = kmers.join(earliest.select("key", "kmer", "source"), ["key", "kmer"]).filter("source < doc")
-    return settled.unionByName(single.select("doc", "start", F.lit(1).alias("n"), "source"))
+    return settled.unionByName(single.select("doc", "part", "start", F.lit(1).alias("n"), "source"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -129,14 +131,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if it lies in a window whose words also start in a document with a smaller id, judged on the input.
 
     * Null and empty texts have no words; texts of fewer than `window` words lose none.
-    * Rows sharing an id are one document here: they take nothing from each other, and each loses what any of them
-      shares with a smaller id. A null id is smaller than any other and is returned as null.
+    * Rows sharing an id are one document here: they take nothing from each other, and each row loses what its own
+      text shares with a smaller id. A null id is smaller than any other and is returned as null.
     * Other columns are not read. An empty table gives an empty result.
     """
     own = anchors.own_columns(docs, id_col, text_col)
     later, documents = anchors.copies(own)
-    first = own.join(later, "id", "left_anti")
-    cuts = repeated_spans(first, documents, window).select("doc", "start", "n")
+    first = own.join(later, ["id", "part"], "left_anti")
+    cuts = repeated_spans(first, documents, window).select("doc", "part", "start", "n")
     return anchors.with_cuts(own, later, cuts).mapInArrow(_cutter(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 

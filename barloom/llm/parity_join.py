@@ -61,7 +61,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarra
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """id, n (size of the set) and a 128-bit sum over the set, which equal sets share."""
+    """id, part, n (size of the set) and a 128-bit sum over the set, which equal sets share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in chunked(batches):
@@ -73,9 +73,10 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(held + np.uint64(salt)))))
                 ends = np.cumsum(sizes)
                 sums.append((total[ends] - total[ends - sizes]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), *map(pa.array, sums)], names=["id", "n", "sum1", "sum2"])
+            columns = [batch.column("id"), batch.column("part"), pa.array(sizes), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "part", "n", "sum1", "sum2"])
 
-    return docs.mapInArrow(work, "id bigint, n bigint, sum1 bigint, sum2 bigint")
+    return docs.mapInArrow(work, "id bigint, part bigint, n bigint, sum1 bigint, sum2 bigint")
 
 
 # --- bands ----------------------------------------------------------------------------------------------
@@ -315,6 +316,18 @@ def link_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFra
     return components(links.unionByName(stage(verify(stage(pairs, "pairs"), sets, percent), "found")))
 
 
+def _by_id(nodes: DataFrame, apart: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, component) of ids, from components of nodes: nodes of one id belong together, and the smallest id names all."""
+    told = nodes.join(known.withColumnRenamed("id", "node"), "node", "left").select("id", "node", F.coalesce("component", "node").alias("label"))
+    told = stage(told.distinct(), "labelled")
+    odd = told.join(apart.select("id").distinct(), "id", "left_semi")
+    ties = odd.join(odd.groupBy("id").agg(F.min("label").alias("a")), "id").select("a", F.col("label").alias("b"))
+    merged = components(ties.distinct()).select(F.col("id").alias("label"), F.col("component").alias("merged"))
+    told = stage(told.join(merged, "label", "left").select("id", F.coalesce("merged", "label").alias("label")).distinct(), "merged")
+    least = told.groupBy("label").agg(F.min("id").alias("component"))
+    return stage(told.join(least, "label").select("id", "component").distinct(), "known")
+
+
 def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document; links are pairs with 100 * shared >= percent * all.
 
@@ -327,23 +340,34 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
     """
     own = own_columns(docs, id_col, text_col)
     sizes = stage(set_rows(own, width), "sets")
-    groups = sizes.filter("n > 0").groupBy("n", "sum1", "sum2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"))
+    # What is linked are nodes: an id with one set is its own node, every set of an id with several is one by itself.
+    whole = F.struct("n", "sum1", "sum2")
+    several = sizes.filter("n > 0").groupBy("id").agg(F.min(whole).alias("low"), F.max(whole).alias("high")).filter("low < high")
+    several = stage(several.select("id"), "several")
+    apart = sizes.filter("n > 0").join(several, "id").select("id", "part", F.xxhash64("id", "n", "sum1", "sum2").alias("node")).distinct()
+    apart = stage(apart, "apart")
+    nodes = sizes.filter("n > 0").join(apart, ["id", "part"], "left").withColumn("node", F.coalesce("node", "id"))
+    groups = nodes.groupBy("n", "sum1", "sum2").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("times"))
     groups = stage(groups, "reps")
-    later = sizes.join(groups.filter("times > 1"), ["n", "sum1", "sum2"]).filter("id > rep").select("id", "rep").distinct()
-    later = stage(later, "copies")
-    dull = stage(sizes.filter("n = 0").select("id").distinct(), "empty")
-    firsts = own.join(later.select("id").unionByName(dull), "id", "left_anti")
+    copied = nodes.join(groups.filter("times > 1"), ["n", "sum1", "sum2"]).filter("node > rep").select("id", "part", "node", "rep").distinct()
+    copied = stage(copied, "copies")
+    later = copied.select(F.col("node").alias("id"), "rep").distinct()
+    dull = stage(sizes.filter("n = 0").select("id", "part").distinct(), "empty")
+    firsts = own.join(copied.select("id", "part").unionByName(dull), ["id", "part"], "left_anti")
+    firsts = firsts.join(apart, ["id", "part"], "left").select(F.coalesce("node", "id").alias("id"), "text")
     # Two classes of about (100 - percent) / 100 bands per element each.
     elements = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()["all"]
     buckets = int(elements) * 2 * (100 - percent) // 100 // BUCKET + 8
     shared = stage(band_groups(firsts, width, percent, buckets), "groups")
     table = stage(set_table(firsts, stage(shared.select("id").distinct(), "ids"), width), "elements")
     labels = stage(link_components(shared, table, percent), "components")
-    # A copy belongs where its representative belongs; ids of repeated rows may be both.
+    # A copy belongs where its representative belongs.
     reps = later.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     known = stage(labels.unionByName(reps).groupBy("id").agg(F.min("component").alias("component")), "known")
+    if not apart.isEmpty():
+        known = _by_id(nodes, apart, known)
     placed = sizes.join(known, "id", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
+    component = F.coalesce("component", "id")
 
     def shown(column) -> Column:
         return F.when(column != NO_ID, column)

@@ -31,7 +31,7 @@ WINDOW, GRAM = 50, 12
 FOLD, SORT = 100_000, 60_000
 _BYTES = Rolling(81)
 
-ROWS = "lead bigint, key bigint, body binary, doc bigint, start int, n int, settled boolean"
+ROWS = "lead bigint, key bigint, body binary, doc bigint, part bigint, start int, n int, settled boolean"
 
 
 def _pieces(raw: np.ndarray, prefix: np.ndarray, offsets: np.ndarray, window: int) -> anchors.Pieces:
@@ -55,7 +55,7 @@ class _Folder:
     """Rows of a task: of equal ones the smallest document goes on, the others are settled."""
 
     def __init__(self) -> None:
-        self.columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(7)]
         self.bodies: list[bytes] = []
 
     def add(self, body: list[bytes], *columns: np.ndarray) -> None:
@@ -64,7 +64,7 @@ class _Folder:
             held.append(new)
 
     def flush(self) -> pa.RecordBatch:
-        lead, key, whole, doc, start, n = (np.concatenate(c) for c in self.columns)
+        lead, key, whole, doc, part, start, n = (np.concatenate(c) for c in self.columns)
         order = np.lexsort((doc, whole, key))
         same = np.zeros(len(order), bool)
         same[1:] = (key[order][1:] == key[order][:-1]) & (whole[order][1:] == whole[order][:-1])
@@ -80,6 +80,7 @@ class _Folder:
                 pa.array(key.view(np.int64)),
                 pa.array(bodies, pa.binary()),
                 pa.array(doc),
+                pa.array(part),
                 pa.array(start.astype(np.int32)),
                 pa.array(n.astype(np.int32)),
                 pa.array(settled),
@@ -106,9 +107,9 @@ def suffixes(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame
             end = start + n - 1 + window
             data = raw.tobytes()
             whole = mix(_BYTES.of(prefix, start, end) + ((owner - start) * 1024 + n).astype(np.uint64))
-            ids = np.asarray(batch.column("id"))
+            ids, texts = np.asarray(batch.column("id")), np.asarray(batch.column("part"))
             body = [data[a:b] for a, b in zip(start.tolist(), end.tolist())]
-            folder.add(body, _words_ahead(raw)[owner], found.key[keep], whole, ids[doc], start - offsets[doc], n)
+            folder.add(body, _words_ahead(raw)[owner], found.key[keep], whole, ids[doc], texts[doc], start - offsets[doc], n)
             if len(folder.bodies) >= FOLD:
                 yield folder.flush()
         if folder.bodies:
@@ -164,7 +165,7 @@ def repeated_windows(key: np.ndarray, bodies: list[bytes], doc: np.ndarray, n: n
     return row[hit], within[hit]
 
 
-SPANS = "doc bigint, start int, n int"
+SPANS = "doc bigint, part bigint, start int, n int"
 
 
 def _sorter(window: int):
@@ -182,7 +183,8 @@ def _sorter(window: int):
         rows = np.flatnonzero(shared)
         if len(rows) == 0:
             empty = pa.array([], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), empty, empty], names=["doc", "start", "n"])
+            none = pa.array([], pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, empty, empty], names=["doc", "part", "start", "n"])
         bodies = table["body"].take(pa.array(rows)).to_pylist()
         hit, within = repeated_windows(key[rows], bodies, doc[rows], n[rows], window)
         hit = rows[hit]
@@ -196,10 +198,11 @@ def _sorter(window: int):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(doc[hit[first]]),
+                pa.array(np.asarray(table["part"])[hit[first]]),
                 pa.array((start[hit[first]] + within[first]).astype(np.int32)),
                 pa.array(length.astype(np.int32)),
             ],
-            names=["doc", "start", "n"],
+            names=["doc", "part", "start", "n"],
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,12 +231,12 @@ def _sorter(window: int):
 
 
 def repeated_spans(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
-    """Runs (doc, start, n) of windows that also start in a smaller document; docs: (id, text) without copies."""
+    """Runs (doc, part, start, n) of windows that also start in a smaller document; docs: (id, text, part) without copies."""
     rows = stage(suffixes(docs, documents, window), "suffixes")
-    settled = rows.filter("settled").select("doc", "start", "n")
+    settled = rows.filter("settled").select("doc", "part", "start", "n")
     open_rows = rows.filter("not settled").drop("settled")
     sorted_rows = open_rows.repartitionByRange("lead").sortWithinPartitions("lead")
-    return settled.unionByName(sorted_rows.select("lead", "key", "body", "doc", "start", "n").mapInArrow(_sorter(window), SPANS))
+    return settled.unionByName(sorted_rows.select("lead", "key", "body", "doc", "part", "start", "n").mapInArrow(_sorter(window), SPANS))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -242,13 +245,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes if it lies in a window whose bytes also start in a document with a smaller id, judged on the input.
 
     * Null and empty texts have no bytes; texts shorter than `window` bytes lose none. Cuts may fall inside a character.
-    * Rows sharing an id are one document here: they take nothing from each other, and each loses what any of them
-      shares with a smaller id. A null id is smaller than any other and is returned as null.
+    * Rows sharing an id are one document here: they take nothing from each other, and each row loses what its own
+      text shares with a smaller id. A null id is smaller than any other and is returned as null.
     * Other columns are not read. An empty table gives an empty result.
     """
     own = anchors.own_columns(docs, id_col, text_col)
     later, documents = anchors.copies(own)
-    first = own.join(later, "id", "left_anti")
+    first = own.join(later, ["id", "part"], "left_anti")
     cuts = repeated_spans(first, documents, window)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     return anchors.with_cuts(own, later, cuts).mapInArrow(_cutter(window), schema)

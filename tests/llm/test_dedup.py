@@ -182,6 +182,21 @@ def test_one_passage_in_most_documents(make_docs):
         assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(a, c) for a, _, c, _, _ in want]
 
 
+def test_one_id_with_several_texts(make_docs):
+    """Rows sharing an id keep their own texts, cuts and links."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(90)) for x in "abcd")
+    near = b + " more"
+    rows = [(1, a), (2, a), (2, b), (3, near), (4, f"{c} {b}"), (4, d), (5, f"x {d}"), (6, "  "), (6, c), (7, c), (0, d)]
+    for op, split, join, n in ((debruijn_dedup, words, b" ".join, "words"), (suffix_dedup, lambda t: list(t.encode()), bytes, "bytes")):
+        got = collect(op.remove_repeats(make_docs(rows)))
+        want = passages_brute(rows, split, join, 50)
+        kept = [r["kept"] if isinstance(r["kept"], (bytes, bytearray)) else r["kept"].encode() for r in got]
+        assert sorted((r["doc_id"], r[f"n_{n}"], r["n_removed"], bytes(k)) for r, k in zip(got, kept)) == [(x, y, z, k) for x, y, z, _, k in want]
+    got = collect(parity_join.similarity_components(make_docs(rows), 3, 80))
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == jaccard_brute(rows, 3, 80)
+    assert len(got) == len(rows)
+
+
 def test_multikey_sort():
     rng = np.random.default_rng(0)
     columns = [rng.integers(0, 3, 500).astype(np.uint64) for _ in range(6)]
