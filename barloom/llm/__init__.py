@@ -15,6 +15,7 @@ MODULES = (
     "parity_join",
     "debruijn_dedup",
     "suffix_dedup",
+    "embedding_whitening",
     "balanced_shards",
 )
 
