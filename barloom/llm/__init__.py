@@ -15,6 +15,7 @@ MODULES = (
     "parity_join",
     "debruijn_dedup",
     "suffix_dedup",
+    "token_alignment",
     "embedding_whitening",
     "balanced_shards",
 )

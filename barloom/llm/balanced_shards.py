@@ -101,12 +101,11 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str =
     """
     held = stage(docs.drop("shard").withColumns(_keys(id_col, text_col)), "shard-texts")
     cuts = _place(held.select(ID, TIE, ROW, SIZE, CRC), shards).filter("slot = 0").select("shard", ID, TIE, ROW).collect()
-    key = F.struct(F.coalesce(F.col(ID).cast("decimal(20,0)"), F.lit(-(2**63) - 1).cast("decimal(20,0)")), F.col(TIE), F.col(ROW))
+    key = F.struct(F.col(ID).isNotNull(), F.coalesce(F.col(ID), F.lit(0).cast("bigint")), F.col(TIE), F.col(ROW))
     shard = F.lit(0)
-    for cut in sorted(cuts):
-        first = -(2**63) - 1 if cut[ID] is None else cut[ID]
-        at = F.struct(F.lit(first).cast("decimal(20,0)"), F.lit(cut[TIE]).cast("bigint"), F.lit(cut[ROW]).cast("bigint"))
-        shard = F.when(key >= at, F.lit(cut["shard"])).otherwise(shard)
+    for cut in sorted(cuts, key=lambda c: c["shard"]):
+        first = [F.lit(v).cast("bigint") for v in (cut[ID] or 0, cut[TIE], cut[ROW])]
+        shard = F.when(key >= F.struct(F.lit(cut[ID] is not None), *first), F.lit(cut["shard"])).otherwise(shard)
     held.withColumn("shard", shard).drop(ID, TIE, ROW, SIZE, CRC).write.partitionBy("shard").parquet(path)
 
 
