@@ -41,7 +41,9 @@ RADIX, FAN, SEGMENT = 64, 64, 1 << 14
 #: Records and documents of a run, at most about (a document is never cut).
 RUN_RECORDS, RUN_DOCS = 2_000_000, 100_000
 #: Characters of a slice of a long text; parts and bytes of the memo before it starts anew.
-SLICE, MEMO_PARTS, MEMO_BYTES = 1 << 19, 150_000, 1 << 25
+SLICE, MEMO_PARTS, MEMO_BYTES = 1 << 19, 200_000, 1 << 25
+#: New parts spelled as one text.
+TOGETHER = 4096
 #: Links of a group that are counted by distinct ids from here on.
 WIDE = 1 << 16
 _BITS = np.uint64(28)
@@ -95,7 +97,7 @@ class Sides:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
-        self.a_names, self.b_names = list(map(str, range(size))), list(map(str, range(len(pieces))))
+        self.names = [f"{i}{tail}" for i in range(size) for tail in ",|"] + [f"{i}{tail}" for i in range(len(pieces)) for tail in ",;\n"]
         self.a_sizes = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_sizes = np.array(list(map(len, self.b_bytes)), np.int64)
         # Where no piece of B goes on across a space, texts may be cut in front of single spaces: A's pattern cuts there too.
@@ -157,52 +159,73 @@ class Memo:
         return np.array(found, np.int64)
 
     def _add(self, parts: list[str]) -> None:
+        """Take up new parts. Those without blanks at their ends are spelled together, as one text of them."""
+        plain, odd = [], []
+        for p in parts:
+            (odd if p[0].isspace() or p[-1].isspace() else plain).append(p)
+        if not self.sides.cuts:
+            plain, odd = [], parts
+        for first in range(0, len(plain), TOGETHER):
+            some = plain[first : first + TOGETHER]
+            if not self._spelled(some, self._ids(" ".join(some))):
+                odd += some
+        for p in odd:
+            if not self._spelled([p], self._ids(p)):
+                self._take([p], False, np.zeros((1, 4), np.int64), [b""], np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def _ids(self, text: str) -> tuple[list[int], list[int]]:
         s = self.sides
-        wanted = [b" " + p.encode() for p in parts]
-        a_ids = [e.ids for e in s.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b_ids = s.b.encode(parts, num_threads=1)
-        fits = np.array(
-            [
-                b"".join(map(s.a_bytes.__getitem__, a)) == w == b"".join(map(s.b_bytes.__getitem__, b))
-                for a, b, w in zip(a_ids, b_ids, wanted)
-            ],
-            bool,
-        )
-        kept = np.flatnonzero(fits)
-        a = np.array([i for k in kept for i in a_ids[k]], np.int64)
-        b = np.array([i for k in kept for i in b_ids[k]], np.int64)
+        return s.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, s.b.encode(text, num_threads=1)
+
+    def _spelled(self, parts: list[str], ids: tuple[list[int], list[int]]) -> bool:
+        """Take up parts that both sides spell byte for byte; else tell that they don't."""
+        s = self.sides
+        wanted = " " + " ".join(parts)
+        whole = wanted.encode()
+        if not all(b"".join(map(table.__getitem__, side)) == whole for table, side in zip((s.a_bytes, s.b_bytes), ids)):
+            return False
+        a, b = (np.array(side, np.int64) for side in ids)
         a_ends, b_ends = np.cumsum(s.a_sizes[a]), np.cumsum(s.b_sizes[b])
-        ends = np.intersect1d(a_ends, b_ends)
-        part_ends = np.cumsum([len(wanted[k]) for k in kept], dtype=np.int64)
-        owner = kept[np.searchsorted(part_ends, ends)]
+        ends = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
+        ascii_only = len(whole) == len(wanted)
+        part_ends = np.cumsum([len(p) + 1 if ascii_only else len(p.encode()) + 1 for p in parts])
+        owner = np.searchsorted(part_ends, ends)
         a_of, b_of = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
         groups = len(ends)
         n_a, n_b = np.bincount(a_of, minlength=groups), np.bincount(b_of, minlength=groups)
         a_at, b_at = np.concatenate(([0], np.cumsum(n_a))), np.concatenate(([0], np.cumsum(n_b)))
-        numbers = np.zeros((len(parts), 4), np.int64)
-        for column, values in enumerate((n_a, n_b, np.ones(groups, np.int64), n_a * n_b)):
-            np.add.at(numbers[:, column], owner, values)
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+        numbers = np.add.reduceat(np.stack((n_a, n_b, np.ones(groups, np.int64), n_a * n_b), axis=1), first)
         key, link_owner, times = _links(a, b, a_at, b_at, owner)
         order = np.lexsort((key, link_owner))
         key, link_owner, times = _fold(times[order], key[order], link_owner[order])
+        # Every id with what follows it: "," inside a side of a group, "|" between sides, ";" and a line feed behind.
+        line = np.empty(len(a) + len(b), np.int64)
+        start = a_at[:-1] + b_at[:-1]
+        a_last = np.isin(np.arange(len(a)), a_at[1:] - 1)
+        closes = np.ones(groups, np.int64)
+        closes[np.concatenate((first[1:], [groups])) - 1] = 2
+        b_tail = np.where(np.isin(np.arange(len(b)), b_at[1:] - 1), closes[b_of], 0)
+        line[start[a_of] + np.arange(len(a)) - a_at[a_of]] = a * 2 + a_last
+        line[start[b_of] + n_a[b_of] + np.arange(len(b)) - b_at[b_of]] = 2 * len(s.a_bytes) + b * 3 + b_tail
+        texts = "".join(map(s.names.__getitem__, line.tolist()))[:-1].encode().split(b"\n")
+        self._take(parts, True, numbers, texts, np.bincount(link_owner, minlength=len(parts)), key, times)
+        return True
+
+    def _take(self, parts: list[str], fits: bool, numbers: np.ndarray, texts: list[bytes], links: np.ndarray, key: np.ndarray, times: np.ndarray) -> None:
         distinct, which = np.unique(key, return_inverse=True)
         known = [self.pair_at.setdefault(k, len(self.pair_at)) for k in distinct.tolist()]
         keys = np.zeros(len(self.pair_at), np.uint64)
         keys[: len(self.keys)] = self.keys
         keys[known] = distinct
         self.keys = keys
-        names_a, names_b = list(map(s.a_names.__getitem__, a.tolist())), list(map(s.b_names.__getitem__, b.tolist()))
-        written: list[list[str]] = [[] for _ in parts]
-        for k, a0, a1, b0, b1 in zip(owner.tolist(), a_at.tolist(), a_at[1:].tolist(), b_at.tolist(), b_at[1:].tolist()):
-            written[k].append(",".join(names_a[a0:a1]) + "|" + ",".join(names_b[b0:b1]))
-        fresh = [";".join(w).encode() for w in written]
-        first = len(self.at)
-        self.at.update((p, first + i) for i, p in enumerate(parts))
-        self.texts += fresh
-        self.bytes += sum(map(len, fresh)) + sum(map(len, wanted)) + 16 * len(key)
-        self.fits = np.concatenate((self.fits, fits))
+        at = len(self.at)
+        self.at.update(zip(parts, range(at, at + len(parts))))
+        self.texts += texts
+        self.bytes += sum(map(len, texts)) + sum(map(len, parts)) + 16 * len(key)
+        self.fits = np.concatenate((self.fits, np.full(len(parts), fits)))
         self.numbers = np.concatenate((self.numbers, numbers))
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.bincount(link_owner, minlength=len(parts)))))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(links)))
         self.pairs = np.concatenate((self.pairs, np.array(known, np.int64)[which]))
         self.times = np.concatenate((self.times, times))
 
