@@ -57,12 +57,11 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
     long = rows.filter(F.col("bytes") >= LEAST_REVISIT)
     repeated = long.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = (
-        long.select("id", "digest").join(stage(repeated, "repeated"), "digest").filter("id > first").select("id", "first").distinct()
-    )
-    # Only pages that revisit another are in this table; its size on disk tells the planner how to join.
-    later = stage(later, "revisits")
-    return rows.join(later, "id", "left")
+    later = long.select("id", "digest").join(stage(repeated, "repeated"), "digest").filter("id > first").select("id", "digest", "first")
+    # Only pages that revisit another are in this table; its size on disk tells the planner how to join. A page is
+    # known by id and digest, since rows of one id may hold different payloads.
+    later = stage(later.distinct(), "revisits")
+    return rows.join(later, ["id", "digest"], "left")
 
 
 def write_archives(records: DataFrame, path: str, id_to_urn=_urn) -> None:
