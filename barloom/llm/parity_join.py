@@ -120,7 +120,12 @@ def band_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
         inside = here[members]
         who, at = members[inside], place[inside]
         band = ((at >> np.uint64(32)) * bands[who].astype(np.uint64)) >> np.uint64(32)
-        bit = np.sort((who.astype(np.uint64) << np.uint64(44)) | (band << np.uint64(BAND_BITS)) | (at & np.uint64((1 << BAND_BITS) - 1)))
+        # Set, band and bit in one number: a set of very many bands is a run of its own, so the three always fit.
+        low = int(bands[here].max()).bit_length()
+        if len(sets).bit_length() + low + BAND_BITS > 64:
+            raise ValueError(f"{len(sets)} sets of up to {1 << low} bands in one run of texts")
+        wide = np.uint64(low)
+        bit = np.sort((who.astype(np.uint64) << (wide + np.uint64(BAND_BITS))) | (band << np.uint64(BAND_BITS)) | (at & np.uint64((1 << BAND_BITS) - 1)))
         # A bit toggled an even number of times is off.
         edge = np.flatnonzero(np.concatenate(([True], bit[1:] != bit[:-1])))
         odd = np.diff(np.concatenate((edge, [len(bit)]))) % 2 == 1
@@ -128,8 +133,8 @@ def band_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
         slot = bit >> np.uint64(BAND_BITS)
         first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1]))) if len(slot) else np.zeros(0, np.int64)
         content = np.add.reduceat(mix(bit & np.uint64((1 << BAND_BITS) - 1)), first) if len(first) else np.zeros(0, np.uint64)
-        who = (slot[first] >> np.uint64(20)).astype(np.int64)
-        band = slot[first] & np.uint64((1 << 20) - 1)
+        who = (slot[first] >> wide).astype(np.int64)
+        band = slot[first] & ((np.uint64(1) << wide) - np.uint64(1))
         tag = group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         keys.append(mix(content + mix(tag[who] + band + np.uint64(1))))
         owners.append(who)
