@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -171,6 +172,14 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, rolling: Ro
     return mix(rolling.of(prefix, start, end) + (end - start).astype(np.uint64))
 
 
+_OTHER_BLANK = re.compile(r"[^\S \n]")
+
+
+def single_blanks(text: str) -> bool:
+    """Whether the white space of a text is single spaces and line feeds between other characters, and nothing else."""
+    return len(text.split()) == text.count(" ") + text.count("\n") + 1 and not _OTHER_BLANK.search(text)
+
+
 def text_column(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator reads, under its own names: `id`, `text` (null text: empty)."""
     return df.select(

@@ -32,9 +32,9 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from barloom.llm.common import load, query, shared_folder, stage, text_column
+from barloom.llm.common import load, query, shared_folder, single_blanks, stage, text_column
 
-#: Ids in a block, ids between checkpoints, longest code in bits.
+#: Ids in a block, ids between checkpoints, longest code in bits (for up to 262 144 distinct ids; more are an error).
 BLOCK, STEP, LIMIT = 1 << 16, 64, 18
 MAGIC = b"BLID1\n"
 
@@ -375,24 +375,39 @@ MEMO = 1_000_000
 TOGETHER = 256
 
 
+#: The split of which the shortcut of `_encode` is known to hold: fixed values of the file format.
+_PLAIN_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def _cuts_at_spaces(tokenizer) -> bool:
+    """Whether texts may be cut in front of single spaces: byte-level splitting, no normalizer, no added token with a blank."""
+    parts = json.loads(tokenizer.to_str())
+    split = parts["pre_tokenizer"] or {}
+    plain = parts["normalizer"] is None and all(split.get(k) == v for k, v in _PLAIN_SPLIT.items())
+    added = parts["added_tokens"]
+    return plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or len(t["content"].split()) != 1 for t in added)
+
+
 def _tokenizer(path: str) -> tuple:
-    """The tokenizer, which of its tokens begin with a space, and the memo of parts: kept by the worker process."""
+    """The tokenizer, which of its tokens begin with a space, and the memo of parts (None where texts can't be cut).
+
+    Kept by the worker process. The tokenizer is called as its file has it: strings of special tokens are those tokens.
+    """
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         size = max(tokenizer.get_vocab().values()) + 1
         spaced = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        _TOKENIZERS[path] = (tokenizer, spaced, {})
+        _TOKENIZERS[path] = (tokenizer, spaced, {} if _cuts_at_spaces(tokenizer) else None)
     return _TOKENIZERS[path]
 
 
-def _encode(tokenizer, spaced: np.ndarray, memo: dict[str, bytes], texts: list[str], kind: str) -> list[bytes]:
+def _encode(tokenizer, spaced: np.ndarray, memo: dict[str, bytes] | None, texts: list[str], kind: str) -> list[bytes]:
     """Ids of texts, as bytes of numpy type `kind`.
 
-    Texts with only single spaces and line feeds are cut in front of each space, where this tokenizer's split pattern
-    always cuts, and each part is encoded once. New parts are encoded many at a time, one space before each: a part
+    Texts with only single spaces and line feeds are cut in front of each space, where the split pattern of such a
+    tokenizer always cuts, and each part is encoded once. New parts are encoded many at a time, one space before each: a part
     begins wherever a token begins with a space.
     """
 
@@ -403,7 +418,7 @@ def _encode(tokenizer, spaced: np.ndarray, memo: dict[str, bytes], texts: list[s
     new: dict[str, None] = {}
     whole: list[str] = []
     for text in texts:
-        if text and len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        if memo is not None and text and single_blanks(text):
             first, *parts = text.split(" ")
             found = list(map(memo.get, parts))
             new.update((p, None) for p, ids in zip(parts, found) if ids is None)
@@ -424,7 +439,7 @@ def _encode(tokenizer, spaced: np.ndarray, memo: dict[str, bytes], texts: list[s
         packed, size = ids.tobytes(), ids.itemsize
         bounds = [*(starts * size).tolist(), len(packed)]
         fresh.update((p, packed[a:b]) for p, a, b in zip(group, bounds, bounds[1:]))
-    if len(memo) + len(fresh) <= MEMO:
+    if memo is not None and len(memo) + len(fresh) <= MEMO:
         memo.update(fresh)
     return [
         front if plan is None else front + b"".join([ids or fresh[p] for p, ids in zip(*plan)]) for front, plan in zip(fronts, plans)

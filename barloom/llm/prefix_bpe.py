@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import load, query, text_column
+from barloom.llm.common import load, query, single_blanks, text_column
 
 #: Entries a memo may hold; later strings are then worked out each time. Frequent ones come early.
 MEMO = 250_000
@@ -202,12 +202,17 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     return vocabulary.split(piece, known)
 
 
+#: The pattern for which texts may be cut in front of single spaces: a fixed value.
+CUTTING = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
     """Whole texts: split by the pattern, every match encoded separately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
+        self.cuts = pattern == CUTTING
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, list[int]] = {}
         self.decimal = {token: str(token) for token in self.vocabulary.bytes_of}
@@ -239,12 +244,12 @@ class Encoder:
     def encode_parts(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit numbers.
 
-        No match of the pattern runs across the front of a single space, so a text whose white space is single spaces
-        and line feeds can be cut there and each part looked up. Other texts are split by the pattern as a whole.
+        No match of CUTTING runs across the front of a single space, so with that pattern a text whose white space is
+        single spaces and line feeds can be cut there and each part looked up. Other texts are split as a whole.
         """
         if not text:
             return b""
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        if not self.cuts or not single_blanks(text):
             return self._packed(text)
         parts = self.parts
         first, *rest = text.split(" ")
