@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import load, query
+from barloom.llm.common import load, query, stage
 
 #: Template marks and the writing of reserved characters: fixed values of the format.
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
@@ -136,22 +136,29 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+def replies(wanted: DataFrame, turns: DataFrame) -> DataFrame:
+    """The trainable text of every example, as the template writes it: conv_id, target, reply.
+
+    A span lies inside the segment of its target; cutting there spares counting code points from the front. The join
+    is by conversation and place, so a conversation with very many turns is not one task.
+    """
+    segments = turns.select(F.col("conv_id").alias("t_conv"), "seq", "segment", "start")
+    joined = wanted.join(segments, F.col("conv_id").eqNullSafe(F.col("t_conv")) & (F.col("target") == F.col("seq")))
+    first, size = F.col("loss_start") - F.col("start") + 1, F.col("loss_end") - F.col("loss_start")
+    return joined.select("conv_id", "target", F.substring("segment", first.cast("int"), size.cast("int")).alias("reply"))
+
+
 def read_back(turns: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted text and the loss spans: counts and digests of what was written."""
-    entry = F.struct("seq", "segment", "start", "loss_start", "loss_end")
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("parts"))
-    formatted = F.array_join(F.transform("parts", lambda p: p["segment"]), "")
-    # A span lies inside the segment of its turn; cutting there spares counting code points from the front.
-    trained = F.transform(
-        F.filter("parts", lambda p: p["loss_start"].isNotNull()),
-        lambda p: unescape(F.substring(p["segment"], (p["loss_start"] - p["start"] + 1).cast("int"), (p["loss_end"] - p["loss_start"]).cast("int"))),
-    )
-    told = whole.select(
-        "conv_id",
-        read_turns(formatted).alias("said"),
-        F.array_join(trained, "").alias("loss"),
-        F.char_length(formatted).cast("bigint").alias("formatted_chars"),
-    )
+    """Per conversation, from the formatted text and the examples' loss spans: counts and digests of what was written.
+
+    The loss columns are the replies of the conversation's examples, in order; without examples they are empty.
+    """
+    turns = stage(turns, "turns")
+    told = conversation_text(turns).select("conv_id", read_turns(F.col("formatted")).alias("said"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+    parts = F.sort_array(F.collect_list(F.struct("target", "reply")))
+    trained = replies(examples(turns), turns).groupBy(F.col("conv_id").alias("r_conv"))
+    trained = trained.agg(F.array_join(F.transform(parts, lambda p: unescape(p["reply"])), "").alias("loss"))
+    told = told.join(trained, F.col("conv_id").eqNullSafe(F.col("r_conv")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
     lines = F.array_join(F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return told.select(
         "conv_id",
