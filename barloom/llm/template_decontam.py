@@ -5,8 +5,11 @@ Only column expressions and joins are used.
 1. Texts become tokens (runs of letters and digits). Numbers, units behind a number and capitalised words become typed
    placeholders; any capital may be a name, at the start of a sentence too. In a second wording of every text, words
    are folded to one case and none is a name, so a copy that only changes letter case is met there.
-2. Windows of WINDOW tokens are hashed; windows of documents meet the benchmark's windows in a hash join. Windows of an
-   item with fewer than LITERALS ordinary words are left out, since they say too little.
+2. Windows of WINDOW tokens are hashed; windows of documents meet the benchmark's windows in a hash join. An item of
+   fewer tokens is one window of its own length. Windows of an item with fewer than LITERALS ordinary words are left
+   out, since they say too little; an item that keeps none in either wording, being short or full of numbers, is looked
+   for in a third wording: folded words and literal numbers, without placeholders. Documents are read in that wording,
+   and in windows of less than WINDOW tokens, only if the benchmark has such items.
 3. A document that holds at least COVER of an item's windows is a candidate. Every alignment of a candidate with the
    item has its slots compared: wherever the item has one value, the document must have one value too. Slots that change
    consistently are a re-parameterised question; slots that don't are another text of the same form. The alignments that
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import load, query, rows_of, stage
 
 WINDOW, LITERALS, COVER = 8, 5, 0.5
+#: Fewest tokens of an item that is looked for.
+SHORTEST = 4
 #: Least share of an item's slot values that map to one value in the document.
 CONSISTENT = 0.8
 BROADCAST_ROWS = 1_000_000
@@ -76,13 +81,19 @@ def folded(toks: Column) -> Column:
     return _let(low, lambda words: F.transform(words, lambda w, at: one(words, w, at)))
 
 
-#: Hashes of the folded wording are told from those of the other by these bits.
-FOLD_BITS = 0x5851F42D4C957F2D
+def literal(toks: Column) -> Column:
+    """Every token without letter case, numbers as they stand."""
+    return F.transform(toks, lambda t: F.lower(F.upper(t)))
 
 
-def wordings(toks: Column) -> Column:
-    """Both wordings of a text, the folded one second."""
-    return _let(toks, lambda t: F.array(canonical(t), folded(t)))
+#: The wordings by number (`fold`): typed, folded, literal.
+WORDINGS = (canonical, folded, literal)
+#: What tells hashes of one wording and width from those of another.
+FOLD_BITS, WIDTH_BITS = 0x5851F42D4C957F2D, 0x14057B7EF767814F
+
+
+def _mark(fold: int, width: int) -> int:
+    return (fold * FOLD_BITS + (WINDOW - width) * WIDTH_BITS) % (1 << 63)
 
 
 def _let(value: Column, body) -> Column:
@@ -90,40 +101,60 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _marked(hash: Column, fold: Column) -> Column:
-    return F.when(fold == 1, hash.bitwiseXOR(F.lit(FOLD_BITS))).otherwise(hash)
-
+def window_hashes(canon: Column, width: int = WINDOW) -> Column:
+    """Hashes of all windows of `width` (SHORTEST to WINDOW) tokens, in order, from hashes of 1, 2 and 4 tokens."""
 
-def window_hashes(canon: Column) -> Column:
-    """Hashes of all windows of WINDOW tokens, in order, from hashes of 1, 2, 4 and 8 tokens."""
+    def joined(hashes: Column, more: Column, ahead: int) -> Column:
+        later = F.slice(more, ahead + 1, F.greatest(F.size(more), F.lit(1)))
+        return F.zip_with(hashes, later, lambda a, b: F.xxhash64(a, b))
 
-    def doubled(width: int, then):
-        def pairs(hashes: Column) -> Column:
-            later = F.slice(hashes, width + 1, F.greatest(F.size(hashes), F.lit(1)))
-            return _let(F.zip_with(hashes, later, lambda a, b: F.xxhash64(a, b)), then)
-
-        return pairs
+    def wide(one: Column, two: Column, four: Column) -> Column:
+        if width == WINDOW:
+            return joined(four, four, 4)
+        rest = {4: lambda: four, 5: lambda: joined(four, one, 4), 6: lambda: joined(four, two, 4)}
+        return rest[width]() if width in rest else joined(joined(four, two, 4), one, 6)
 
     def whole(hashes: Column) -> Column:
-        return F.slice(hashes, 1, F.greatest(F.size(hashes) - (WINDOW - 1), F.lit(0)))
+        return F.slice(hashes, 1, F.greatest(F.size(hashes) - (width - 1), F.lit(0)))
 
-    return _let(F.transform(canon, lambda t: F.xxhash64(t)), doubled(1, doubled(2, doubled(4, whole))))
+    return _let(
+        F.transform(canon, lambda t: F.xxhash64(t)),
+        lambda one: _let(joined(one, one, 1), lambda two: _let(joined(two, two, 2), lambda four: _let(wide(one, two, four), whole))),
+    )
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(hash, item_id, fold, at, total) of every window worth looking for; equal items are one, under their smallest id.
+    """(hash, item_id, fold, width, at, total) of every window worth looking for; equal items are one, under their smallest id.
 
-    fold: 1 for windows of the folded wording, of which an item has a total of its own.
+    fold: the wording, of which an item has a total of its own. Items without a window in the first two have the third.
     """
     items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), tokens(F.col(text_col)).alias("toks"))
-    items = items.groupBy("toks").agg(F.min("item_id").alias("item_id"))
-    items = items.select("item_id", F.posexplode(wordings(F.col("toks"))).alias("fold", "canon"))
-    rows = items.select("item_id", "fold", "canon", F.posexplode(window_hashes(F.col("canon"))).alias("at", "hash"))
-    literal = F.size(F.filter(F.slice(F.col("canon"), F.col("at") + 1, WINDOW), lambda t: ~t.startswith("#")))
-    rows = rows.filter(literal >= LITERALS).select(_marked(F.col("hash"), F.col("fold")).alias("hash"), "item_id", "fold", "at")
-    totals = rows.groupBy(F.col("item_id").alias("t_item"), F.col("fold").alias("t_fold")).agg(F.count(F.lit(1)).alias("total"))
-    same = F.col("item_id").eqNullSafe(F.col("t_item")) & (F.col("fold") == F.col("t_fold"))
-    return rows.join(totals, same).drop("t_item", "t_fold")
+    items = items.groupBy("toks").agg(F.min("item_id").alias("item_id")).withColumn("width", F.least(F.size("toks"), F.lit(WINDOW)))
+    items = items.filter(F.col("width") >= SHORTEST).withColumn("item", F.xxhash64("toks"))
+    spelled = _let(F.col("toks"), lambda t: F.array(*[w(t) for w in WORDINGS]))
+    items = items.select("item_id", "item", "width", F.posexplode(spelled).alias("fold", "canon"))
+    hashes = F.when(F.col("width") == WINDOW, window_hashes(F.col("canon")))
+    for width in range(SHORTEST, WINDOW):
+        hashes = hashes.when(F.col("width") == width, window_hashes(F.col("canon"), width))
+    rows = items.select("item_id", "item", "width", "fold", "canon", F.posexplode(hashes).alias("at", "hash"))
+    words = F.size(F.filter(F.slice(F.col("canon"), F.col("at") + 1, F.col("width")), lambda t: ~t.startswith("#")))
+    rows = rows.withColumn("words", words).drop("canon")
+    said = rows.filter((F.col("fold") < 2) & (F.col("words") >= LITERALS))
+    rows = said.unionByName(rows.filter("fold = 2").join(said.select("item").distinct(), "item", "left_anti").select(said.columns))
+    mark = F.coalesce(*[F.when((F.col("fold") == f) & (F.col("width") == w), F.lit(_mark(f, w))) for f in range(3) for w in range(SHORTEST, WINDOW + 1)])
+    rows = rows.select(F.col("hash").bitwiseXOR(mark).alias("hash"), "item_id", "item", "fold", "width", "at")
+    totals = rows.groupBy("item", "fold").agg(F.count(F.lit(1)).alias("total"))
+    return rows.join(totals, ["item", "fold"]).select("hash", "item_id", "fold", "width", "at", "total")
+
+
+def text_hashes(text: Column, streams: list[tuple[int, int]]) -> Column:
+    """Per (wording, width) in `streams` the hashes of a text's windows."""
+
+    def read(spelled: Column) -> Column:
+        return F.array(*[window_hashes(F.get(spelled, fold), width) for fold, width in streams])
+
+    used = 1 + max(fold for fold, _ in streams)
+    return _let(tokens(text), lambda toks: _let(F.array(*[w(toks) for w in WORDINGS[:used]]), read))
 
 
 def _bounded(table: DataFrame) -> DataFrame:
@@ -135,19 +166,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     coverage is the share of the item's windows met where slots are consistent; shift is the alignment that meets most.
 
-    * Null texts and texts or items of fewer than WINDOW tokens match nothing.
+    * Null texts, and texts and items of fewer than SHORTEST tokens, match nothing; no text of so few words is called a
+      leak. An item of fewer than WINDOW tokens is met where it stands whole.
     * Equal items are reported under the smallest of their ids; a null item id is smaller than none.
     * Rows sharing a doc_id are judged together; a null doc_id is reported as null.
     * Other columns are not read, in either table. Empty tables give an empty result.
     """
     sought = stage(item_windows(benchmark), "item-windows")
+    # At most three wordings of five widths.
+    streams = sorted((r["fold"], r["width"]) for r in sought.select("fold", "width").distinct().collect()) or [(0, WINDOW)]
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # `part` tells rows that share a doc_id apart.
     texts = texts.withColumn("part", F.xxhash64("text"))
-    both = F.transform(wordings(tokens(F.col("text"))), window_hashes)
-    read = texts.select("doc_id", "part", F.posexplode(both).alias("wording", "hashes"))
-    read = read.select("doc_id", "part", "wording", F.posexplode("hashes").alias("place", "hash"))
-    read = read.select("doc_id", "part", "place", _marked(F.col("hash"), F.col("wording")).alias("hash"))
+    read = texts.select("doc_id", "part", F.posexplode(text_hashes(F.col("text"), streams)).alias("stream", "hashes"))
+    read = read.select("doc_id", "part", "stream", F.posexplode("hashes").alias("place", "hash"))
+    mark = F.coalesce(*[F.when(F.col("stream") == i, F.lit(_mark(*which))) for i, which in enumerate(streams)])
+    read = read.select("doc_id", "part", "place", F.col("hash").bitwiseXOR(mark).alias("hash"))
     hits = read.join(_bounded(sought), "hash")
     # A window of the item counts once, however often the document repeats it. Places are bits of words of 64, so that
     # partial sums shrink a passage met in very many documents to a few rows per document and item.
@@ -213,7 +247,7 @@ def _consistent(aligned: DataFrame, texts: DataFrame, benchmark: DataFrame) -> D
         return F.filter("spans", lambda span: _let(slots(item, doc, item_kind, doc_kind, span), fits))
 
     def kinds(toks: Column) -> Column:
-        return F.when(F.col("fold") == 1, folded(toks)).otherwise(canonical(toks))
+        return F.when(F.col("fold") == 0, canonical(toks)).when(F.col("fold") == 1, folded(toks)).otherwise(literal(toks))
 
     kept = _let(
         F.col("item"),
