@@ -3,10 +3,13 @@
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import tiktoken
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from barloom.llm import chat_examples, huffman_ids, line_crf, prefix_bpe, template_decontam, warc
@@ -100,6 +103,12 @@ def test_archives(spark):
         (None, "u", "no id\r\n\r\n" * 40),
         (12, "u", "y" * 3_000_000),
         (13, "u", "\r\n\r\n"),
+        (20, "u", long),
+        (20, "u", "only here " * 40),
+        (20, "u", "tiny"),
+        (21, "u", "only here " * 40),
+        (21, "u", long),
+        (21, "u", long),
     ]
     frame = spark.createDataFrame([(*p, "d", 1) for p in pages], "page_id long, url string, html string, digest string, first long")
     got = collect(warc.round_trip(frame.repartition(3)))
@@ -110,7 +119,7 @@ def test_archives(spark):
         later = i is not None and len(data) >= 100 and i > min(same)
         want.append((str(i), len(data), hashlib.sha256(data).hexdigest(), "revisit" if later else "response", min(same) if later else None))
     names = ("payload_bytes", "payload_digest", "record_type", "refers_to")
-    assert sorted((str(r["page_id"]), *(r[n] for n in names)) for r in got) == sorted(want, key=lambda r: (r[0], r[1]))
+    assert sorted((str(r["page_id"]), *(r[n] for n in names)) for r in got) == sorted(want, key=lambda r: r[:4])
 
 
 def test_no_pages(spark):
@@ -258,8 +267,9 @@ def test_ids_round_trip(spark, make_docs, odd_rows):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    rows = [*odd_rows, *((5000 + i, t) for i, t in enumerate(noise(4, 300)))]
+    special = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>\ny  z", "one <|endoftext|>two three"]
+    blanks = ["a\tb\td   c", "a b\u00a0c  d", "\x1ca b\x85  c"]
+    rows = [*odd_rows, *((9000 + i, t) for i, t in enumerate(special + blanks)), *((5000 + i, t) for i, t in enumerate(noise(4, 300)))]
     got = collect(huffman_ids.round_trip(make_docs(rows), path))
     ids = [(i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
     at, want = 0, []
@@ -436,3 +446,75 @@ def test_windows_equal_brute_force(spark, make_docs, odd_rows):
     want = {(i, k) for k, item in items for i, t in rows if len(item.split()) >= 20 and item in (t or "")}
     assert want <= got
     assert all(len(set(dict(items)[k].split()) & set((text[i] or "").split())) > 4 for i, k in got)
+
+
+SHORT_ITEMS = [
+    (1, "What is the capital of France?"),
+    (2, "Compute 12 * 7 + 5 and then 3 * 9 - 4"),
+    (3, "List the primes 2 3 5 7 11 13 17 19 23 29"),
+    (4, "too short to tell it"),
+    (5, "three words only"),
+    (6, "who wrote this old book"),
+    (7, ITEM),
+]
+
+
+def plain_leaks(docs, items):
+    """(doc, item) of items standing in documents word by word, whatever their letter case."""
+
+    def words(text):
+        joined = re.sub(r"(?<=[0-9])[.,:](?=[0-9])", "", text or "")
+        return [w.upper().lower() for w in re.split(r"[\W_]+", joined) if w]
+
+    found = set()
+    for i, t in enumerate(docs):
+        held = words(t)
+        for k, item in items:
+            sought = words(item)
+            if len(sought) >= template_decontam.SHORTEST and any(held[j : j + len(sought)] == sought for j in range(len(held))):
+                found.add((i, k))
+    return found
+
+
+def test_short_and_numeric_items(spark, make_docs):
+    texts = [f"{FILL} {t} {FILL}" for _, t in SHORT_ITEMS] + [t.upper() for _, t in SHORT_ITEMS] + [f"x {t}" for _, t in SHORT_ITEMS]
+    texts += [
+        FILL, None, "the capital of France", "Compute 12 * 7 + 6 and then 3 * 9 - 4", "List the primes 2 3 5 7", "who wrote this new book",
+        "too short to tell", " ".join(t for _, t in SHORT_ITEMS) * 3,
+    ]
+    got = leaked(spark, make_docs, texts, SHORT_ITEMS)
+    assert got == plain_leaks(texts, SHORT_ITEMS)
+
+
+def test_short_items_with_changed_slots(spark, make_docs):
+    """Five ordinary words carry a typed window, whatever the length; fewer do not."""
+    items = [(1, "how far is it from 3 km"), (2, "take 3 of 5 and 7 and 9 of 11")]
+    texts = ["how far is it from 8 miles", "take 4 of 6 and 8 and 10 of 12", "take 3 of 5 and 7 and 9 of 11"]
+    assert leaked(spark, make_docs, texts, items) == {(0, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("width", range(4, 9))
+def test_hashes_of_every_width(spark, width):
+    rows = [(["a", "b", "c", "d", "e", "f", "g", "h", "i", "a"][:n],) for n in range(11)]
+    frame = spark.createDataFrame(rows, "t array<string>")
+    made = frame.select("t", template_decontam.window_hashes(F.col("t"), width).alias("h")).collect()
+    by_window = {}
+    for r in made:
+        windows = [tuple(r["t"][i : i + width]) for i in range(len(r["t"]) - width + 1)]
+        assert len(r["h"]) == len(windows)
+        for w, h in zip(windows, r["h"]):
+            assert by_window.setdefault(w, h) == h
+    assert len(set(by_window.values())) == len(by_window)
+
+
+def test_other_vocabularies(encoder):
+    """The parts shortcut gives what whole texts give, with tokens of two blanks and with other patterns."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"  ": 256, b" c": 257, b"\t ": 258}
+    texts = ["a\tb\td   c", "a b  c", "a b c  c", "one two\nthree", "\x1ca b\x85  c"]
+    for pattern in (public_tokenizers.PATTERN, r"\S+\s*|\s+", r".{1,3}"):
+        own = prefix_bpe.Encoder(ranks, pattern)
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for text in texts:
+            want = library.encode_ordinary(text)
+            assert own.encode(text) == want
+            assert np.frombuffer(own.encode_parts(text), "<i4").tolist() == want
