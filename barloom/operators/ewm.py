@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from barloom.functions.scalars import safe_div
 from barloom.functions.windows import KEY, diff, lag, series
-from barloom.operators.chunks import CHUNK_ROWS, with_bar_idx
+from barloom.operators.chunks import CHUNK_ROWS, ChunkKey, looks_back, over_chunks, step
+from barloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -44,8 +45,11 @@ def _schema(df: DataFrame, names: Sequence[str]) -> T.StructType:
     return T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
 
 
+@looks_back(0)
 def add_ewm(df: DataFrame, specs: Sequence[Ewm], by: Sequence[str] = KEY, order: str = "ts") -> DataFrame:
-    """Add one column per spec; state starts afresh in each group."""
+    """Add one column per spec. State starts afresh in each group, unless the groups are chunks of a series."""
+    if isinstance(by, ChunkKey):
+        return _over_chunks(df, specs, by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -61,50 +65,49 @@ def _seeded(values: np.ndarray, seed: float, alpha: float) -> np.ndarray:
     return pd.Series(np.concatenate(([seed], values))).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
 
 
-def add_ewm_continuous(
-    df: DataFrame,
-    specs: Sequence[Ewm],
-    by: Sequence[str] = ("symbol",),
-    order: str = "ts",
-    chunk_rows: int = CHUNK_ROWS,
-) -> DataFrame:
+def _over_chunks(df: DataFrame, specs: Sequence[Ewm], by: ChunkKey) -> DataFrame:
     """The same over a whole series of any length, chunk by chunk.
 
     Within a chunk the mean is linear in the value s that enters it:
     y = zero + gain * s, where `zero` is the response to s = 0 and `gain` the
     response to s = 1 with all inputs 0. Both are computed per chunk; the
-    entering values follow from the chunk ends, one row per chunk.
+    entering values follow from the ends of the rows each chunk owns, one row per chunk.
     """
+    kept = df.columns
     names = [f"__{kind}_{s.out}" for s in specs for kind in ("zero", "gain", "seen")]
-    indexed = with_bar_idx(df, by, order) if "bar_idx" not in df.columns else df
-    chunked = indexed.withColumn("__chunk", F.floor(F.col("bar_idx") / F.lit(chunk_rows)))
+    flagged = df.withColumn("__live", by.live)
 
     def respond(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bar_idx", kind="stable")
+        live = pdf["__live"].to_numpy(bool)
         for s in specs:
-            x = pdf[s.source].to_numpy("float64", na_value=np.nan)
+            x = pdf[s.source].to_numpy("float64", na_value=np.nan)[live]
             known = ~np.isnan(x)
-            pdf[f"__zero_{s.out}"] = _seeded(x, 0.0, s.alpha)
-            pdf[f"__gain_{s.out}"] = _seeded(np.where(known, 0.0, np.nan), 1.0, s.alpha)
-            pdf[f"__seen_{s.out}"] = np.cumsum(known).astype("float64")
+            made = (_seeded(x, 0.0, s.alpha), _seeded(np.where(known, 0.0, np.nan), 1.0, s.alpha), np.cumsum(known).astype("float64"))
+            for kind, values in zip(("zero", "gain", "seen"), made):
+                column = np.full(len(live), np.nan)
+                column[live] = values
+                pdf[f"__{kind}_{s.out}"] = column
         return pdf
 
-    local = chunked.groupBy(*by, "__chunk").applyInPandas(respond, _schema(chunked, names))
-    ends = local.groupBy(*by, "__chunk").agg(
-        *[F.max_by(n, "bar_idx").alias(n) for n in names],
+    local = materialise(flagged.groupBy(*by).applyInPandas(respond, _schema(flagged, names)), "ewm")
+    # A chunk that owns no row hands on nothing of its own, but is handed what came before.
+    ends = local.groupBy(*by).agg(
+        *[F.max_by(n, F.when(by.owned, F.col("bar_idx"))).alias(n) for n in names],
         *[
-            F.min_by(F.col(s.source).cast("double"), F.when(F.col(s.source).isNotNull(), F.col("bar_idx"))).alias(
+            F.min_by(F.col(s.source).cast("double"), F.when(by.live & F.col(s.source).isNotNull(), F.col("bar_idx"))).alias(
                 f"__first_{s.out}"
             )
             for s in specs
         ],
     )
-    keys = [f for f in ends.schema.fields if f.name in (*by, "__chunk")]
+    keys = [f for f in ends.schema.fields if f.name in by]
     enter = [T.StructField(f"__{k}_{s.out}", T.DoubleType()) for s in specs for k in ("enter", "before")]
+    columns = [f.name for f in keys]
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__chunk")
-        out = pdf[[f.name for f in keys]].copy()
+        pdf = pdf.sort_values("chunk")
+        out = pdf[columns].copy()
         for s in specs:
             value, seen, enters, befores = np.nan, 0.0, [], []
             for zero, gain, n, first in zip(
@@ -114,21 +117,32 @@ def add_ewm_continuous(
                 start = first if np.isnan(value) else value
                 enters.append(start)
                 befores.append(seen)
-                if n > 0 or not np.isnan(value):
+                if n > 0 or (n == 0 and not np.isnan(value)):
                     value = zero + gain * start
-                seen += n
+                seen += 0.0 if np.isnan(n) else n
             out[f"__enter_{s.out}"] = enters
             out[f"__before_{s.out}"] = befores
         return out
 
-    carried = ends.groupBy(*by).applyInPandas(chain, T.StructType(keys + enter))
-    joined = local.join(carried, [*by, "__chunk"])
+    carried = ends.groupBy(*by.series).applyInPandas(chain, T.StructType(keys + enter))
+    joined = local.join(carried, list(by))
     values = []
     for s in specs:
         seen = F.col(f"__before_{s.out}") + F.col(f"__seen_{s.out}")
         y = F.col(f"__zero_{s.out}") + F.col(f"__gain_{s.out}") * F.col(f"__enter_{s.out}")
-        values.append(F.when(seen >= max(s.min_periods, 1), y).alias(s.out))
-    return joined.select(*indexed.columns, *values)
+        values.append(F.when(by.live & (seen >= max(s.min_periods, 1)), y).alias(s.out))
+    return joined.select(*kept, *values)
+
+
+def add_ewm_continuous(
+    df: DataFrame,
+    specs: Sequence[Ewm],
+    by: Sequence[str] = ("symbol",),
+    order: str = "ts",
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Weighted means over whole series, in chunks."""
+    return over_chunks(df, step(add_ewm, specs=specs), by=by, order=order, chunk_rows=chunk_rows)
 
 
 def true_range(w) -> Column:
@@ -143,6 +157,7 @@ def rsi(gain: Column, loss: Column) -> Column:
     return 100.0 - 100.0 / (1.0 + safe_div(gain, loss))
 
 
+@looks_back(1)
 def add_smoothed(
     df: DataFrame,
     ema: Sequence[int] = (),

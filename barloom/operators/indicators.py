@@ -1,7 +1,9 @@
 """Technical indicators. Each function adds columns to a bar frame.
 
-`by` is the series key (default symbol and year) and `ts` orders it. Wilder and
-simple variants, and variants with different clamps, are separate functions.
+`by` is the series key (default symbol and year) and `ts` orders it. Under
+`chunks.over_chunks` the functions run on whole series; `looks_back` says how
+many rows their windows reach back. Wilder and simple variants, and variants
+with different clamps, are separate functions.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ from barloom.functions.windows import (
     series,
     so_far,
 )
+from barloom.operators.chunks import ChunkKey, looks_back
 from barloom.operators.ewm import true_range
 from barloom.operators.rolling_rank import Rank, add_ranks
+from barloom.operators.state_scan import scan_runs
 
 LAGS = (1, 2, 3, 5, 8, 13, 21, 34, 55)
 WINDOWS = (5, 10, 20, 50, 100, 200)
 
 
+@looks_back(lambda a: max(a["lags"]) + 1)
 def add_lags(df: DataFrame, lags: Sequence[int] = LAGS, by: Sequence[str] = KEY) -> DataFrame:
     w = series(by)
     df = df.withColumn("__ret", diff("close", 1, w) * POINT)
@@ -48,6 +53,7 @@ def add_lags(df: DataFrame, lags: Sequence[int] = LAGS, by: Sequence[str] = KEY)
     return df.withColumns(new).drop("__ret")
 
 
+@looks_back(lambda a: max(a["windows"]) + 1)
 def add_rolling_stats(df: DataFrame, windows: Sequence[int] = WINDOWS, by: Sequence[str] = KEY) -> DataFrame:
     """z of close; mean and std of range, body and close difference; sum of close differences."""
     w = series(by)
@@ -74,6 +80,7 @@ def add_rolling_stats(df: DataFrame, windows: Sequence[int] = WINDOWS, by: Seque
     return out.drop("__c", "__rng", "__body", "__ret")
 
 
+@looks_back(lambda a: max(a["periods"]))
 def bands(df: DataFrame, periods: Sequence[int], by: Sequence[str] = KEY) -> DataFrame:
     """`bb<p>_mid`, `bb<p>_std`, `bb<p>_upper`, `bb<p>_lower` of close, from exact running sums."""
     w = series(by)
@@ -98,6 +105,7 @@ def band_position(p: int) -> Column:
     return safe_div(F.col("close") - F.col(f"bb{p}_lower"), F.col(f"bb{p}_upper") - F.col(f"bb{p}_lower"))
 
 
+@looks_back(lambda a: a["period"])
 def add_bollinger(df: DataFrame, period: int = 20, by: Sequence[str] = KEY) -> DataFrame:
     p = f"bb{period}"
     return bands(df, (period,), by).withColumns(
@@ -109,6 +117,7 @@ def add_bollinger(df: DataFrame, period: int = 20, by: Sequence[str] = KEY) -> D
     )
 
 
+@looks_back(lambda a: max(a["periods"]) + 5)
 def add_bb_family(df: DataFrame, periods: Sequence[int] = (20, 100, 200), by: Sequence[str] = KEY) -> DataFrame:
     w = series(by)
     df = bands(df, periods, by)
@@ -138,6 +147,7 @@ def add_bb_family(df: DataFrame, periods: Sequence[int] = (20, 100, 200), by: Se
     return df.withColumns(flags)
 
 
+@looks_back(0)
 def add_bb_cross(df: DataFrame, periods: Sequence[int] = (20, 100, 200)) -> DataFrame:
     """Comparisons between three band families; needs `add_bb_family` on the same periods."""
     a, b, c = periods
@@ -163,6 +173,7 @@ def add_bb_cross(df: DataFrame, periods: Sequence[int] = (20, 100, 200)) -> Data
     )
 
 
+@looks_back(lambda a: max(*a["gap_windows"], a["rank_window"]))
 def add_bb_behavior(
     df: DataFrame,
     periods: Sequence[int] = (20, 100, 200),
@@ -200,6 +211,7 @@ def add_bb_behavior(
     return add_ranks(df, ranks, by)
 
 
+@looks_back(lambda a: a["window"])
 def add_roll_minmax(
     df: DataFrame, value: str, out: str, window: int, min_periods: int = 100, by: Sequence[str] = KEY
 ) -> DataFrame:
@@ -210,6 +222,7 @@ def add_roll_minmax(
     return df.withColumn(out, safe_div(F.col(value) - lo, hi - lo))
 
 
+@looks_back(lambda a: max(a["periods"]) + a["rank_window"])
 def add_bb_family_v2(
     df: DataFrame,
     periods: Sequence[int] = (10, 20, 50, 100, 200),
@@ -251,6 +264,7 @@ def add_bb_family_v2(
     return df.withColumns(flags)
 
 
+@looks_back(lambda a: a["period"] + 11)
 def add_rsi_simple(df: DataFrame, period: int = 14, by: Sequence[str] = KEY) -> DataFrame:
     """RSI on plain means; the first difference counts as 0. No loss gives 100, no move at all is missing."""
     w = series(by)
@@ -272,6 +286,7 @@ def add_rsi_simple(df: DataFrame, period: int = 14, by: Sequence[str] = KEY) ->
     )
 
 
+@looks_back(lambda a: a["period"] + 1 + a["rank_window"])
 def add_atr_simple(
     df: DataFrame, period: int = 14, rank_window: int = 2000, rank_min: int = 200, by: Sequence[str] = KEY
 ) -> DataFrame:
@@ -283,6 +298,7 @@ def add_atr_simple(
     return add_ranks(df, [Rank("atr_rank", "atr_simple", rank_window, rank_min, "pct")], by)
 
 
+@looks_back(0)
 def add_keltner(df: DataFrame, mult: float = 1.5) -> DataFrame:
     """Needs `ema_20` and `atr20`."""
     mid, atr = F.col("ema_20"), F.col("atr20")
@@ -291,6 +307,7 @@ def add_keltner(df: DataFrame, mult: float = 1.5) -> DataFrame:
     )
 
 
+@looks_back(lambda a: max(a["periods"]))
 def add_donchian(df: DataFrame, periods: Sequence[int] = (20, 55), by: Sequence[str] = KEY) -> DataFrame:
     w = series(by)
     new = {}
@@ -302,14 +319,19 @@ def add_donchian(df: DataFrame, periods: Sequence[int] = (20, 55), by: Sequence[
     return df.withColumns(new)
 
 
+@looks_back(lambda a: a["window"])
 def add_vwap_rolling(df: DataFrame, window: int = 100, by: Sequence[str] = KEY) -> DataFrame:
     w = series(by)
     value = roll_sum(F.col("close") * F.col("volume"), window, w)
     return df.withColumn(f"vwap{window}", safe_div(value, roll_sum("volume", window, w)))
 
 
-def add_vwap_session(df: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
-    """Volume-weighted typical price since the start of the calendar day; zero volume counts as missing."""
+@looks_back(lambda a: a["day_rows"])
+def add_vwap_session(df: DataFrame, by: Sequence[str] = KEY, day_rows: int = 1440) -> DataFrame:
+    """Volume-weighted typical price since the start of the calendar day; zero volume counts as missing.
+
+    `day_rows` is the most bars a day can have, which is how far a chunk reaches back.
+    """
     run = so_far(series((*by, "__day")))
     volume = F.nullif(F.col("volume"), F.lit(0.0))
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3.0
@@ -318,6 +340,7 @@ def add_vwap_session(df: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     return df.withColumn("vwap_session", F.when(volume.isNotNull(), safe_div(value, weight))).drop("__day")
 
 
+@looks_back(52)
 def add_ichimoku(df: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """Lines at their own bar: nothing is shifted forward."""
     w = series(by)
@@ -374,6 +397,7 @@ def add_psar(
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
+@looks_back(1)
 def add_supertrend(df: DataFrame, atr: str = "atr20", mult: float = 3.0, by: Sequence[str] = KEY) -> DataFrame:
     """The side is the last breach of the previous bar's bands, so no loop is needed."""
     w = series(by)
@@ -381,12 +405,18 @@ def add_supertrend(df: DataFrame, atr: str = "atr20", mult: float = 3.0, by: Seq
     df = df.withColumns({"__up": mid + mult * F.col(atr), "__lo": mid - mult * F.col(atr)})
     breach = F.when(F.col("close") > lag("__up", 1, w), 1).when(F.col("close") < lag("__lo", 1, w), 0)
     df = df.withColumn("__breach", breach)
-    up = F.coalesce(F.last("__breach", ignorenulls=True).over(so_far(w)), F.lit(1))
-    df = df.withColumn("supertrend_up", up)
+    if isinstance(by, ChunkKey):
+        df = scan_runs(df, by, marks={"__up_ago": F.col("__breach") == 1, "__down_ago": F.col("__breach") == 0})
+        up = F.when(F.col("__down_ago").isNull() | (F.col("__up_ago") < F.col("__down_ago")), 1).otherwise(0)
+        df = df.withColumn("supertrend_up", up).drop("__up_ago", "__down_ago")
+    else:
+        up = F.coalesce(F.last("__breach", ignorenulls=True).over(so_far(w)), F.lit(1))
+        df = df.withColumn("supertrend_up", up)
     line = F.when(F.col("supertrend_up") == 1, F.col("__lo")).otherwise(F.col("__up"))
     return df.withColumn("supertrend20x3", line).drop("__up", "__lo", "__breach")
 
 
+@looks_back(lambda a: a["period"] + 3)
 def add_stochastic(df: DataFrame, period: int = 14, by: Sequence[str] = KEY) -> DataFrame:
     w = series(by)
     lo, hi = roll_min("low", period, w), roll_max("high", period, w)
@@ -397,6 +427,7 @@ def add_stochastic(df: DataFrame, period: int = 14, by: Sequence[str] = KEY) ->
     )
 
 
+@looks_back(lambda a: 2 * a["period"] + 11)
 def add_adx(df: DataFrame, period: int = 14, by: Sequence[str] = KEY) -> DataFrame:
     w = series(by)
     up, down = diff("high", 1, w), -diff("low", 1, w)
@@ -426,6 +457,7 @@ def add_adx(df: DataFrame, period: int = 14, by: Sequence[str] = KEY) -> DataFra
     return df.withColumns({"adx_slope3": diff("adx14", 3, w), "adx_slope10": diff("adx14", 10, w)})
 
 
+@looks_back(lambda a: a["window"])
 def add_norm_scale(df: DataFrame, window: int = 200, min_periods: int = 50, by: Sequence[str] = KEY) -> DataFrame:
     """Spread of recent body sizes; where that is 0 or missing the mean range."""
     w = series(by)
@@ -439,6 +471,7 @@ def add_norm_scale(df: DataFrame, window: int = 200, min_periods: int = 50, by:
 RETURN_STEPS = (1, 3, 5, 10, 15, 30, 60, 120)
 
 
+@looks_back(lambda a: max(*RETURN_STEPS, *a["vol_windows"]) + 1)
 def add_norm_returns(df: DataFrame, by: Sequence[str] = KEY, vol_windows: Sequence[int] = (30, 60, 120)) -> DataFrame:
     """Needs `norm_scale`."""
     w = series(by)
@@ -452,6 +485,7 @@ def add_norm_returns(df: DataFrame, by: Sequence[str] = KEY, vol_windows: Sequen
     return df.withColumns(new).drop("__pct")
 
 
+@looks_back(1)
 def add_ema_features(
     df: DataFrame,
     spans: Sequence[int] = (8, 13, 21, 34, 55, 89, 144),
@@ -469,6 +503,7 @@ def add_ema_features(
     return df.withColumns(new)
 
 
+@looks_back(0)
 def add_ema_stack(df: DataFrame) -> DataFrame:
     a, b, c, d = (F.col(f"ema_{n}") for n in (5, 20, 50, 200))
     return df.withColumns(
@@ -479,6 +514,7 @@ def add_ema_stack(df: DataFrame) -> DataFrame:
     )
 
 
+@looks_back(lambda a: a["window"])
 def add_volume_z(df: DataFrame, window: int = 100, by: Sequence[str] = KEY) -> DataFrame:
     w = series(by)
     exact = ExactSums(w)
@@ -493,6 +529,7 @@ OVERLAY_LAGS = (1, 3, 5, 8, 13)
 OVERLAY_PARTS = ("value", "distance", "pct_distance", "velocity", "acceleration", "std")
 
 
+@looks_back(lambda a: 50 + a["rank_window"])
 def add_overlay(
     df: DataFrame,
     lines: dict[str, int],

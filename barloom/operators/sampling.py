@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ordered import expand, row_positions
-from barloom.session import join_measured, materialise
+from barloom.session import materialise
 
 
 def row_hash(columns: Sequence[str], seed: int = 0) -> Column:
@@ -26,15 +26,18 @@ def row_hash(columns: Sequence[str], seed: int = 0) -> Column:
 HASH_DIGITS = 4
 
 
-def _join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], measured: bool = False) -> DataFrame:
-    """Add the columns of a one-row-per-group table; a missing key is a group like any other."""
+def _join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], staged: bool = False) -> DataFrame:
+    """Add the columns of a one-row-per-group table; a missing key is a group like any other.
+
+    `staged` writes that table first: the planner then sees its size before it plans how `df` is joined.
+    """
     if not by:
         return df.crossJoin(F.broadcast(groups))
     named = groups.select(*[F.col(c).alias(f"__k_{c}") for c in by], *[c for c in groups.columns if c not in by])
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-    joined = join_measured(df, named, on) if measured else df.join(named, on)
+    joined = df.join(materialise(named) if staged else named, on)
     return joined.drop(*[f"__k_{c}" for c in by])
 
 
@@ -65,7 +68,7 @@ def _smallest_hashes(
     )
     whole = F.col("__b") <= F.coalesce("__whole", F.lit(""))
     kept = materialise(
-        _join_groups(bucketed, plan, by, measured=True)
+        _join_groups(bucketed, plan, by, staged=True)
         .withColumn("__in", whole)
         .filter(F.col("__in") | (F.col("__b") == F.col("__cut")))
     )

@@ -19,10 +19,12 @@ from barloom.functions.scalars import (
     units,
 )
 from barloom.functions.windows import KEY, lag, roll_sum, diff, series
+from barloom.operators.chunks import looks_back
 from barloom.operators.ewm import add_smoothed
 from barloom.operators.indicators import band_position, bands
 
 
+@looks_back(0)
 def add_buy_signals(df: DataFrame) -> DataFrame:
     """Three event families and their union; momentum counts only in session."""
     c = F.col
@@ -58,6 +60,7 @@ FS03_COLUMNS = (
 )
 
 
+@looks_back(20)
 def add_signal_inputs(df: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """The few columns the buy signals read, computed alone instead of the full feature frame."""
     w = series(by)
@@ -78,6 +81,7 @@ def add_signal_inputs(df: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     )
 
 
+@looks_back(max(FS03_LAGS) + 1)
 def add_fs03(df: DataFrame, by: Sequence[str] = KEY) -> DataFrame:
     """The compact 16-column feature set with its signals."""
     w = series(by)

@@ -10,6 +10,7 @@ MODULES = (
     "window_queries",
     "indicator_queries",
     "cycle_queries",
+    "years_queries",
     "label_queries",
     "metric_queries",
     "selection_queries",

@@ -164,7 +164,10 @@ def cycle_generic(spark, sf_dir):
     pos = ind.band_position(20)
     df = df.withColumn("raw", F.when(pos <= 0.20, 1).when(pos >= 0.80, -1).otherwise(0))
     df = cycles.add_cycle_columns(df, "mid", "bb20_mid", line="bb20_mid")
-    df = cycles.add_cycle_columns(df, "reversion", "bb20_mid", signal="raw")
+    return generic_rows(cycles.add_cycle_columns(df, "reversion", "bb20_mid", signal="raw"))
+
+
+def generic_rows(df):
     both = F.array(*[F.struct(F.lit(p).alias("cycle"), *[F.col(f"{p}_{c}").alias(c) for c in _GEN]) for p in ("mid", "reversion")])
     out = df.select("symbol", "ts", F.explode(both).alias("c")).select("symbol", "ts", "c.*")
     out = out.withColumns({c: F.col(c).cast("bigint") for c in ("bar", "bar_clip")})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from collections.abc import Sequence
 
@@ -23,7 +24,6 @@ def get_session(app: str = "barloom", master: str | None = None, **conf: str) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Call-site capture costs several JVM round trips per column expression.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
@@ -31,34 +31,30 @@ def get_session(app: str = "barloom", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the cluster's shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, the one in `spark.checkpoint.dir`.
 
-    Used where two branches of a plan must see the very same rows, or where a
-    large source would otherwise be scanned once per branch. The folder is the
-    one in `spark.checkpoint.dir`. Where that is unset, a local one serves in
-    local mode; on a cluster it is an error, since executors share no disk.
+    Where that is unset, a temporary folder serves in local mode; on a cluster it is an error, since executors share
+    no disk.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
-    return df.checkpoint()
+        base = "file://" + tempfile.mkdtemp(prefix="barloom-staged-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-BROADCAST_ROWS = 200_000
+def materialise(df: DataFrame, name: str = "staged") -> DataFrame:
+    """Write `df` once to the shared folder and read it back.
 
-
-def join_measured(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join with a table that is usually small: written and counted first, broadcast only up to BROADCAST_ROWS rows.
-
-    Beyond that it is an ordinary shuffle join. Without the count the planner would shuffle the big side
-    before knowing how small the other one is.
+    Used where two branches of a plan must see the very same rows, or where a large source would otherwise be scanned
+    once per branch. The rows are Parquet, so readers take the columns they need and the planner sees the size.
     """
-    small = materialise(small)
-    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, rows: Sequence[Sequence], schema: str) -> DataFrame:
