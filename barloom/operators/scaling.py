@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import finite, safe_div, to_feature
 from barloom.functions.windows import KEY, roll_max, roll_min, roll_std, series, trailing
-from barloom.operators.ordered import exact_quantiles
 from barloom.operators.rolling_rank import Rank, add_ranks
+from barloom.operators.wide import wide_quantiles
+from barloom.session import materialise, small_table
 
 
 def unpivot(df: DataFrame, features: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -30,12 +31,16 @@ def fit_robust(df: DataFrame, features: Sequence[str]) -> DataFrame:
     raw values clipped, unless they interpolate across a bound; the bounds lie
     outside the quartiles as soon as a feature has five known values.
     """
-    long = unpivot(df, features).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    q = exact_quantiles(long, ["feature"], "value", (CLIP_LOW, 0.25, 0.5, 0.75, CLIP_HIGH), ("lower", "q25", "median", "q75", "upper"))
-    spread = F.col("q75") - F.col("q25")
-    return q.select(
-        "feature", "lower", "upper", "median", F.when(spread == 0, 1.0).otherwise(spread).alias("scale")
-    )
+    rows = materialise(df.select(*[_known(f) for f in features]))
+    found = wide_quantiles(rows, features, (CLIP_LOW, 0.25, 0.5, 0.75, CLIP_HIGH))
+    stats = [(f, v[0], v[4], v[2], (v[3] - v[1]) or 1.0) for f, (n, v) in found.items() if n]
+    return small_table(df.sparkSession, stats, "feature string, lower double, upper double, median double, scale double")
+
+
+def _known(f: str) -> Column:
+    """A feature as a double, NaN missing."""
+    x = F.col(f).cast("double")
+    return F.when(~F.isnan(x), x).alias(f)
 
 
 def fit_standard(df: DataFrame, features: Sequence[str]) -> DataFrame:

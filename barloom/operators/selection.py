@@ -1,24 +1,21 @@
 """Feature statistics, selection and drift.
 
-Statistics of many columns come from one wide aggregate or from value counts
-(feature, value, rows, positives), which fold repeated values before any shuffle.
+Statistics of many columns come from one wide aggregate, from the histograms and
+Gram matrices of `operators.wide`, or, where distinct values are counted, from
+value counts (feature, value, rows), which fold repeated values before any shuffle.
 Only tables with one row per feature or per feature pair reach the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import finite, to_feature
-from barloom.operators.metrics import edges_of_runs, left_closed_bin, right_closed_bin
-from barloom.operators.ordered import running_totals, value_runs
 from barloom.operators.scaling import unpivot
+from barloom.operators.wide import few_values, left_closed, pair_correlations, plain_doubles, right_closed, wide_bins, wide_quantiles
 from barloom.session import materialise, small_table
 
 
@@ -72,26 +69,14 @@ def label_corr(df: DataFrame, features: Sequence[str], label: str = "label", by:
 
 def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature_a, feature_b, corr) for all pairs a < b in list order; missing or flat as 0."""
-    pairs = list(combinations(features, 2))
-    row = df.agg(*[_corr(to_feature(a), to_feature(b)).alias(f"{a}__{b}") for a, b in pairs])
-    structs = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"{a}__{b}").alias("corr"))
-        for a, b in pairs
-    ]
-    return row.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    clean = df.select(*[to_feature(f).alias(f) for f in features])
+    return pair_correlations(clean, features, least=1).drop("pairs")
 
 
-def corr_pairs(df: DataFrame, features: Sequence[str]) -> dict[tuple[str, str], float]:
-    """|corr| of every pair, on the driver: its size is set by the number of columns, not of rows."""
-    clean = df.select(*[to_feature(f).alias(f) for f in features])
-    vec = VectorAssembler(inputCols=list(features), outputCol="v").transform(clean)
-    if len(features) < 2 or vec.isEmpty():
-        return {}
-    m = Correlation.corr(vec, "v").first()[0].toArray()
-    out = {
-        (features[i], features[j]): (abs(float(m[i][j])) if m[i][j] == m[i][j] else 0.0)
-        for i, j in combinations(range(len(features)), 2)
-    }
+def close_pairs(df: DataFrame, features: Sequence[str], threshold: float, least: int = 50) -> dict[tuple[str, str], float]:
+    """|corr| of the pairs at or above the threshold, either way round, over the rows where both are known."""
+    found = pair_correlations(df, features, least).filter(F.abs("corr") >= threshold).collect()
+    out = {(r["feature_a"], r["feature_b"]): abs(r["corr"]) for r in found}
     return out | {(b, a): v for (a, b), v in out.items()}
 
 
@@ -108,7 +93,7 @@ def corr_prune(
     safe = set(protected)
     # A feature outranks another if it is protected and the other is not, else if it is closer to the label.
     rank = {f: place for place, f in enumerate(sorted(features, key=lambda f: (f not in safe, -near[f], f)))}
-    close = {pair: v for pair, v in corr_pairs(df, features).items() if v >= threshold}
+    close = close_pairs(df.select(*[to_feature(f).alias(f) for f in features]), features, threshold, least=1)
     rivals: dict[str, list[str]] = {f: [] for f in features}
     for a, b in close:
         if rank[a] < rank[b]:
@@ -126,6 +111,17 @@ def corr_prune(
     return [f for f in features if f not in dropped_by], small_table(df.sparkSession, rows, schema)
 
 
+def finite_label_corr(df: DataFrame, features: Sequence[str], label: str = "label", least: int = 50) -> dict[str, float]:
+    """|corr| of each feature with the label over the rows where both are known; 0 below `least` rows or if flat."""
+    pairs = []
+    for f in features:
+        x = F.when(finite(F.col(label).cast("double")).isNotNull(), finite(F.col(f).cast("double")))
+        y = F.when(x.isNotNull(), F.col(label).cast("double"))
+        pairs.append(F.struct(F.count(x).alias("n"), F.abs(_corr(x, y)).alias("corr")).alias(f))
+    row = df.agg(*pairs).first()
+    return {f: row[f]["corr"] if row[f]["n"] >= least else 0.0 for f in features}
+
+
 def corr_forward(
     df: DataFrame,
     features: Sequence[str],
@@ -133,38 +129,40 @@ def corr_forward(
     max_pair_corr: float,
     force_tokens: Sequence[str] = (),
     label: str = "label",
+    least: int = 50,
 ) -> list[str]:
-    """Take features by |corr| with the label, skipping those too close to one already taken; forced ones always enter."""
-    ranked = label_corr(df, features, label).orderBy(F.desc("abs_label_corr"), "feature").collect()
+    """Take features by |corr| with the label, skipping those too close to one already taken; forced ones always enter.
+
+    Correlations are over the rows where both sides are known, and 0 where fewer than `least` are.
+    """
+    near = finite_label_corr(df, features, label, least)
     forced = [f for f in features if any(t in f for t in force_tokens)]
-    pool = list(dict.fromkeys([*forced, *[r.feature for r in ranked[:top_n]]]))
-    value = corr_pairs(df, pool)
+    ranked = sorted(features, key=lambda f: (-near[f], f))[:top_n]
+    pool = list(dict.fromkeys([*forced, *ranked]))
+    close = close_pairs(df, pool, max_pair_corr, least)
     taken: list[str] = []
     for f in pool:
-        closest = max((value[(f, t)] for t in taken), default=0.0)
-        if f in forced or closest < max_pair_corr:
+        if f in forced or not any((f, t) in close for t in taken):
             taken.append(f)
     return taken
 
 
-def label_bins(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 10) -> DataFrame:
-    """(feature, bin, rows, positives, mean, distinct): each feature cut at its quantiles, repeated edges merged.
+def label_bins(df: DataFrame, features: Sequence[str], label: str = "label", bins: int = 10, count_values: int = 64) -> DataFrame:
+    """(feature, bin, rows, positives, mean, values): each feature cut at its quantiles, repeated edges merged.
 
-    Edges and bin counts both come from one pass over the values.
+    `values` is the feature's number of distinct values, counted up to `count_values`. Rows stay wide: quantiles, counts
+    and values are three kinds of small tables.
     """
-    known = unpivot(df.filter(F.col(label).isNotNull()), features, [label]).withColumn("value", finite("value"))
-    runs = value_runs(known, ["feature"], "value", pos=F.sum(F.col(label).cast("bigint")))
-    edges = edges_of_runs(runs, ["feature"], "value", bins)
-    return (
-        runs.join(F.broadcast(edges), "feature")  # one row per feature
-        .withColumn("bin", right_closed_bin(F.col("value"), F.col("edges")))
-        .groupBy("feature", "bin")
-        .agg(
-            F.sum("n").alias("rows"),
-            F.sum("pos").alias("positives"),
-            (F.sum("pos") / F.sum("n")).alias("mean"),
-            F.count(F.lit(1)).alias("distinct"),
-        )
+    known = materialise(
+        plain_doubles(df.filter(F.col(label).isNotNull()), features, F.lit(0).alias("__group"), F.col(label).cast("bigint").alias("__label"))
+    )
+    found = wide_quantiles(known, features, [i / bins for i in range(bins + 1)])
+    edges = {f: sorted(set(values)) for f, (_, values) in found.items()}
+    values = few_values(known, features, count_values)
+    cells = wide_bins(known, features, edges, "__group", "__label", right_closed)
+    named = small_table(df.sparkSession, [(f, n) for f, n in values.items()], "feature string, values bigint")
+    return cells.join(named, "feature").select(
+        "feature", "bin", "rows", F.col("weight").alias("positives"), (F.col("weight") / F.col("rows")).alias("mean"), "values"
     )
 
 
@@ -187,8 +185,8 @@ def lift_of_bins(cells: DataFrame, min_unique: int = 5) -> DataFrame:
     per = Window.partitionBy("feature")
     number = F.row_number().over(per.orderBy("bin"))
     return (
-        cells.withColumns({"decile": number, "__u": F.sum("distinct").over(per)})
-        .filter(F.col("__u") >= min_unique)
+        cells.withColumn("decile", number)
+        .filter(F.col("values") >= min_unique)
         .select("feature", "decile", F.col("rows").alias("count"), "mean")
     )
 
@@ -268,21 +266,22 @@ def importance_votes(importance: DataFrame, available: DataFrame, run: str = "ru
 def psi(df: DataFrame, features: Sequence[str], expected: Column, period: str, bins: int = 10) -> DataFrame:
     """Population stability of each feature per period against the rows where `expected` holds.
 
-    Missing if either side has fewer than 5 * bins known values, 0 if there are fewer than 3 distinct cuts.
+    `period` is a whole number. Missing if either side has fewer than 5 * bins known values, 0 if there are fewer than
+    3 distinct cuts. Rows stay wide; the cuts are read off histograms, the bins counted in one pass.
     """
-    marked = df.withColumn("__exp", expected.cast("int"))
-    counts = materialise(value_counts(marked, features, ids=(period, "__exp")).filter(F.col("value").isNotNull()))
-    # The cuts are those of the expected rows: the same counts, weighted.
-    base = counts.filter("__exp = 1")
-    runs = running_totals(base, ["feature"], ["value"], {"n": F.sum("rows")})
-    edges = edges_of_runs(runs, ["feature"], "value", bins)
-    binned = counts.join(F.broadcast(edges), "feature").withColumn("bin", left_closed_bin(F.col("value"), F.col("edges")))
-    cells = binned.groupBy("feature", period, "bin").agg(
-        F.sum("rows").alias("a"),
-        F.sum(F.when(F.col("__exp") == 1, F.col("rows")).otherwise(0)).alias("e"),
-        F.max(F.size("edges")).alias("cuts"),
-        F.max("edge_rows").alias("exp_rows"),
+    wide = materialise(
+        plain_doubles(df, features, F.col(period).cast("bigint").alias("__period"), F.coalesce(expected.cast("int"), F.lit(0)).alias("__exp"))
     )
+    found = wide_quantiles(wide.filter("__exp = 1"), features, [i / bins for i in range(bins + 1)])
+    edges = {f: sorted(set(values)) for f, (_, values) in found.items()}
+    counted = wide_bins(wide, features, edges, "__period", "__exp", left_closed)
+    facts = [(f, len(edges[f]), found[f][0]) for f in features]
+    named = small_table(df.sparkSession, facts, "feature string, cuts int, exp_rows bigint")
+    kind = df.schema[period].dataType
+    cells = counted.join(named, "feature").select(
+        "feature", F.col("group").cast(kind).alias(period), F.when(F.col("bin") < F.col("cuts"), F.col("bin")).alias("bin"),
+        F.col("rows").alias("a"), F.col("weight").alias("e"), "cuts", "exp_rows",
+    )
     # From here on: features x periods x (bins + 1) rows.
     per_bin = cells.groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.max("cuts").alias("cuts"), F.max("exp_rows").alias("exp_rows"))
     seen = cells.groupBy("feature", period).agg(

@@ -22,6 +22,8 @@ from barloom.functions.windows import KEY, lag, roll_sum, diff, series
 from barloom.operators.chunks import looks_back
 from barloom.operators.ewm import add_smoothed
 from barloom.operators.indicators import band_position, bands
+from barloom.operators.wide import plain_doubles, wide_quantiles
+from barloom.session import materialise, small_table
 
 
 @looks_back(0)
@@ -126,6 +128,14 @@ GATES = {
 GATE_COLUMNS = ("h4_ret_sum_3", "h4_ret_sum_6", "h4_ret_sum_12", "h4_volatility_6", "h4_rsi_14", "h4_ema_dist_55")
 
 
+def fit_gate_quantiles(train: DataFrame, columns: Sequence[str] = GATE_COLUMNS) -> DataFrame:
+    """(column, q20..q80) of the gate columns' finite values on training rows; columns without any are left out."""
+    rows = materialise(plain_doubles(train, columns))
+    found = wide_quantiles(rows, columns, tuple(GATE_QUANTILES.values()))
+    table = [(c, *values) for c, (n, values) in found.items() if n]
+    return small_table(train.sparkSession, table, "column string, " + ", ".join(f"{q} double" for q in GATE_QUANTILES))
+
+
 def add_gates(df: DataFrame, quantiles: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """One 0/1 column `gate_<name>` per gate. `quantiles` has one row (column, q20..q80) per gate column.
 

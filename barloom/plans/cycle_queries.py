@@ -9,9 +9,7 @@ from barloom.operators import cycles, labels, signals, thresholds
 from barloom.operators import indicators as ind
 from barloom.operators.chunks import with_candle
 from barloom.operators.ewm import add_smoothed
-from barloom.operators.ordered import exact_quantiles
 from barloom.operators.resample import asof_backward, htf_features, resample
-from barloom.operators.scaling import unpivot
 from barloom.plans.bar_queries import _HTF_SQL
 from barloom.plans.common import (
     BARS,
@@ -261,9 +259,7 @@ def edge_rows(spark, sf_dir):
 
 def quantile_table(rows):
     """q20..q80 of every gate column on the training rows."""
-    long = unpivot(rows.filter("split = 'train'"), _G).withColumnRenamed("feature", "column")
-    q = exact_quantiles(long, ["column"], "value", tuple(signals.GATE_QUANTILES.values()), tuple(signals.GATE_QUANTILES))
-    return q.drop("n")
+    return signals.fit_gate_quantiles(rows.filter("split = 'train'"), _G)
 
 
 _Q_SQL = f"""ql AS (UNPIVOT (SELECT {', '.join(_G)} FROM edge WHERE split = 'train') ON {', '.join(_G)} INTO NAME "column" VALUE value),

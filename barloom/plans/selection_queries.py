@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import candle_shape
-from barloom.operators import scaling, selection, signals, transforms
+from barloom.operators import scaling, selection, wide, signals, transforms
 from barloom.plans.common import FEATURES, LONG, SCORED, SPLITS, bars, load, query, r, rs, scored, show
 from barloom.plans.cycle_queries import SIGNALS_SQL
 from barloom.plans.metric_queries import split_rows
@@ -90,15 +90,31 @@ def corr_matrix(spark, sf_dir):
     return show(out, ("feature_a", "feature_b"), ("corr",))
 
 
-def embedding_frame(spark, sf_dir, dims: int = 64):
-    """Embedding elements as features, with some columns nearly repeated."""
+def embedding_frame(spark, sf_dir):
+    """Embedding elements as features, some nearly repeated, some missing by a rule, one known in few rows."""
     df = load(spark, sf_dir, "embeddings")
-    cols = {f"e{i}": F.col("embedding")[i].cast("double") for i in range(dims)}
-    noise = F.col("embedding")[dims - 1] * 0.1
-    cols |= {f"near{i}": (F.col("embedding")[i] + noise).cast("double") for i in range(8)}
+    dims = df.agg(F.max(F.size("embedding"))).first()[0] or 0
+    cols = {f"e{i}": F.when((F.col("vec_id") + i) % 7 != 0, F.col("embedding")[i].cast("double")) for i in range(dims)}
+    cols |= {f"near{i}": (F.col("embedding")[i] + F.col("embedding")[dims - 1] * 0.1).cast("double") for i in range(min(dims, 8))}
+    cols["rare"] = F.when(F.col("vec_id") < 40, F.col("embedding")[0].cast("double"))
     return df.select("vec_id", (F.col("label") % 2).cast("int").alias("label"), *[c.alias(n) for n, c in cols.items()]), list(cols)
 
 
+@query(
+    "pair_corr",
+    f"""WITH el AS (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings), v AS (
+        SELECT vec_id, i AS at, 'e' || i AS feature, embedding[i + 1]::DOUBLE AS x FROM el WHERE (vec_id + i) % 7 <> 0
+        UNION ALL SELECT vec_id, 1000 + i, 'near' || i, (embedding[i + 1] + embedding[-1] * 0.1::DOUBLE)::DOUBLE FROM el WHERE i < 8
+        UNION ALL SELECT vec_id, 2000, 'rare', embedding[1]::DOUBLE FROM embeddings WHERE vec_id < 40),
+      p AS (SELECT a.feature AS feature_a, b.feature AS feature_b, count(*) AS pairs, corr(a.x, b.x) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.at < b.at GROUP BY ALL)
+      SELECT feature_a, feature_b, pairs, {r('CASE WHEN pairs < 50 THEN 0 ELSE c END', 'corr')} FROM p""",
+)
+def pair_corr(spark, sf_dir):
+    """Correlation of every pair of features over the rows where both are known."""
+    df, features = embedding_frame(spark, sf_dir)
+    return show(wide.pair_correlations(df, features).filter("pairs > 0"), ("feature_a", "feature_b", "pairs"), ("corr",))
+
+
 @query("corr_prune")
 def corr_prune(spark, sf_dir):
     df, features = embedding_frame(spark, sf_dir)
