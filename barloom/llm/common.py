@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -172,12 +171,16 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, rolling: Ro
     return mix(rolling.of(prefix, start, end) + (end - start).astype(np.uint64))
 
 
-_OTHER_BLANK = re.compile(r"[^\S \n]")
+#: White space other than spaces and line feeds, of ASCII and beyond: a search for one character is a scan of memory.
+_ASCII_BLANKS = [chr(c) for c in range(128) if chr(c).isspace() and chr(c) not in " \n"]
+_WIDE_BLANKS = [chr(c) for c in range(128, 0x10000) if chr(c).isspace()]
 
 
 def single_blanks(text: str) -> bool:
     """Whether the white space of a text is single spaces and line feeds between other characters, and nothing else."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1 and not _OTHER_BLANK.search(text)
+    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or any(map(text.__contains__, _ASCII_BLANKS)):
+        return False
+    return text.isascii() or not any(map(text.__contains__, _WIDE_BLANKS))
 
 
 def text_column(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import RUN_BYTES, load, mix, query, stage, text_column
+from barloom.llm.common import RUN_BYTES, load, mix, query, single_blanks, stage, text_column
 
 #: Radix partitions of the A ids; runs merged at a time; pairs in a blob.
 RADIX, FAN, SEGMENT = 64, 64, 1 << 14
@@ -109,13 +109,12 @@ def _sides(a_path: str, b_path: str) -> Sides:
     return Sides(a_path, b_path)
 
 
-_CUT, _OTHER_BLANK = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"[^\S \n]")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def parts_of(text: str) -> list[str]:
     """The text cut at every space that stands between two characters that are not white space."""
-    single = len(text.split()) == text.count(" ") + text.count("\n") + 1
-    return text.split(" ") if single and not _OTHER_BLANK.search(text) else _CUT.split(text)
+    return text.split(" ") if single_blanks(text) else _CUT.split(text)
 
 
 def slices_of(text: str, size: int = SLICE) -> Iterator[str]:
