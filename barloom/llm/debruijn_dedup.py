@@ -9,7 +9,11 @@ Such a run is a path that does not branch inside: it is one row, with the digest
 * Where several different paths share a key, the graph branches there. Only for the first source of each such path are
   the k-mers themselves compared, again by a join.
 
-Coordinates of the source come along with every removed span, and a second hash over its words is compared.
+Every removed span comes with the coordinates of its source (document, text, first word), and a second hash over the
+words at both places is equal too, for whole paths and for single k-mers.
+
+A passage of very many documents is one digest with very many rows. Digests and k-mers are folded by partial aggregates
+and written, and rows are joined with the written tables, so that a hot digest is split by the planner and not gathered.
 """
 
 from __future__ import annotations
@@ -40,6 +44,7 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray, window: int) -> anchors.Pieces
     return anchors.cut(values, prefix, bounds, GRAM, window, _WORDS)
 
 
+#: kmers: a hash and a second hash of every k-mer of the path.
 PATHS = "key bigint, path bigint, check bigint, doc bigint, part bigint, start int, n int, kmers binary"
 
 
@@ -60,9 +65,10 @@ def paths(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
             end = start + n - 1 + window
             size = (n + (found.owner[keep] - start) * 256).astype(np.uint64)
             path = mix(_WORDS.of(prefix, start, end) + size)
-            check = mix(_CHECK.of(_CHECK.prefix(values), start, end) + size)
+            second = _CHECK.prefix(values)
+            check = mix(_CHECK.of(second, start, end) + size)
             place = np.repeat(start - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            kmers = mix(_WORDS.of(prefix, place, place + window)).view("<i8")
+            kmers = np.stack((mix(_WORDS.of(prefix, place, place + window)), mix(_CHECK.of(second, place, place + window))), axis=1).astype("<u8")
             parts = [p.tobytes() for p in np.split(kmers, np.cumsum(n)[:-1])]
             ids, texts = np.asarray(batch.column("id")), np.asarray(batch.column("part"))
             yield pa.RecordBatch.from_arrays(
@@ -82,7 +88,7 @@ def paths(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
     return docs.mapInArrow(work, PATHS)
 
 
-KMERS = "key bigint, kmer bigint, doc bigint, part bigint, start int"
+KMERS = "key bigint, kmer bigint, check bigint, doc bigint, part bigint, start int"
 
 
 def _each_kmer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,39 +96,44 @@ def _each_kmer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.asarray(batch.column("n"))
         if len(n) == 0:
             continue
-        kmers = np.frombuffer(b"".join(batch.column("kmers").to_pylist()), "<i8")
+        kmers, check = np.frombuffer(b"".join(batch.column("kmers").to_pylist()), "<i8").reshape(-1, 2).T.copy()
         within = np.arange(len(kmers)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat(np.asarray(batch.column("key")), n)),
                 pa.array(kmers),
+                pa.array(check),
                 pa.array(np.repeat(np.asarray(batch.column("doc")), n)),
                 pa.array(np.repeat(np.asarray(batch.column("part")), n)),
                 pa.array((np.repeat(np.asarray(batch.column("start")), n) + within).astype(np.int32)),
             ],
-            names=["key", "kmer", "doc", "part", "start"],
+            names=[c.split()[0] for c in KMERS.split(", ")],
         )
 
 
 def repeated_spans(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
     """Runs (doc, part, start, n) of k-mers that also start in a smaller id; docs: (id, text, part) without copies.
 
-    `source` is the earlier document; rows of one doc may touch or overlap.
+    source_doc, source_part and source_start tell where the same words start in the smallest such document; rows of one
+    doc may touch or overlap.
     """
+    span = ["doc", "part", "start", "n", "source_doc", "source_part", "source_start"]
+    path = ["key", "path", "check"]
+    source = F.min(F.struct("doc", "part", "start")).alias("source")
+    from_source = [F.col(f"source.{c}").alias(f"source_{c}") for c in ("doc", "part", "start")]
     found = stage(paths(docs, documents, window), "paths")
-    # A path of very many documents is folded in each task first: digests are shuffled, not occurrences.
-    firsts = found.groupBy("key", "path", "check").agg(F.min("doc").alias("source"), F.count(F.lit(1)).alias("times"))
-    firsts = stage(firsts, "firsts")
-    branching = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("key")
-    repeated = firsts.filter("times > 1").select("key", "path", "check", "source")
-    settled = found.drop("kmers").join(repeated, ["key", "path", "check"]).filter("source < doc").select("doc", "part", "start", "n", "source")
-    # The first document of every path that leaves a branching place; later ones of the same path are settled above.
-    open_paths = found.join(branching, "key", "left_semi").join(firsts.select("key", "path", "check", "source"), ["key", "path", "check"])
-    kmers = open_paths.filter("doc = source").select("key", "doc", "part", "start", "n", "kmers").mapInArrow(_each_kmer, KMERS)
-    kmers = stage(kmers, "kmers")
-    earliest = kmers.groupBy("key", "kmer").agg(F.min("doc").alias("source"), F.max("doc").alias("latest")).filter("source < latest")
-    single = kmers.join(earliest.select("key", "kmer", "source"), ["key", "kmer"]).filter("source < doc")
-    return settled.unionByName(single.select("doc", "part", "start", F.lit(1).alias("n"), "source"))
+    firsts = found.groupBy(*path).agg(source, F.count(F.lit(1)).alias("times"))
+    firsts = stage(firsts.select(*path, *from_source, "times"), "firsts")
+    settled = found.drop("kmers").join(firsts.filter("times > 1").drop("times"), path).filter("source_doc < doc").select(*span)
+    # Of every path that leaves a branching place the rows of its first document; later ones are settled above.
+    branching = stage(firsts.groupBy("key").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("key"), "branching")
+    open_paths = stage(firsts.join(branching, "key", "left_semi").select(*path, F.col("source_doc").alias("doc")), "open-paths")
+    kmers = found.join(open_paths, [*path, "doc"]).select("key", "doc", "part", "start", "n", "kmers").mapInArrow(_each_kmer, KMERS)
+    kmers, kmer = stage(kmers, "kmers"), ["key", "kmer", "check"]
+    earliest = kmers.groupBy(*kmer).agg(source, F.max("doc").alias("latest")).filter("source.doc < latest")
+    earliest = stage(earliest.select(*kmer, *from_source), "earliest")
+    single = kmers.join(earliest, kmer).filter("source_doc < doc").withColumn("n", F.lit(1))
+    return settled.unionByName(single.select(*span))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
