@@ -9,8 +9,10 @@ with what follows, and equal leading bytes never lie in two partitions. Inside,
 quicksort over 8-byte words that only goes on with what is still equal; neighbours that agree in all WINDOW bytes are
 the same string, and all but those of the smallest document are removed.
 
-Equal rows are folded in every task before they are sent, so a passage that very many documents have is not gathered in
-one partition.
+Equal rows are folded in every task before they are sent. The first and last suffix of a passage reach into each
+document's own text and are not equal, so a passage of very many documents still has very many rows of one lead: leads
+of more than HOT rows are counted first and go another way. Their windows are folded by a partial aggregate to the
+smallest document of each, and joined back with it; no partition gathers them.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from barloom.llm.common import Rolling, chunked, load, mix, query, stage
 WINDOW, GRAM = 50, 12
 #: Rows folded at a time before they are sent, and sorted at a time.
 FOLD, SORT = 100_000, 60_000
-_BYTES = Rolling(81)
+#: Rows of one lead that are still sorted in one place.
+HOT = 20_000
+_BYTES, _SECOND = Rolling(81), Rolling(82)
 
 ROWS = "lead bigint, key bigint, body binary, doc bigint, part bigint, start int, n int, settled boolean"
 
@@ -230,13 +234,50 @@ def _sorter(window: int):
     return work
 
 
+WINDOWS = "key bigint, window1 bigint, window2 bigint, doc bigint, part bigint, start int"
+
+
+def _each_window(window: int):
+    """Two hashes, which with the key stand for the bytes, and the place of every window of the rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            bodies, n = batch.column("body").to_pylist(), np.asarray(batch.column("n")).astype(np.int64)
+            raw = np.frombuffer(b"".join(bodies), np.uint8)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(np.cumsum([0, *map(len, bodies)])[:-1], n) + within
+            hashes = [mix(r.of(r.prefix(r.bytes[raw]), at, at + window)).view(np.int64) for r in (_BYTES, _SECOND)]
+            repeated = [pa.array(np.repeat(np.asarray(batch.column(c)), n)) for c in ("key", "doc", "part")]
+            start = np.repeat(np.asarray(batch.column("start")), n) + within
+            yield pa.RecordBatch.from_arrays(
+                [repeated[0], *map(pa.array, hashes), *repeated[1:], pa.array(start.astype(np.int32))], names=[c.split()[0] for c in WINDOWS.split(", ")]
+            )
+
+    return work
+
+
+def hot_spans(rows: DataFrame, window: int) -> DataFrame:
+    """The same runs, one window each, from rows of hot leads: no window is gathered in one task."""
+    windows, name = stage(rows.select("key", "body", "doc", "part", "start", "n").mapInArrow(_each_window(window), WINDOWS), "windows"), ["key", "window1", "window2"]
+    first = windows.groupBy(*name).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
+    return windows.join(stage(first, "first-windows"), name).filter("first < doc").select("doc", "part", "start", F.lit(1).alias("n"))
+
+
 def repeated_spans(docs: DataFrame, documents: int, window: int = WINDOW) -> DataFrame:
     """Runs (doc, part, start, n) of windows that also start in a smaller document; docs: (id, text, part) without copies."""
     rows = stage(suffixes(docs, documents, window), "suffixes")
     settled = rows.filter("settled").select("doc", "part", "start", "n")
-    open_rows = rows.filter("not settled").drop("settled")
-    sorted_rows = open_rows.repartitionByRange("lead").sortWithinPartitions("lead")
-    return settled.unionByName(sorted_rows.select("lead", "key", "body", "doc", "part", "start", "n").mapInArrow(_sorter(window), SPANS))
+    open_rows = rows.filter("not settled").select("lead", "key", "body", "doc", "part", "start", "n")
+    hot = stage(open_rows.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT).select("lead"), "hot-leads")
+    if hot.isEmpty():
+        cold, gone = open_rows, settled
+    else:
+        cold = open_rows.join(hot, "lead", "left_anti").select(open_rows.columns)
+        gone = settled.unionByName(hot_spans(open_rows.join(hot, "lead", "left_semi"), window))
+    sorted_rows = cold.repartitionByRange("lead").sortWithinPartitions("lead")
+    return gone.unionByName(sorted_rows.mapInArrow(_sorter(window), SPANS))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
