@@ -5,8 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from barloom.llm import exact_dedup, parity_join
-from barloom.llm import debruijn_dedup, suffix_dedup
+from barloom.llm import anchors, debruijn_dedup, exact_dedup, parity_join, suffix_dedup
 from tests_llm_brute import NULL, jaccard_brute, key, words
 
 def collect(df):
@@ -67,7 +66,7 @@ def test_index_is_minimal_and_perfect(n):
 
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80), (1, 60), (2, 100)])
 def test_similarity(make_docs, odd_rows, width, percent):
-    rows = [r for r in odd_rows if len(r[1] or "") < 20_000]
+    rows = odd_rows
     got = collect(parity_join.similarity_components(make_docs(rows), width, percent))
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == jaccard_brute(rows, width, percent)
     assert len(got) == len(rows)
@@ -88,7 +87,7 @@ def test_similarity_empty(make_docs):
 
 
 def test_similarity_stage(make_docs, odd_rows):
-    rows = [r for r in odd_rows if len(r[1] or "") < 20_000]
+    rows = odd_rows
     kept = {r["doc_id"] for r in collect(parity_join.keep_representatives(make_docs(rows)))}
     assert kept == {i for i, _, c in jaccard_brute(rows, 5, 80) if i == c}
 
@@ -118,6 +117,20 @@ def test_every_similar_pair_shares_a_band(percent):
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
+def test_bands_of_a_set_of_millions():
+    """More bands than 20 bits count; the same bands come out beside no other set."""
+    rng = np.random.default_rng(0)
+    big = np.unique(rng.integers(0, 1 << 63, 5_000_000, dtype=np.uint64))
+    small = big[: 1000]
+    keys, owner = parity_join.band_keys([big], 80)
+    assert len(keys) > 1 << 20 and not owner.any()
+    near = np.sort(np.concatenate((big[: len(big) * 9 // 10], np.unique(rng.integers(0, 1 << 63, 10_000, dtype=np.uint64)))))
+    assert len(np.intersect1d(keys, parity_join.band_keys([near], 80)[0])) > 0
+    alone = parity_join.band_keys([small], 80)[0]
+    both, of = parity_join.band_keys([small, big[:40]], 80)
+    assert sorted(both[of == 0].tolist()) == sorted(alone.tolist())
+
+
 # --- repeated passages ----------------------------------------------------------------------------------
 
 
@@ -145,11 +158,6 @@ def passages_brute(rows, split, join, window):
     return sorted(out)
 
 
-def plain(rows):
-    """One unit is a byte; the longest text is left to the word test."""
-    return [r for r in rows if len(r[1] or "") < 20_000]
-
-
 @pytest.mark.parametrize("window", [50, 20])
 def test_word_passages(make_docs, odd_rows, window):
     got = collect(debruijn_dedup.remove_repeats(make_docs(odd_rows), window=window))
@@ -158,13 +166,32 @@ def test_word_passages(make_docs, odd_rows, window):
     assert any(c for _, _, c, _, _ in want)
 
 
-def test_byte_passages(make_docs, odd_rows):
-    rows = plain(odd_rows)
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2, 0])
+def test_byte_passages(make_docs, odd_rows, monkeypatch, hot):
+    """Sorted suffixes, and the windows of leads that count as hot."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = odd_rows
     got = collect(suffix_dedup.remove_repeats(make_docs(rows)))
     want = passages_brute(rows, lambda t: list((t or "").encode()), bytes, 50)
     assert sorted((key(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == want
 
 
+@pytest.mark.parametrize("window", [50, 8])
+def test_word_spans_start_at_their_source_too(make_docs, odd_rows, window):
+    """Every removed k-mer stands at the coordinates given for it, in a smaller document."""
+    own = anchors.own_columns(make_docs(odd_rows), "doc_id", "text")
+    texts = {(r["id"], r["part"]): words(r["text"]) for r in collect(own)}
+    later, documents = anchors.copies(own)
+    first = own.join(later, ["id", "part"], "left_anti")
+    spans = collect(debruijn_dedup.repeated_spans(first, documents, window))
+    assert spans
+    for r in spans:
+        here, there = texts[r["doc"], r["part"]], texts[r["source_doc"], r["source_part"]]
+        size = r["n"] - 1 + window
+        assert r["source_doc"] < r["doc"]
+        assert here[r["start"] : r["start"] + size] == there[r["source_start"] : r["source_start"] + size]
+
+
 def test_passages_empty(make_docs):
     assert collect(debruijn_dedup.remove_repeats(make_docs([]))) == []
     assert collect(suffix_dedup.remove_repeats(make_docs([]))) == []
