@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import to_feature
 from barloom.operators.metrics import prob_metrics
-from barloom.operators.ordered import expand, running_totals
-from barloom.operators.sampling import class_weights, sample_n, strat_folds, ts_folds
+from barloom.operators.ordered import expand
+from barloom.operators.sampling import class_weights, numbered, sample_n, strat_folds, ts_fold_bounds
+from barloom.operators.shuffling import number_rows, shuffled_position
 from barloom.session import materialise, small_table
 
 VECTOR = "__features"
@@ -182,13 +183,13 @@ def rfe_select(
     `rank` 1 marks the features of the best step, larger ranks were dropped earlier.
     """
     keep = list(dict.fromkeys([*features, label, *order]))
-    split = materialise(ts_folds(df.select(*keep), folds, order))
+    rows = materialise(numbered(df.select(*keep), order), "positions")
+    bounds, at = ts_fold_bounds(rows.count(), folds), F.col("position")
     history, left = [], list(features)
     while True:
         scores, weights = [], {f: 0.0 for f in left}
-        for k in range(folds):
-            part = split.filter(F.col("fold") == k)
-            train, test = expand(part.filter("role = 'train'")), expand(part.filter("role = 'test'"))
+        for end, test_end in bounds:
+            train, test = rows.filter(at < end), rows.filter((at >= end) & (at < test_end))
             model = fit_forest(train, left, label, **params)
             scores.append(auc(score(test, model, left), label))
             for f, v in zip(left, model.featureImportances.toArray()):
@@ -244,14 +245,14 @@ def param_search(
 ) -> DataFrame:
     """Mean AUC over contiguous stratified folds for every combination of forest settings."""
     keep = list(dict.fromkeys([*features, label, *order]))
-    split = materialise(strat_folds(df.select(*keep), folds, label, order))
+    split = materialise(expand(strat_folds(df.select(*keep), folds, label, order)), "folds")
     rows = []
     for combo in product(*grid.values()):
         params = dict(zip(grid, combo))
         scores = []
         for k in range(folds):
-            model = fit_forest(expand(split.filter(F.col("fold") != k)), features, label, **params, **fixed)
-            scores.append(auc(score(expand(split.filter(F.col("fold") == k)), model, features), label))
+            model = fit_forest(split.filter(F.col("fold") != k), features, label, **params, **fixed)
+            scores.append(auc(score(split.filter(F.col("fold") == k), model, features), label))
         rows.append((str(params), sum(scores) / folds, min(scores)))
     return small_table(df.sparkSession, rows, "params string, mean_auc double, min_auc double")
 
@@ -261,24 +262,19 @@ def permutation_importance(
 ) -> DataFrame:
     """AUC lost when one column is shuffled. All rows take part unless `rows` asks for a sample.
 
-    A shuffle pairs each row's position with the row of the same rank in hash order.
+    A shuffle gives every row the values of the row whose position it is mapped to: an equal join, without a sort.
     """
     spark = df.sparkSession
     sample = df.select(*features, label)
     if rows is not None:
         sample = sample_n(sample, rows, seed=seed)
-    sample = materialise(sample.withColumn("__id", F.monotonically_increasing_id()))
-    one = {"__one": F.count(F.lit(1))}
-    placed = materialise(running_totals(sample, (), ["__id"], one).select("__id", F.col("cum___one").alias("__at")))
+    sample, n = number_rows(materialise(sample.withColumn("__id", F.monotonically_increasing_id()), "sample"))
     base = auc(score(sample, model, features), label)
     totals = {f: 0.0 for f in features}
+    donors = sample.select(F.col("__at").alias("__from"), *[F.col(f).alias(f"__d_{f}") for f in features])
     for k in range(repeats):
-        hashed = sample.withColumn("__h", F.md5(F.concat_ws("|", F.lit(f"{seed}-{k}"), "__id")))
-        mixed = running_totals(hashed, (), ["__h", "__id"], one).select(F.col("__id").alias("__from"), F.col("cum___one").alias("__at"))
-        partner = placed.join(mixed, "__at").select("__id", "__from")
-        paired = sample.join(partner, "__id")
-        donors = sample.select(F.col("__id").alias("__from"), *[F.col(f).alias(f"__d_{f}") for f in features])
-        paired = materialise(paired.join(donors, "__from"))
+        paired = sample.withColumn("__from", shuffled_position(F.col("__at"), n, f"{seed}-{k}")).join(donors, "__from")
+        paired = materialise(paired, "shuffled")
         for f in features:
             shuffled = paired.withColumn(f, F.col(f"__d_{f}"))
             totals[f] += base - auc(score(shuffled, model, features), label)

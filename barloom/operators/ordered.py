@@ -112,11 +112,17 @@ def row_positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> Dat
 COPY_BLOCK = 65_536
 
 
-def expand(df: DataFrame, copies: str = "copies") -> DataFrame:
-    """Undo the folding: one row per copy. Copies are generated in blocks, so no array grows with them."""
+def expand(df: DataFrame, copies: str = "copies", first: str | None = None, position: str = "position") -> DataFrame:
+    """Undo the folding: one row per copy. Copies are generated in blocks, so no array grows with them.
+
+    With `first`, the position of a row's first copy, every copy has its own in `position`.
+    """
     n = F.col(copies)
     blocks = df.withColumn(
         "__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / F.lit(COPY_BLOCK))))
     )
     size = F.least(n - F.col("__block") * COPY_BLOCK, F.lit(COPY_BLOCK)).cast("int")
-    return blocks.withColumn("__copy", F.explode(F.sequence(F.lit(1), size))).drop("__copy", "__block")
+    out = blocks.withColumn("__copy", F.explode(F.sequence(F.lit(1), size)))
+    if first is not None:
+        out = out.withColumn(position, F.col(first) + F.col("__block") * COPY_BLOCK + F.col("__copy") - 1)
+    return out.drop("__copy", "__block")

@@ -149,6 +149,22 @@ def _cut(placed: DataFrame, bounds: DataFrame, on: Sequence[str], columns: Seque
     return joined.withColumn("copies", end - start).filter("copies > 0").select(*columns, *[c for c in bounds.columns if c not in (*on, "lo", "hi")], "copies")
 
 
+def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows with their 0-based `position` in a total order (ties are told apart by the other columns).
+
+    Folds over positions are interval filters, so rows are written once however many folds look at them.
+    """
+    columns = df.columns
+    placed = row_positions(df, [], [*order, *[c for c in columns if c not in order]])
+    return expand(placed, first="first_pos").select(*columns, F.col("position").cast("bigint").alias("position"))
+
+
+def ts_fold_bounds(n: int, k: int) -> list[tuple[int, int]]:
+    """Per expanding fold: train rows are the positions below the first number, test rows go on to the second."""
+    size = n // (k + 1)
+    return [(n - (k - f) * size, n - (k - f) * size + size) for f in range(k)]
+
+
 def ts_folds(df: DataFrame, k: int, order: Sequence[str]) -> DataFrame:
     """Expanding time folds: for fold f the test rows follow all train rows.
 

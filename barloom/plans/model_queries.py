@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics, models
-from barloom.plans.common import FEATURES, query
+from barloom.plans.common import FEATURES, SCORED, query
 from barloom.plans.metric_queries import split_rows
 
 FS = [*FEATURES, "late", "session"]
@@ -46,10 +46,28 @@ def gbt_scores(spark, sf_dir):
 @query("score_frame")
 def score_frame(spark, sf_dir):
     """Every line keeps a row; those missing a feature get no score."""
+    return score_frame_rows(spark, sf_dir).select("l_orderkey", "l_linenumber", "ts", "p")
+
+
+def score_frame_rows(spark, sf_dir):
     df = rows(spark, sf_dir)
     model = models.fit_forest(df.filter("split = 'train'"), FS, **SMALL)
     holed = df.withColumn("l_tax", F.when(F.col("l_linenumber") != 7, F.col("l_tax")))
-    return models.score(holed, model, FS, "p").select("l_orderkey", "l_linenumber", "ts", "p")
+    return models.score(holed, model, FS, "p")
+
+
+@query(
+    "score_missing",
+    f"""WITH {SCORED} SELECT split, count(*) AS rows, count(*) FILTER (l_linenumber <> 7) AS scored, 0::BIGINT AS outside
+      FROM scored GROUP BY split""",
+)
+def score_missing(spark, sf_dir):
+    """Per split: rows that come back, those with a score, scores that are no probability."""
+    scored = score_frame_rows(spark, sf_dir)
+    p = F.col("p")
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(p).alias("scored"), F.count(F.when((p < 0) | (p > 1), 1)).alias("outside")
+    )
 
 
 @query("param_search")
