@@ -12,7 +12,7 @@ from barloom.operators.ewm import Ewm, add_ewm_continuous
 from barloom.operators.ordered import exact_quantiles
 from barloom.operators.resample import asof_backward, htf_features, resample
 from barloom.plans.common import BARS, bars, ewm_sql, full, lag_, load, query, r, rs, show, span
-from barloom.session import materialise
+from barloom.session import materialise, shared_folder
 from barloom.sources import bars as src
 
 PRICES = ("open", "high", "low", "close", "volume")
@@ -46,6 +46,21 @@ def bars_clean(spark, sf_dir):
     )
 
 
+@query(
+    "bars_csv",
+    f"""WITH {BARS} SELECT symbol, year, ts, open, high, low, close, CASE WHEN length(symbol) % 2 = 0 THEN volume END AS volume FROM bars""",
+)
+def bars_csv(spark, sf_dir):
+    """Bars written as CSV files of two layouts and scanned: one has other columns in another order and no volume."""
+    b = bars(spark, sf_dir).withColumn("dates", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    path = shared_folder(spark, "bar-files")
+    even = F.length("symbol") % 2 == 0
+    b.filter(even).select("symbol", "dates", *PRICES).write.option("header", True).csv(f"{path}/full")
+    odd = b.filter(~even).select(F.lit("m").alias("note"), "close", "dates", "low", "high", "open", "symbol")
+    odd.write.option("header", True).csv(f"{path}/short")
+    return src.read_bar_csv(spark, path).select("symbol", "year", "ts", *PRICES)
+
+
 @query(
     "bars_upsert",
     f"""WITH {BARS},

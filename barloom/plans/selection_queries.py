@@ -9,7 +9,8 @@ from barloom.operators import scaling, selection, wide, signals, transforms
 from barloom.plans.common import FEATURES, LONG, SCORED, SPLITS, bars, load, query, r, rs, scored, show
 from barloom.plans.cycle_queries import SIGNALS_SQL
 from barloom.plans.metric_queries import split_rows
-from barloom.session import materialise, small_table
+from barloom.session import materialise, shared_folder, small_table
+from barloom.sources import bars as src
 
 FS = list(FEATURES)
 _ID = ("l_orderkey", "l_linenumber", "ts")
@@ -230,18 +231,29 @@ def run_importance(spark, sf_dir):
     return table.select(F.col("year").alias("run"), "feature", F.col("abs_label_corr").alias("importance"))
 
 
-@query(
-    "importance_votes",
-    f"""WITH {SCORED},{_IMP}, t AS (SELECT run, feature, importance, row_number() OVER (PARTITION BY run ORDER BY importance DESC, feature) AS rn FROM imp
+_VOTES_SQL = f"""WITH {SCORED},{_IMP}, t AS (SELECT run, feature, importance, row_number() OVER (PARTITION BY run ORDER BY importance DESC, feature) AS rn FROM imp
         WHERE NOT regexp_matches(lower(feature), '^bb|^bband|_bb|boll') AND feature IN ('l_quantity', 'l_extendedprice', 'l_discount'))
-      SELECT feature, count(*) AS votes, {r('max(importance)', 'max_importance')} FROM t WHERE rn = 1 GROUP BY feature""",
-)
+      SELECT feature, count(*) AS votes, {r('max(importance)', 'max_importance')} FROM t WHERE rn = 1 GROUP BY feature"""
+
+
+@query("importance_votes", _VOTES_SQL)
 def importance_votes(spark, sf_dir):
     available = small_table(spark, [("l_quantity",), ("l_extendedprice",), ("l_discount",)], "feature string")
     out = selection.importance_votes(run_importance(spark, sf_dir), available)
     return show(out, ("feature", "votes"), ("max_importance",))
 
 
+@query("importance_files", _VOTES_SQL)
+def importance_files(spark, sf_dir):
+    """The same votes from importance tables written as CSV files, one folder a run, and found by their header."""
+    path = shared_folder(spark, "importance-files")
+    table = run_importance(spark, sf_dir).withColumnRenamed("importance", "mean_abs_shap")
+    table.select("run", "feature", "mean_abs_shap").write.partitionBy("run").option("header", True).csv(path)
+    available = small_table(spark, [("l_quantity",), ("l_extendedprice",), ("l_discount",)], "feature string")
+    out = selection.importance_votes(src.read_importances(spark, path), available)
+    return show(out, ("feature", "votes"), ("max_importance",))
+
+
 _CAT = [("l_quantity", "size"), ("l_extendedprice", "size"), ("l_discount", "terms"), ("l_tax", "terms"), ("bb_qty", "size")]
 
 
