@@ -281,7 +281,12 @@ def score(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Documents whose quality reaches the threshold, with all their columns (pipeline stage)."""
+    """Documents whose quality reaches the threshold, with all their columns (pipeline stage).
+
+    * A null text is empty; an empty text is one empty line and is judged as that. Texts of any length are read whole.
+    * Equal texts share their fate; repeated rows and rows with a null doc_id are judged each. Columns stay as they are.
+    * Without usable labels every document has one score and stays. An empty table gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -381,7 +381,12 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
 
 
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Of every component the document with the smallest doc_id, with all its columns (pipeline stage)."""
+    """Of every component the document with the smallest doc_id, with all its columns (pipeline stage).
+
+    * Null and empty texts, and texts of white space, are in no component with others and stay.
+    * Rows sharing the doc_id that stays all stay, whatever their texts; a null doc_id is smaller than any other.
+    * Other columns are not read and are kept, whatever their names. An empty table gives an empty result.
+    """
     told = similarity_components(docs, width, percent)
     drop = stage(told.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__later")).distinct(), "later")
     return docs.join(drop, docs["doc_id"].eqNullSafe(drop["__later"]), "left_anti")

@@ -358,7 +358,11 @@ def ranks_of(spark: SparkSession, path: str | None = None) -> dict[bytes, int]:
 
 
 def encode_stage(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: ids of every document, with the production vocabulary."""
+    """Pipeline stage: ids of every document, with the production vocabulary.
+
+    Null and empty texts have no ids. Every row has a row, also repeated ones and those without doc_id; other columns are
+    not read. An empty table gives an empty result.
+    """
     import public_tokenizers
 
     return encode(docs, ranks_of(docs.sparkSession), public_tokenizers.PATTERN)

@@ -260,7 +260,10 @@ def _consistent(aligned: DataFrame, texts: DataFrame, benchmark: DataFrame) -> D
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, contaminated, n_items, items (ids of the items found, ascending)."""
+    """One row per document: doc_id, contaminated, n_items, items (ids of the items found, ascending).
+
+    Rows that share a doc_id have a row each, with the items of them all; null texts and empty tables as in `leaks`.
+    """
     found = leaks(docs, benchmark).groupBy(F.col("doc_id").alias("f_id")).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     joined = ids.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")), "left")
@@ -271,7 +274,11 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without leaks, with all their columns (pipeline stage)."""
+    """Documents without leaks, with all their columns (pipeline stage).
+
+    * Null and empty texts stay. Rows sharing a doc_id go or stay together, also rows of the null doc_id.
+    * Other columns are not read and are kept. Without documents or items nothing goes.
+    """
     bad = stage(leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__leaked"]), "left_anti")
 
