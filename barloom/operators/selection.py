@@ -73,11 +73,19 @@ def corr_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return pair_correlations(clean, features, least=1).drop("pairs")
 
 
-def close_pairs(df: DataFrame, features: Sequence[str], threshold: float, least: int = 50) -> dict[tuple[str, str], float]:
-    """|corr| of the pairs at or above the threshold, either way round, over the rows where both are known."""
-    found = pair_correlations(df, features, least).filter(F.abs("corr") >= threshold).collect()
-    out = {(r["feature_a"], r["feature_b"]): abs(r["corr"]) for r in found}
-    return out | {(b, a): v for (a, b), v in out.items()}
+def pairs_and_labels(
+    df: DataFrame, features: Sequence[str], threshold: float, label: str, least: int
+) -> tuple[dict[tuple[str, str], float], dict[str, float]]:
+    """|corr| of the pairs at or above the threshold, either way round, and of every feature with the label; one scan.
+
+    Each over the rows where both are known. Besides the close pairs, one number per feature reaches the driver.
+    """
+    named = df.select(*features, F.col(label).cast("double").alias("__label"))
+    pairs = pair_correlations(named, [*features, "__label"], least)
+    found = pairs.filter((F.abs("corr") >= threshold) | (F.col("feature_b") == "__label")).collect()
+    near = {r["feature_a"]: abs(r["corr"]) for r in found if r["feature_b"] == "__label"}
+    close = {(r["feature_a"], r["feature_b"]): abs(r["corr"]) for r in found if r["feature_b"] != "__label"}
+    return close | {(b, a): v for (a, b), v in close.items()}, {f: near.get(f, 0.0) for f in features}
 
 
 def corr_prune(
@@ -89,11 +97,11 @@ def corr_prune(
     feature survives an unprotected one; otherwise the one closer to the label does.
     Returns the kept features and a table of (kept, dropped, abs_corr).
     """
-    near = {r.feature: r.abs_label_corr for r in label_corr(df, features, label).collect()}
+    clean = df.select(*[to_feature(f).alias(f) for f in features], label)
+    close, near = pairs_and_labels(clean, features, threshold, label, least=1)
     safe = set(protected)
     # A feature outranks another if it is protected and the other is not, else if it is closer to the label.
     rank = {f: place for place, f in enumerate(sorted(features, key=lambda f: (f not in safe, -near[f], f)))}
-    close = close_pairs(df.select(*[to_feature(f).alias(f) for f in features]), features, threshold, least=1)
     rivals: dict[str, list[str]] = {f: [] for f in features}
     for a, b in close:
         if rank[a] < rank[b]:
@@ -111,17 +119,6 @@ def corr_prune(
     return [f for f in features if f not in dropped_by], small_table(df.sparkSession, rows, schema)
 
 
-def finite_label_corr(df: DataFrame, features: Sequence[str], label: str = "label", least: int = 50) -> dict[str, float]:
-    """|corr| of each feature with the label over the rows where both are known; 0 below `least` rows or if flat."""
-    pairs = []
-    for f in features:
-        x = F.when(finite(F.col(label).cast("double")).isNotNull(), finite(F.col(f).cast("double")))
-        y = F.when(x.isNotNull(), F.col(label).cast("double"))
-        pairs.append(F.struct(F.count(x).alias("n"), F.abs(_corr(x, y)).alias("corr")).alias(f))
-    row = df.agg(*pairs).first()
-    return {f: row[f]["corr"] if row[f]["n"] >= least else 0.0 for f in features}
-
-
 def corr_forward(
     df: DataFrame,
     features: Sequence[str],
@@ -135,11 +132,10 @@ def corr_forward(
 
     Correlations are over the rows where both sides are known, and 0 where fewer than `least` are.
     """
-    near = finite_label_corr(df, features, label, least)
+    close, near = pairs_and_labels(df, features, max_pair_corr, label, least)
     forced = [f for f in features if any(t in f for t in force_tokens)]
     ranked = sorted(features, key=lambda f: (-near[f], f))[:top_n]
     pool = list(dict.fromkeys([*forced, *ranked]))
-    close = close_pairs(df, pool, max_pair_corr, least)
     taken: list[str] = []
     for f in pool:
         if f in forced or not any((f, t) in close for t in taken):
