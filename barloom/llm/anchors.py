@@ -158,7 +158,8 @@ def copies(docs: DataFrame) -> tuple[DataFrame, int]:
     """
     rows = stage(docs.select("id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")), "digests")
     firsts = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = rows.join(firsts, "digest").filter("id > first").select("id", "part").distinct()
+    # Written first: rows of a hot digest are then split by the planner, which an aggregate under the join prevents.
+    later = rows.join(stage(firsts, "first-copies"), "digest").filter("id > first").select("id", "part").distinct()
     return stage(later, "copies"), rows.count()
 
 

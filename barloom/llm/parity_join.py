@@ -257,7 +257,8 @@ def _placed(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     told = groups.join(labels, "id", "left").select("grp", "id", F.coalesce("component", "id").alias("component"))
     told = stage(told, "members")
     mixed = told.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return told.join(mixed.select("grp"), "grp", "left_semi")
+    # Written first, as is the hub below: members of a hot group are then split by the planner.
+    return told.join(stage(mixed.select("grp"), "mixed"), "grp", "left_semi")
 
 
 def _ordered(x: str, y: str) -> list:
@@ -310,7 +311,7 @@ def link_components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFra
     for turn in range(HUBS):
         members = _placed(groups, labels)
         by = F.col("id") if turn == 0 else F.xxhash64(F.col("id"), F.lit(turn))
-        hub = members.groupBy("grp").agg(F.min_by(F.struct("id", "component"), by).alias("hub"))
+        hub = stage(members.groupBy("grp").agg(F.min_by(F.struct("id", "component"), by).alias("hub")), "hubs")
         pairs = members.join(hub, "grp").filter("component != hub.component").select(*_ordered("id", "hub.id")).distinct()
         pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stage(verify(pairs, sets, percent), "found")
