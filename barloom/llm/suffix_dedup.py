@@ -3,14 +3,14 @@
 Suffixes start where a window of WINDOW bytes owns a place (see anchors): every window belongs to one such suffix, and
 only suffixes whose surroundings may occur twice are sorted. A row holds the bytes that its windows cover.
 
-Rows are range-partitioned by the leading bytes of their suffix, with splitters that Spark samples. A partition is read
-in order of the leading bytes; a group of equal leading bytes that is cut by a batch's end is carried over and compared
-with what follows, and equal leading bytes never lie in two partitions. Inside, the windows are sorted by a multikey
-quicksort over 8-byte words that only goes on with what is still equal; neighbours that agree in all WINDOW bytes are
-the same string, and all but those of the smallest document are removed.
+Rows are range-partitioned by the leading bytes of their suffix and the key of the bytes around it, with splitters that
+Spark samples. A partition is read in that order; a group of equal leads and keys that is cut by a batch's end is carried
+over and compared with what follows, and no such group lies in two partitions. Inside, the windows are sorted by a
+multikey quicksort over 8-byte words that only goes on with what is still equal; neighbours that agree in all WINDOW
+bytes are the same string, and all but those of the smallest document are removed.
 
 Equal rows are folded in every task before they are sent. The first and last suffix of a passage reach into each
-document's own text and are not equal, so a passage of very many documents still has very many rows of one lead: leads
+document's own text and are not equal, so a passage of very many documents still has very many rows of one key: keys
 of more than HOT rows are counted first and go another way. Their windows are folded by a partial aggregate to the
 smallest document of each, and joined back with it; no partition gathers them.
 """
@@ -31,7 +31,7 @@ from barloom.llm.common import Rolling, chunked, load, mix, query, stage
 WINDOW, GRAM = 50, 12
 #: Rows folded at a time before they are sent, and sorted at a time.
 FOLD, SORT = 100_000, 60_000
-#: Rows of one lead that are still sorted in one place.
+#: Rows of one lead and key that are still sorted in one place.
 HOT = 20_000
 _BYTES, _SECOND = Rolling(81), Rolling(82)
 
@@ -220,9 +220,10 @@ def _sorter(window: int):
             if size < SORT:
                 continue
             table = pa.Table.from_batches(held)
-            lead = np.asarray(table["lead"])
-            # The last group of leading bytes may go on in the next batch.
-            edge = int(np.searchsorted(lead, lead[-1], "left"))
+            lead, key = np.asarray(table["lead"]), np.asarray(table["key"])
+            # The last group may go on in the next batch.
+            others = np.flatnonzero((lead != lead[-1]) | (key != key[-1]))
+            edge = int(others[-1]) + 1 if len(others) else 0
             if edge == 0:
                 continue
             yield runs(table.slice(0, edge))
@@ -259,7 +260,7 @@ def _each_window(window: int):
 
 
 def hot_spans(rows: DataFrame, window: int) -> DataFrame:
-    """The same runs, one window each, from rows of hot leads: no window is gathered in one task."""
+    """The same runs, one window each, from rows of hot keys: no window is gathered in one task."""
     windows, name = stage(rows.select("key", "body", "doc", "part", "start", "n").mapInArrow(_each_window(window), WINDOWS), "windows"), ["key", "window1", "window2"]
     first = windows.groupBy(*name).agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").drop("last")
     return windows.join(stage(first, "first-windows"), name).filter("first < doc").select("doc", "part", "start", F.lit(1).alias("n"))
@@ -270,13 +271,14 @@ def repeated_spans(docs: DataFrame, documents: int, window: int = WINDOW) -> Dat
     rows = stage(suffixes(docs, documents, window), "suffixes")
     settled = rows.filter("settled").select("doc", "part", "start", "n")
     open_rows = rows.filter("not settled").select("lead", "key", "body", "doc", "part", "start", "n")
-    hot = stage(open_rows.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT).select("lead"), "hot-leads")
+    group = ["lead", "key"]
+    hot = stage(open_rows.groupBy(*group).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > HOT).select(*group), "hot-keys")
     if hot.isEmpty():
         cold, gone = open_rows, settled
     else:
-        cold = open_rows.join(hot, "lead", "left_anti").select(open_rows.columns)
-        gone = settled.unionByName(hot_spans(open_rows.join(hot, "lead", "left_semi"), window))
-    sorted_rows = cold.repartitionByRange("lead").sortWithinPartitions("lead")
+        cold = open_rows.join(hot, group, "left_anti").select(open_rows.columns)
+        gone = settled.unionByName(hot_spans(open_rows.join(hot, group, "left_semi"), window))
+    sorted_rows = cold.repartitionByRange(*group).sortWithinPartitions(*group)
     return gone.unionByName(sorted_rows.mapInArrow(_sorter(window), SPANS))
 
 
