@@ -11,7 +11,7 @@ from itertools import product
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import to_feature
 from barloom.operators.metrics import prob_metrics
 from barloom.operators.ordered import expand
-from barloom.operators.sampling import class_weights, numbered, sample_n, strat_folds, ts_fold_bounds
-from barloom.operators.shuffling import number_rows, shuffled_position
+from barloom.operators.sampling import class_weights, in_order, sample_n, strat_folds, ts_fold_bounds
+from barloom.operators.shuffling import number_rows, row_cuts, shuffled_position
 from barloom.session import materialise, small_table
 
 VECTOR = "__features"
@@ -33,15 +33,34 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return vec.drop(*[f"__f_{f}" for f in features])
 
 
+def staged_vectors(df: DataFrame, features: Sequence[str], *columns: str) -> DataFrame:
+    """Features, other columns and the feature vector, written once.
+
+    A fit passes over its rows several times. Where many fits see the same rows, none of them assembles vectors again.
+    """
+    return materialise(assemble(df, features).select(*dict.fromkeys([*features, *columns]), VECTOR), "vectors")
+
+
+def narrowed(rows: DataFrame, features: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """The rows with vectors of the `kept` ones among their features, in that order."""
+    if list(kept) == list(features):
+        return rows
+    cut = VectorSlicer(inputCol=VECTOR, outputCol="__kept", indices=[features.index(f) for f in kept]).transform(rows)
+    return cut.drop(VECTOR).withColumnRenamed("__kept", VECTOR)
+
+
 def balanced(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Weight n / (classes * n_class) per row; the weight table has one row per class."""
     weights = class_weights(df, label).select(label, F.col("weight").alias(out))
     return df.join(F.broadcast(weights), label)
 
 
-def fit_forest(
+def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label", **params) -> Model:
+    return fit_forest_vectors(assemble(train, features), label, **params)
+
+
+def fit_forest_vectors(
     train: DataFrame,
-    features: Sequence[str],
     label: str = "label",
     weight: str | None = None,
     trees: int = 300,
@@ -63,7 +82,7 @@ def fit_forest(
     )
     if weight:
         est = est.setWeightCol(weight)
-    return est.fit(assemble(train, features))
+    return est.fit(train)
 
 
 def fit_boosting(
@@ -95,13 +114,20 @@ def fit_boosting(
 
 def score(df: DataFrame, model: Model, features: Sequence[str], out: str = "score") -> DataFrame:
     """Probability of class 1; missing where any feature is missing. No row is dropped."""
+    scored = score_vectors(assemble(df, features), model, features, out)
+    return scored.select(*[c for c in df.columns if c != out], out)
+
+
+def score_vectors(rows: DataFrame, model: Model, features: Sequence[str], out: str = "score") -> DataFrame:
+    """As `score`, of rows that hold their feature vectors."""
     known = F.lit(True)
     for f in features:
         known = known & F.col(f).isNotNull()
     p = vector_to_array(F.col("probability"))[1]
-    scored = model.transform(assemble(df, features))
-    extra = [c for c in scored.columns if c not in df.columns]
-    return scored.withColumn(out, F.when(known, p)).drop(*[c for c in extra if c != out])
+    # The probability straight from the features: no raw votes and no predicted class beside it.
+    scored = model.copy({model.rawPredictionCol: "", model.predictionCol: ""}).transform(rows)
+    # Exploded: a filter on a plain column would be pushed below it, and every condition would walk the trees again.
+    return scored.select(*[c for c in rows.columns if c != out], F.explode(F.array(F.when(known, p))).alias(out))
 
 
 def auc(df: DataFrame, label: str = "label", score_col: str = "score") -> float:
@@ -183,15 +209,16 @@ def rfe_select(
     `rank` 1 marks the features of the best step, larger ranks were dropped earlier.
     """
     keep = list(dict.fromkeys([*features, label, *order]))
-    rows = materialise(numbered(df.select(*keep), order), "positions")
-    bounds, at = ts_fold_bounds(rows.count(), folds), F.col("position")
+    rows = staged_vectors(in_order(df.select(*keep), order), features, label, "__id")
+    id_at, n = row_cuts(rows)
+    bounds, at = [(id_at(end), id_at(test_end)) for end, test_end in ts_fold_bounds(n, folds)], F.col("__id")
     history, left = [], list(features)
     while True:
         scores, weights = [], {f: 0.0 for f in left}
         for end, test_end in bounds:
             train, test = rows.filter(at < end), rows.filter((at >= end) & (at < test_end))
-            model = fit_forest(train, left, label, **params)
-            scores.append(auc(score(test, model, left), label))
+            model = fit_forest_vectors(narrowed(train, features, left), label, **params)
+            scores.append(auc(score_vectors(narrowed(test, features, left), model, left), label))
             for f, v in zip(left, model.featureImportances.toArray()):
                 weights[f] += float(v)
         history.append((list(left), sum(scores) / folds))

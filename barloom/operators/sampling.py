@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ordered import expand, row_positions
+from barloom.operators.shuffling import number_rows
 from barloom.session import materialise
 
 
@@ -149,14 +150,26 @@ def _cut(placed: DataFrame, bounds: DataFrame, on: Sequence[str], columns: Seque
     return joined.withColumn("copies", end - start).filter("copies > 0").select(*columns, *[c for c in bounds.columns if c not in (*on, "lo", "hi")], "copies")
 
 
+def in_order(df: DataFrame, order: Sequence[str], row_id: str = "__id") -> DataFrame:
+    """The rows in a total order (ties are told apart by the other columns), with an id that grows along it.
+
+    To be written once; `shuffling.number_rows` and `row_cuts` make positions of the ids. One range shuffle and one sort:
+    copies of a row are told apart by where they were read, so a common row is spread over partitions as others are.
+    """
+    kinds, rest = dict(df.dtypes), [c for c in df.columns if c not in order]
+    # As in a grouping, -0.0 is 0.0.
+    zeros = {c: F.col(c) + F.lit(0.0).cast(kinds[c]) for c in df.columns if kinds[c] in ("double", "float")}
+    told = df.withColumns({**zeros, "__copy": F.monotonically_increasing_id()})
+    return told.orderBy(*order, *rest, "__copy").select(*df.columns, F.monotonically_increasing_id().alias(row_id))
+
+
 def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """The rows with their 0-based `position` in a total order (ties are told apart by the other columns).
 
     Folds over positions are interval filters, so rows are written once however many folds look at them.
     """
-    columns = df.columns
-    placed = row_positions(df, [], [*order, *[c for c in columns if c not in order]])
-    return expand(placed, first="first_pos").select(*columns, F.col("position").cast("bigint").alias("position"))
+    placed, _ = number_rows(materialise(in_order(df, order), "ordered"), "__id", "position")
+    return placed.select(*df.columns, F.col("position").cast("bigint").alias("position"))
 
 
 def ts_fold_bounds(n: int, k: int) -> list[tuple[int, int]]:

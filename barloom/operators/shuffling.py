@@ -9,6 +9,9 @@ again until they do not, which keeps the map a bijection of 0 .. n - 1.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +37,26 @@ def number_rows(staged: DataFrame, row_id: str = "__id", position: str = "__at")
     return placed.withColumn(position, F.col("__start") + nth).drop("__part", "__start"), n
 
 
+def row_cuts(staged: DataFrame, row_id: str = "__id") -> tuple[Callable[[int], int], int]:
+    """As `number_rows`, for intervals of positions: the id of the row at a position, and the number of rows.
+
+    One number per partition comes to the driver. Filters on ids reach the scan, and no pass joins the sizes again.
+    Positions beyond the last row have an id above all others.
+    """
+    sizes = staged.groupBy(F.shiftright(row_id, _ROW_BITS).alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    parts = sorted((r.part, r.rows) for r in sizes.collect())
+    ends = list(accumulate(rows for _, rows in parts))
+
+    def id_at(position: int) -> int:
+        i = bisect_right(ends, position)
+        if i == len(parts):
+            return (parts[-1][0] + 1) << _ROW_BITS if parts else 0
+        part, rows = parts[i]
+        return (part << _ROW_BITS) + position - (ends[i] - rows)
+
+    return id_at, ends[-1] if ends else 0
+
+
 def shuffled_position(position: Column, n: int, seed: str) -> Column:
     """Where the shuffle named by `seed` puts a position of 0 .. n - 1."""
     r = max(1, math.isqrt(max(n - 1, 0)) + 1)

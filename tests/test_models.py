@@ -128,3 +128,50 @@ def test_folds_by_position_equal_folds_by_row(spark, n, k):
     for fold, (end, test_end) in enumerate(sampling.ts_fold_bounds(n, k)):
         assert sorted(want.get((fold, "train"), [])) == [(t, v) for p, t, v in rows if p < end]
         assert sorted(want.get((fold, "test"), [])) == [(t, v) for p, t, v in rows if end <= p < test_end]
+
+
+def _counted(monkeypatch):
+    """How often features are assembled into vectors."""
+    calls, assemble = [], models.assemble
+    monkeypatch.setattr(models, "assemble", lambda df, features: calls.append(features) or assemble(df, features))
+    return calls
+
+
+def test_elimination_assembles_vectors_once(parts, monkeypatch):
+    calls = _counted(monkeypatch)
+    models.rfe_select(parts[0], FEATURES, ["i"], folds=2, step=2, min_features=1, **SMALL).collect()
+    assert calls == [FEATURES]
+
+
+def test_narrowed_vectors_are_assembled_ones(parts):
+    train, _ = parts
+    holed = train.withColumn("weak", F.when(F.col("i") % 3 != 0, F.col("weak")))
+    kept = ["weak", "noise0"]
+    staged = models.staged_vectors(holed, FEATURES, "i")
+    got = {r.i: list(r[models.VECTOR].toArray()) for r in models.narrowed(staged, FEATURES, kept).collect()}
+    assert got == {r.i: list(r[models.VECTOR].toArray()) for r in models.assemble(holed, kept).collect()}
+
+
+def test_filters_on_a_score_do_not_walk_the_trees_again(parts):
+    train, valid = parts
+    forest = models.fit_forest(train, FEATURES, **SMALL)
+    asked = models.score(valid, forest, FEATURES).filter("score IS NOT NULL AND NOT isnan(score) AND score >= 0.2").select("score")
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    # One UDF makes the vector, one the probability, one the array.
+    assert plan.count("UDF(") == 3
+
+
+def test_common_rows_are_ordered_in_many_tasks(spark):
+    """One row held by nearly all: its copies are told apart, so the range shuffle spreads them, with one shuffle in all."""
+    df = spark.range(20_000, numPartitions=4).select(F.when(F.col("id") < 20, F.col("id")).otherwise(7).alias("t"))
+    ordered = sampling.in_order(df, ["t"])
+    assert ordered._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    with_parts = ordered.select("t", "__id").collect()
+    assert [r.t for r in sorted(with_parts, key=lambda r: r["__id"])] == sorted(r.t for r in df.collect())
+    id_at, total = shuffling.row_cuts(sampling.materialise(ordered))
+    assert total == 20_000 and id_at(total) > id_at(total - 1) > id_at(0) == 0
+
+
+def test_cuts_of_no_rows(spark):
+    id_at, total = shuffling.row_cuts(sampling.materialise(sampling.in_order(spark.range(0).select(F.col("id").alias("t")), ["t"])))
+    assert (id_at(0), total) == (0, 0)
