@@ -7,7 +7,9 @@ here run over models, folds or features - never over rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
+from operator import or_
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,8 +20,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import to_feature
 from barloom.operators.metrics import prob_metrics
-from barloom.operators.ordered import expand
-from barloom.operators.sampling import class_weights, in_order, sample_n, strat_folds, ts_fold_bounds
+from barloom.operators.sampling import class_weights, in_order, sample_n, strat_fold_ids, ts_fold_bounds
 from barloom.operators.shuffling import number_rows, row_cuts, shuffled_position
 from barloom.session import materialise, small_table
 
@@ -272,14 +273,19 @@ def param_search(
 ) -> DataFrame:
     """Mean AUC over contiguous stratified folds for every combination of forest settings."""
     keep = list(dict.fromkeys([*features, label, *order]))
-    split = materialise(expand(strat_folds(df.select(*keep), folds, label, order)), "folds")
-    rows = []
+    split = staged_vectors(in_order(df.select(*keep), [label, *order]), features, label, *order, "__id")
+    parts, at, rows = strat_fold_ids(split, folds, label, order), F.col("__id"), []
+
+    def of(*chosen: int) -> DataFrame:
+        held = [(at >= lo) & (at < hi) for k in chosen for lo, hi in parts[k]]
+        return split.filter(reduce(or_, held, F.lit(False)))
+
     for combo in product(*grid.values()):
         params = dict(zip(grid, combo))
         scores = []
         for k in range(folds):
-            model = fit_forest(split.filter(F.col("fold") != k), features, label, **params, **fixed)
-            scores.append(auc(score(split.filter(F.col("fold") == k), model, features), label))
+            model = fit_forest_vectors(of(*[f for f in range(folds) if f != k]), label, **params, **fixed)
+            scores.append(auc(score_vectors(of(k), model, features), label))
         rows.append((str(params), sum(scores) / folds, min(scores)))
     return small_table(df.sparkSession, rows, "params string, mean_auc double, min_auc double")
 

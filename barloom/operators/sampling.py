@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ordered import expand, row_positions
-from barloom.operators.shuffling import number_rows
+from barloom.operators.shuffling import number_rows, row_cuts
 from barloom.session import materialise
 
 
@@ -212,6 +212,11 @@ def strat_folds(df: DataFrame, k: int, label: str, order: Sequence[str]) -> Data
     sizes = placed.groupBy(label).agg(
         F.max("group_rows").alias("n"), F.min(F.struct(*order, label)).alias("__first")
     )
+    return _cut(placed, _strat_bounds(sizes, k, label), (label,), columns)
+
+
+def _strat_bounds(sizes: DataFrame, k: int, label: str) -> DataFrame:
+    """The positions [lo, hi) of every fold in every class, from the classes' `n` and first rows."""
     # One row per class.
     before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__at", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -225,8 +230,27 @@ def strat_folds(df: DataFrame, k: int, label: str, order: Sequence[str]) -> Data
         rest_begin = F.least(F.pmod(F.col("__at"), F.lit(k)), f)
         return full_end + rest_end - full_begin - rest_begin
 
-    bounds = folds.select(label, "fold", start(0).alias("lo"), start(1).alias("hi"))
-    return _cut(placed, bounds, (label,), columns)
+    return folds.select(label, "fold", start(0).alias("lo"), start(1).alias("hi"))
+
+
+def strat_fold_ids(staged: DataFrame, k: int, label: str, order: Sequence[str], row_id: str = "__id") -> list[list[tuple[int, int]]]:
+    """The folds of `strat_folds` as intervals [lo, hi) of ids, one per class, of rows written by `in_order` of label and order.
+
+    A fold's rows of one class lie side by side there. Rows without a label are in no fold.
+    """
+    id_at, _ = row_cuts(staged, row_id)
+    classes = staged.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("n"), F.min(row_id).alias(row_id))
+    # One row per class: its first row.
+    firsts = staged.join(F.broadcast(classes), row_id).select(label, "n", row_id, F.struct(*order, label).alias("__first"))
+    firsts = materialise(firsts, "classes")
+    starts, at = {}, 0
+    for r in firsts.orderBy(row_id).select(label, "n").collect():
+        starts[r[label]], at = at, at + r.n
+    folds = [[] for _ in range(k)]
+    for r in _strat_bounds(firsts.drop(row_id), k, label).orderBy(label).collect():
+        if r[label] is not None and r.lo < r.hi:
+            folds[r.fold].append((id_at(starts[r[label]] + r.lo), id_at(starts[r[label]] + r.hi)))
+    return folds
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

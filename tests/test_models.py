@@ -143,6 +143,12 @@ def test_elimination_assembles_vectors_once(parts, monkeypatch):
     assert calls == [FEATURES]
 
 
+def test_search_assembles_vectors_once(parts, monkeypatch):
+    calls = _counted(monkeypatch)
+    models.param_search(parts[0], FEATURES, {"depth": [1, 2]}, ["i"], folds=2, trees=2, min_leaf=5).collect()
+    assert calls == [FEATURES]
+
+
 def test_narrowed_vectors_are_assembled_ones(parts):
     train, _ = parts
     holed = train.withColumn("weak", F.when(F.col("i") % 3 != 0, F.col("weak")))
@@ -161,6 +167,21 @@ def test_filters_on_a_score_do_not_walk_the_trees_again(parts):
     assert plan.count("UDF(") == 3
 
 
+@pytest.mark.parametrize("n, k", [(1, 2), (10, 3), (101, 4)])
+def test_intervals_of_ids_are_folds_of_classes(spark, n, k):
+    """Rows without a label take part in the line-up of the classes and are in no fold; copies may lie in two folds."""
+    rows = [(i // 3, None if i % 7 == 3 else i * i % 3, -0.0 if i % 2 else 0.0) for i in range(n)]
+    df = spark.createDataFrame([*rows, *rows[:4]], "t long, y int, v double").repartition(3)
+    staged = sampling.materialise(sampling.in_order(df, ["y", "t"]))
+    want = {}
+    for r in sampling.strat_folds(df, k, "y", ["t"]).collect():
+        want.setdefault(r.fold, []).extend([(r.t, r.y, r.v)] * r.copies)
+    folds = sampling.strat_fold_ids(staged, k, "y", ["t"])
+    placed = sorted(staged.collect(), key=lambda r: r["__id"])
+    for fold in range(k):
+        assert sorted((r.t, r.y, r.v) for r in placed if any(lo <= r["__id"] < hi for lo, hi in folds[fold])) == sorted(want.get(fold, []))
+
+
 def test_common_rows_are_ordered_in_many_tasks(spark):
     """One row held by nearly all: its copies are told apart, so the range shuffle spreads them, with one shuffle in all."""
     df = spark.range(20_000, numPartitions=4).select(F.when(F.col("id") < 20, F.col("id")).otherwise(7).alias("t"))
